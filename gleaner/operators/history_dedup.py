@@ -1,0 +1,226 @@
+"""Duplicates of new batches against everything accepted before.
+
+A store in the shared folder keeps, for all texts seen so far, their word sets, whether they were accepted, their
+fingerprints (split into buckets) and one Bloom filter per bucket. ``ingest`` takes the next batch:
+
+1. Equal word sets of the batch are collapsed; the earliest stands for the others.
+2. Each set's fingerprints are winnowed: of every WINDOW consecutive SHINGLE-word shingles (in the order of the text)
+   the smallest hash is kept. Two texts that share SHINGLE + WINDOW - 1 consecutive words share a fingerprint.
+   Sets of up to SHORT words also get prefix fingerprints, with which no pair over the threshold is missed at all.
+3. Bloom filters, one per bucket, tell which fingerprints may be in the store; only these are looked up there.
+4. Candidates are verified on the word sets themselves: shared words over all words.
+5. Texts are accepted in order. A text is rejected as soon as one earlier text that it matches is accepted, and accepted
+   once all earlier ones that it matches are rejected; each round settles at least the first open text of every chain.
+6. Store and filters take up the batch.
+
+Nothing of the history is recomputed: a batch costs its own fingerprints plus the looked-up part of the store.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions.words import is_blank, words
+from gleaner.operators.skew import HEAVY_PARTS, block_pairs, lookup_join
+from gleaner.runtime import fresh_path, stored
+
+SHINGLE = 5
+WINDOW = 2
+#: Pairs over 0.7 of which one set has at most 10 words have at most 14 in the other; both get prefix fingerprints.
+SHORT = 14
+#: Bits of Bloom filter for each fingerprint, and probes; about one false positive in a hundred.
+BLOOM_BITS = 10
+BLOOM_PROBES = 6
+#: Fingerprints a bucket is made for.
+BUCKET_ROWS = 200_000
+
+
+def fingerprints(sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, fp): the winnowed shingle hashes of ``seq`` and, for short sets, hashes of the prefix words of ``ws``."""
+    n = F.size("seq")
+    shingle = F.transform(
+        F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.array_join(F.slice("seq", i, SHINGLE), " ")),
+    )
+    window = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("_h") - (WINDOW - 1), F.lit(1))),
+        lambda i: F.array_min(F.slice("_h", i, WINDOW)),
+    )
+    ranked = F.array_sort(F.transform("ws", lambda w: F.xxhash64(F.lit("w"), w)))
+    m = F.size("ws")
+    prefix = F.when(m <= SHORT, F.slice(ranked, 1, m - F.ceil(m * F.lit(threshold) - 1e-9).cast("int") + 1))
+    return (
+        sets.select("node", "seq", "ws", shingle.alias("_h"))
+        .select("node", F.array_distinct(F.concat(window, F.coalesce(prefix, F.array().cast("array<bigint>")))).alias("_f"))
+        .select("node", F.explode("_f").alias("fp"))
+    )
+
+
+def _probes(fp: np.ndarray, bits: int) -> np.ndarray:
+    h = fp.astype(np.uint64)
+    a = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    b = ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
+    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(BLOOM_PROBES)])
+
+
+def bloom_of(fp: np.ndarray) -> bytes:
+    bits = max(64, (len(fp) * BLOOM_BITS + 7) // 8 * 8)
+    field_ = np.zeros(bits, dtype=bool)
+    field_[_probes(fp, bits).ravel()] = True
+    return np.packbits(field_).tobytes()
+
+
+def bloom_test(filter_bytes: bytes, fp: np.ndarray) -> np.ndarray:
+    packed = np.frombuffer(filter_bytes, dtype=np.uint8)
+    at = _probes(fp, len(packed) * 8)
+    return np.all((packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1, axis=0)
+
+
+SCREENED = "bucket int, fp long, node long, n int, seen boolean, bloom binary"
+
+
+def _screen(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """Fingerprints of one bucket that occur twice in the batch or may be in the store (all others match nothing), and the bucket's new filter."""
+    fp = new["fp"].to_numpy()
+    values, inverse, counts = np.unique(fp, return_inverse=True, return_counts=True)
+    seen = np.zeros(len(values), dtype=bool)
+    for b in filters["bloom"]:
+        seen |= bloom_test(b, values).astype(bool)
+    n, seen = counts[inverse], seen[inverse]
+    keep = (n > 1) | seen
+    out = pd.DataFrame({"bucket": key[0], "fp": fp[keep], "node": new["node"].to_numpy()[keep], "n": n[keep].astype("int32"), "seen": seen[keep], "bloom": None})
+    if not len(values):
+        return out
+    made = pd.DataFrame({"bucket": [key[0]], "fp": [0], "node": [0], "n": [0], "seen": [False], "bloom": [bloom_of(values)]})
+    return pd.concat([out, made], ignore_index=True) if len(out) else made
+
+
+@dataclass
+class HistoryStore:
+    """Paths of the tables that hold the history; each ingested batch adds one folder to every list."""
+
+    spark: SparkSession
+    buckets: int
+    threshold: float = 0.7
+    sets: list[str] = field(default_factory=list)
+    prints: list[str] = field(default_factory=list)
+    blooms: list[str] = field(default_factory=list)
+
+    @classmethod
+    def create(cls, spark: SparkSession, expected_rows: int, threshold: float = 0.7) -> HistoryStore:
+        """``expected_rows``: about how many texts a batch will bring; it only sizes the buckets."""
+        return cls(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected_rows * 20 / BUCKET_ROWS)), threshold)
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        path = fresh_path(self.spark, f"history-{name}")
+        df.write.parquet(path)
+        return path
+
+
+def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, order_cols: list[str]) -> DataFrame:
+    """Matches of a batch, one row ``(accepted_id, packet_id)`` for each case and each accepted text before it that it matches.
+
+    Null and blank texts are passed over; repeated ids count once; a text without any word matches nothing. Ties in
+    ``order_cols`` are broken by the id. Other columns, whatever their names, are ignored. An empty batch gives no rows.
+    """
+    spark, t = store.spark, store.threshold
+    order = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)], F.col(id_col).alias("oid"))
+    taken = batch.where(~is_blank(text_col)).select(order.alias("ord"), F.col(id_col).alias("id"), words(text_col).alias("seq"))
+    taken = taken.withColumn("ws", F.array_sort(F.array_distinct("seq"))).where(F.size("ws") > 0)
+    taken = taken.withColumn("sk", F.md5(F.array_join("ws", " ")))
+    # one row per word set; the earliest text stands for the set
+    nodes = stored(
+        taken.groupBy("sk")
+        .agg(F.min(F.struct("ord", "seq", "ws")).alias("m"), F.count(F.lit(1)).alias("copies"))
+        .select(F.col("m.ord.oid").alias("node"), F.col("m.ord").alias("ord"), F.col("m.seq").alias("seq"), F.col("m.ws").alias("ws"), "sk", "copies"),
+        "dedup-nodes",
+    )
+    path = store._write(fingerprints(nodes, t).withColumn("bucket", F.pmod("fp", F.lit(store.buckets)).cast("int")), "prints")
+    filters = spark.read.parquet(*store.blooms) if store.blooms else spark.createDataFrame([], "bucket int, bloom binary")
+    screened = stored(spark.read.parquet(path).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, SCREENED), "dedup-screened")
+    inner = block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"))
+    slim = nodes.select("node", "ord", "ws")
+    pairs = inner.distinct()
+    left = slim.select(F.col("node").alias("a"), F.col("ord").alias("ao"), F.col("ws").alias("aw"))
+    right = slim.select(F.col("node").alias("b"), F.col("ord").alias("bo"), F.col("ws").alias("bw"))
+    shared = F.size(F.array_intersect("aw", "bw"))
+    alike = shared * 1.0 >= F.lit(t) * (F.size("aw") + F.size("bw") - shared) - 1e-9
+    fits = F.least(F.size("aw"), F.size("bw")) >= F.lit(t) * F.greatest(F.size("aw"), F.size("bw")) - 1e-9
+    verified = pairs.join(left, "a").join(right, "b").where(fits).where(alike)
+    first = F.col("ao") < F.col("bo")
+    links = stored(verified.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dst")), "dedup-links")
+
+    if store.sets:
+        past = spark.read.parquet(*store.sets)
+        probe = screened.where("seen").select("fp", "node")
+        held = spark.read.parquet(*store.prints).select("fp", F.col("node").alias("old"))
+        cand = probe.join(held, "fp").select("node", "old").distinct()
+        old = past.where("accepted").select(F.col("node").alias("old"), F.col("ws").alias("aw"))
+        new = nodes.select("node", F.col("ws").alias("bw"))
+        older = stored(cand.join(old, "old").join(new, "node").where(fits).where(alike).select(F.col("old").alias("src"), F.col("node").alias("dst")), "dedup-older")
+        rejected = older.select(F.col("dst").alias("node")).distinct()
+    else:
+        older, rejected = None, None
+
+    refused = settle(links, rejected)
+    states = nodes.join(refused.withColumn("refused", F.lit(True)), "node", "left").withColumn("accepted", F.col("refused").isNull())
+    sets_path = store._write(states.select("node", "ws", "accepted", "sk", "copies", "ord"), "sets")
+    done = spark.read.parquet(sets_path)
+
+    # what each word set matches among the accepted ones: accepted before it, accepted between it and a later copy, or itself
+    ok = done.where("accepted").select(F.col("node").alias("acc"))
+    near = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    hits = near.join(ok, near.src == ok.acc, "left_semi").select(F.col("src").alias("acc"), F.col("dst").alias("node"))
+    hits = hits.unionByName(ok.select("acc", F.col("acc").alias("node")))
+    ranks = done.select(F.col("node").alias("acc"), F.col("ord").alias("acc_ord"))
+    hits = hits.join(ranks, "acc")
+    if older is not None:
+        past_order = past.where("accepted").select(F.col("node").alias("acc"), F.col("ord").alias("acc_ord"))
+        hits = hits.unionByName(older.select(F.col("src").alias("acc"), F.col("dst").alias("node")).join(past_order, "acc"))
+    alone = done.where("copies = 1").select("node", F.col("ord").alias("case_ord"))
+    single = hits.join(alone, "node").select("acc", "acc_ord", F.col("node").alias("case"), "case_ord")
+    # every text of a repeated set is a case of its own; sets that hold a large part of all rows are joined by broadcast
+    many = done.where("copies > 1").select("sk", "node", "copies")
+    total = int(done.agg(F.sum("copies")).first()[0] or 0)
+    members = lookup_join(taken.select("sk", "id", "ord"), many, "sk", "copies", total).dropDuplicates(["id"])
+    targets = hits.join(many.select("node", "copies"), "node")
+    hot = F.col("copies") * F.lit(HEAVY_PARTS) >= F.lit(total)
+    members = members.select("node", "id", "ord")
+    copied = members.join(F.broadcast(targets.where(hot).drop("copies")), "node").unionByName(members.join(targets.where(~hot).drop("copies"), "node"))
+    copied = copied.select("acc", "acc_ord", F.col("id").alias("case"), F.col("ord").alias("case_ord"))
+    found = single.unionByName(copied).where("acc_ord < case_ord").select(F.col("acc").alias("accepted_id"), F.col("case").alias("packet_id"))
+    result = stored(found, "dedup-found")
+
+    store.sets.append(sets_path)
+    store.prints.append(path)
+    store.blooms.append(store._write(screened.where("bloom is not null").select("bucket", "bloom"), "bloom"))
+    return result
+
+
+def settle(links: DataFrame, rejected: DataFrame | None) -> DataFrame:
+    """Nodes refused when each is accepted unless an earlier accepted one is linked to it.
+
+    ``links`` (src, dst) run from the earlier to the later node. Each round accepts all open nodes without an open
+    predecessor and refuses their successors; the open part shrinks until nothing is left.
+    """
+    refused, todo = [], links
+    if rejected is not None:
+        refused.append(rejected)
+        todo = links.join(rejected, links.src == rejected.node, "left_anti").join(rejected, links.dst == rejected.node, "left_anti")
+    todo = stored(todo, "dedup-open")
+    while not todo.isEmpty():
+        heads = todo.select(F.col("src").alias("node")).distinct().join(todo.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+        out = stored(todo.join(heads, todo.src == heads.node, "left_semi").select(F.col("dst").alias("node")).distinct(), "dedup-refused")
+        refused.append(out)
+        rest = todo.join(heads, todo.src == heads.node, "left_anti").join(out, todo.src == out.node, "left_anti")
+        todo = stored(rest.join(out, rest.dst == out.node, "left_anti"), "dedup-open")
+    if not refused:
+        return links.select(F.col("dst").alias("node")).limit(0)
+    return reduce(DataFrame.unionByName, refused).distinct()

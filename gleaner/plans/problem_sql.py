@@ -1,0 +1,60 @@
+"""DuckDB SQL for the core training-data queries, written independently of the Spark plans."""
+
+USABLE = "({0} is not null and lower(trim({0})) not in ('', 'unknown', 'n/a', 'tbd', '-'))"
+
+P3_FOUND = f"""
+with r as (
+  select upper(trim(principle_code)) code, record_id, authoritative_support a, live_revalidated l, null::int c, null::timestamp f, public_summary p, generated_at::timestamp t from principles
+  union
+  select upper(trim(principle_code)), packet_id, authoritative_support, live_revalidated, contradiction_count, freshness_checked_at::timestamp, public_summary, freshness_checked_at::timestamp from packets
+), g as (
+  select *, case lower(trim(a)) when 'strong' then 0 when 'medium' then 1 when 'weak' then 2 when 'none' then 3 else 4 end rk,
+         case when t >= timestamp '2000-01-01' then t end tt
+  from r where code in (select code from r where code is not null group by code having count(distinct record_id) > 1)
+), e as (
+  select code, 'authoritative_support' field_name, record_id, rk, tt from g where {USABLE.format("a")}
+  union all select code, 'live_revalidated', record_id, rk, tt from g where l is not null
+  union all select code, 'contradiction_count', record_id, rk, tt from g where c >= 0
+  union all select code, 'freshness_checked_at', record_id, 0, f from g where f >= timestamp '2000-01-01'
+  union all select code, 'public_summary', record_id, rk, tt from g where {USABLE.format("p")}
+)
+select code as principle_code, field_name, record_id from e
+qualify row_number() over (partition by code, field_name order by rk, tt desc nulls last, record_id) = 1
+"""
+
+P4_FOUND = """
+with files as (select packet_id, payload from packet_files where json_valid(payload)),
+a as (
+  select packet_id, kind, topic, statement, recommendation_strength strength, applicability from packets
+  union
+  select packet_id, json_extract_string(payload, '$.kind'), json_extract_string(payload, '$.topic'), json_extract_string(payload, '$.statement'),
+         json_extract_string(payload, '$.recommendationStrength'), json_extract_string(payload, '$.applicability') from files
+), c as (
+  select distinct packet_id, regexp_replace(lower(kind), '[^a-z0-9]+', '', 'g') k, regexp_replace(lower(topic), '[^a-z0-9]+', '', 'g') t,
+         regexp_replace(lower(statement), '[^a-z0-9]+', '', 'g') s, regexp_replace(lower(strength), '[^a-z0-9]+', '', 'g') r,
+         regexp_replace(lower(applicability), '[^a-z0-9]+', '', 'g') p
+  from a where regexp_matches(statement, '\\S')
+), g as (select packet_id, min(packet_id) over (partition by k, t, s, r, p) f from c)
+select f as first_id, packet_id as copy_id from g where f <> packet_id
+"""
+
+_TERMS = """
+with n as (select note_id, any_value(text) t from notes group by 1),
+w as (select note_id, unnest(regexp_extract_all(lower(t), '[a-z]{3,}')) term from n where t is not null),
+f as (select note_id, term, count(*) tf from w group by 1, 2),
+s as (select term, count(*) df, sum(tf) cf from f group by 1)
+"""
+
+P5_FOUND = _TERMS + "select note_id, term from f join s using (term) where tf >= 4 and df between 2 and 6"
+
+P5_SCORES = _TERMS + """
+, l as (select note_id, sum(tf) len from f group by 1),
+m as (select (select sum(tf) from f)::double / (select count(*) from n) mean, (select count(*) from n)::double n),
+x as (
+  select f.note_id, term, f.tf, s.df, s.cf, f.tf * log2(1 + m.mean / l.len) tfn, s.cf / m.n lam
+  from f join s using (term) join l using (note_id), m
+)
+select note_id, term, tf, df, cf::bigint as cf, round((log2(1 + lam) - tfn * log2(lam / (1 + lam))) / (tfn + 1), 6) as score from x
+"""
+
+SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_scores": P5_SCORES}

@@ -1,0 +1,79 @@
+"""The core training-data queries, each over its whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions.words import bare, is_blank
+from gleaner.operators import dictionary_dedup, history_dedup, survivorship, term_weighting
+from gleaner.runtime import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 0 is the history; all later batches come in as one catch-up load, which keeps the order of batches inside."""
+    packets = table(spark, sf_dir, "packets").select("packet_id", "batch_no", "statement")
+    store = history_dedup.HistoryStore.create(spark, packets.count())
+    first = history_dedup.ingest(store, packets.where("batch_no = 0"), "packet_id", "statement", ["batch_no"])
+    later = history_dedup.ingest(store, packets.where("batch_no <> 0 or batch_no is null"), "packet_id", "statement", ["batch_no"])
+    return first.unionByName(later)
+
+
+PACKET_FIELDS = ["kind", "topic", "statement", "recommendation_strength", "applicability"]
+
+
+def all_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets and the readable packet files, with the five content fields; null and blank statements are left out."""
+    packets = table(spark, sf_dir, "packets").select("packet_id", *PACKET_FIELDS)
+    files = table(spark, sf_dir, "packet_files").select("packet_id", F.try_parse_json("payload").alias("j"))
+    keys = {"recommendation_strength": "recommendationStrength"}
+    read = files.where("j is not null").select("packet_id", *[F.try_variant_get("j", f"$.{keys.get(n, n)}", "string").alias(n) for n in PACKET_FIELDS])
+    return packets.unionByName(read).where(~is_blank("statement"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary_dedup.copies(all_packets(spark, sf_dir), "packet_id", PACKET_FIELDS, bare)
+
+
+#: (field, kind, order) of the fields that a principle takes from its records.
+PRINCIPLE_FIELDS = [
+    ("authoritative_support", "text", "trust"),
+    ("live_revalidated", "flag", "trust"),
+    ("contradiction_count", "count", "trust"),
+    ("freshness_checked_at", "time", "latest"),
+    ("public_summary", "text", "trust"),
+]
+
+
+def principle_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principles and packets with a principle code, in one layout."""
+    code = F.upper(F.trim("principle_code")).alias("principle_code")
+    same = ["authoritative_support", "live_revalidated", "public_summary"]
+    a = table(spark, sf_dir, "principles").select(
+        code, F.col("record_id"), F.lit("principles").alias("origin"), F.col("snapshot_id").alias("source"), *same,
+        F.lit(None).cast("int").alias("contradiction_count"), F.lit(None).cast("timestamp").alias("freshness_checked_at"), F.col("generated_at").alias("at"),
+    )
+    b = table(spark, sf_dir, "packets").select(
+        code, F.col("packet_id").alias("record_id"), F.lit("packets").alias("origin"), F.col("community_repo").alias("source"), *same,
+        "contradiction_count", "freshness_checked_at", F.col("freshness_checked_at").alias("at"),
+    )
+    return a.unionByName(b).where("principle_code is not null")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = survivorship.best_values(principle_records(spark, sf_dir), "principle_code", "record_id", PRINCIPLE_FIELDS, "authoritative_support", "at")
+    return rows.select("principle_code", "field_name", "record_id")
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = term_weighting.term_scores(table(spark, sf_dir, "notes"), "note_id", "text")
+    return s.select(F.col("id").alias("note_id"), "term", "tf", "df", "cf", F.round("score", 6).alias("score"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms used at least four times in a note and found in two to six notes."""
+    s = term_weighting.term_scores(table(spark, sf_dir, "notes"), "note_id", "text")
+    return s.where("tf >= 4 and df between 2 and 6").select(F.col("id").alias("note_id"), "term")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_scores": p5_scores}
