@@ -46,3 +46,20 @@ def block_pairs(rows: DataFrame, group: str, item: str, size: Column | None = No
     right = spread.where("_b = _j").select(group, "_i", "_j", F.col(item).alias("_y"))
     met = left.join(right, [group, "_i", "_j"]).where("(_i = _j and _x < _y) or (_i < _j and _x <> _y)")
     return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
+#: Group keys, at most, that are sent to all executors as a list; more take a shuffle join.
+BROADCAST_KEYS = 1_000_000
+
+
+def repeated_only(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """The rows whose ``group`` holds at least two different ``item`` values.
+
+    One map-side combined pass finds the repeated groups; their keys are counted, and sent by broadcast only while there
+    are at most BROADCAST_KEYS of them.
+    """
+    from gleaner.runtime import stored
+
+    keys = stored(rows.groupBy(group).agg(F.min(item).alias("_lo"), F.max(item).alias("_hi")).where("_lo < _hi").select(group), "repeated-groups")
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, group, "left_semi")
