@@ -2,13 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import leakage, mixing, shared_spans
+from gleaner.llm import leakage, markup, mixing, shared_spans, templates
 from gleaner.runtime import stored, table
 
 
+def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes and the search entries in one layout: (tbl, row_id, host, text)."""
+    notes = table(spark, sf_dir, "notes").select(F.lit("notes").alias("tbl"), F.col("note_id").alias("row_id"), F.col("origin").alias("host"), "text")
+    entries = table(spark, sf_dir, "notes_search").select(F.lit("notes_search").alias("tbl"), F.col("entry_id").alias("row_id"), F.col("scope_key").alias("host"), F.col("summary").alias("text"))
+    return notes.unionByName(entries)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of every record; the scanner works record by record, so nothing but the result's rows is shuffled."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for tbl, row_id, text in zip(pdf["tbl"], pdf["row_id"], pdf["text"]):
+                got = markup.parse(text)
+                for kind, n in got.counts.items():
+                    rows.extend((tbl, row_id, kind, k) for k in range(1, n + 1))
+                if got.other:
+                    rows.append((tbl, row_id, "other", 1))
+            yield pd.DataFrame(rows, columns=["tbl", "row_id", "element", "pos"])
+
+    return marked_up(spark, sf_dir).drop("host").mapInPandas(scan, "tbl string, row_id long, element string, pos int").distinct()
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of every record, after parts that recur across the records of one origin are cut out."""
+    rows = marked_up(spark, sf_dir).dropDuplicates(["tbl", "row_id"])
+    keyed = rows.withColumn("id", F.col("row_id") * 2 + F.when(F.col("tbl") == "notes", 0).otherwise(1)).withColumn("host", F.concat("tbl", F.lit("/"), F.coalesce(F.lower(F.trim("host")), F.lit(""))))
+    cuts = templates.template_cuts(keyed, "id", "host", "text")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for tbl, row_id, text, c in zip(pdf["tbl"], pdf["row_id"], pdf["text"], pdf["cuts"]):
+                spans = [] if c is None else [(x["start"], x["end"]) for x in c]
+                got = markup.parse(templates.cut(text, spans) if text and spans else text)
+                out.append((tbl, row_id, got.base, got.clean, len(spans)))
+            yield pd.DataFrame(out, columns=["tbl", "row_id", "base", "clean", "template_parts"])
+
+    joined = keyed.join(cuts, "id", "left").select("tbl", "row_id", "text", "cuts")
+    return joined.mapInPandas(scan, "tbl string, row_id long, base string, clean string, template_parts int")
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
 
@@ -71,5 +117,5 @@ k as (select * from w where h in (select h from g))
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id
 """
 
-QUERIES = {"p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_budget_shares": p7_budget_shares, "p8_found": p8_found, "p8_parts": p8_parts}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_budget_shares": p7_budget_shares, "p8_found": p8_found, "p8_parts": p8_parts}
 SQL = {"p8_found": P8_FOUND}
