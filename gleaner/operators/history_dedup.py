@@ -19,16 +19,19 @@ Nothing of the history is recomputed: a batch costs its own fingerprints plus th
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.words import is_blank, words
-from gleaner.operators.skew import HEAVY_PARTS, block_pairs, lookup_join
+from gleaner.operators.skew import BROADCAST_KEYS, HEAVY_PARTS, block_pairs, lookup_join
 from gleaner.runtime import fresh_path, stored
 
 SHINGLE = 5
@@ -42,25 +45,134 @@ BLOOM_PROBES = 6
 BUCKET_ROWS = 200_000
 
 
-def fingerprints(sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, fp): the winnowed shingle hashes of ``seq`` and, for short sets, hashes of the prefix words of ``ws``."""
-    n = F.size("seq")
-    shingle = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice("seq", i, SHINGLE), " ")),
-    )
-    window = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_h") - (WINDOW - 1), F.lit(1))),
-        lambda i: F.array_min(F.slice("_h", i, WINDOW)),
-    )
-    ranked = F.array_sort(F.transform("ws", lambda w: F.xxhash64(F.lit("w"), w)))
-    m = F.size("ws")
-    prefix = F.when(m <= SHORT, F.slice(ranked, 1, m - F.ceil(m * F.lit(threshold) - 1e-9).cast("int") + 1))
-    return (
-        sets.select("node", "seq", "ws", shingle.alias("_h"))
-        .select("node", F.array_distinct(F.concat(window, F.coalesce(prefix, F.array().cast("array<bigint>")))).alias("_f"))
-        .select("node", F.explode("_f").alias("fp"))
+_WORD = re.compile("[a-z0-9]+")
+#: One fingerprint of one text: the hash, the text's node, the signature of its word set and the set's size.
+PRINT = np.dtype([("fp", "<u8"), ("node", "<i8"), ("sig", "<u8"), ("m", "<u4")])
+
+
+class _Hashes(dict):
+    """64-bit word hashes, remembered while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def word_sets(batch: DataFrame, order_cols: list[str]) -> DataFrame:
+    """(id, o0, o1, ..., sk): the key of each text's word set, for texts with at least one word."""
+    names = ["id", *[f"o{i}" for i in range(len(order_cols))]]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for pdf in batches:
+            keys = []
+            for text in pdf["text"]:
+                ws = set(_WORD.findall(text.lower()))
+                keys.append(xxhash.xxh3_128_digest(np.sort(np.array([hashes[w] for w in ws], dtype=np.uint64)).tobytes()) if ws else None)
+            out = pdf[names].copy()
+            out["sk"] = keys
+            yield out[out["sk"].notna()]
+
+    types = dict(batch.dtypes)
+    return batch.mapInPandas(scan, ", ".join(f"{n} {types[n]}" for n in names) + ", sk binary")
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(nodes: list[int], texts: list[str], threshold: float, hashes: dict[str, int] | None = None) -> np.ndarray:
+    """The PRINT records of texts: winnowed shingle hashes, and hashes of the prefix words of short word sets."""
+    hashes = _Hashes() if hashes is None else hashes
+    seqs = [[hashes[w] for w in _WORD.findall(t.lower())] for t in texts]
+    sizes = np.array([len(s) for s in seqs], dtype=np.int64)
+    sets = [set(s) for s in seqs]
+    sig = np.array([_signature(s) for s in sets], dtype=np.uint64)
+    m = np.array([len(s) for s in sets], dtype=np.uint32)
+    flat = np.array([h for s in seqs for h in s], dtype=np.uint64)
+    which, found = [], []
+    if len(flat) >= SHINGLE:
+        owner = np.repeat(np.arange(len(seqs)), sizes)
+        n = len(flat) - SHINGLE + 1
+        sh = np.zeros(n, dtype=np.uint64)
+        for i in range(SHINGLE):
+            sh = sh * np.uint64(0x100000001B3) + flat[i : i + n]
+        sh = _mix(sh)
+        valid = owner[:n] == owner[SHINGLE - 1 :]
+        low, whole = sh[: n - WINDOW + 1].copy(), valid[: n - WINDOW + 1] & valid[WINDOW - 1 :] & (owner[: n - WINDOW + 1] == owner[WINDOW - 1 : n])
+        for i in range(1, WINDOW):
+            low = np.minimum(low, sh[i : n - WINDOW + 1 + i])
+        which.append(owner[: n - WINDOW + 1][whole])
+        found.append(low[whole])
+    for i in np.flatnonzero(sizes < SHINGLE + WINDOW - 1):  # too short for a window: every shingle, or all words as one
+        s = np.array(seqs[i], dtype=np.uint64)
+        for k in range(max(1, len(s) - SHINGLE + 1) if len(s) else 0):
+            h = np.uint64(0)
+            with np.errstate(over="ignore"):
+                for x in s[k : k + SHINGLE]:
+                    h = h * np.uint64(0x100000001B3) + x
+            which.append(np.array([i]))
+            found.append(_mix(np.array([h])))
+    for i in np.flatnonzero(m <= SHORT):
+        ranked = np.sort(np.array(list(sets[i]), dtype=np.uint64))
+        take = ranked[: int(m[i]) - math.ceil(int(m[i]) * threshold - 1e-9) + 1]
+        which.append(np.full(len(take), i))
+        found.append(_mix(take + np.uint64(1)))
+    if not which:
+        return np.empty(0, PRINT)
+    pairs = pd.DataFrame({"i": np.concatenate(which), "fp": np.concatenate(found)}).drop_duplicates()
+    out = np.empty(len(pairs), PRINT)
+    at = pairs["i"].to_numpy()
+    out["fp"], out["node"], out["sig"], out["m"] = pairs["fp"].to_numpy(), np.asarray(nodes, dtype=np.int64)[at], sig[at], m[at]
+    return out
+
+
+def _signature(words: set[int]) -> int:
+    bits = 0
+    for h in words:
+        bits |= 1 << (h >> 58)
+    return bits
+
+
+def may_match(threshold: float) -> Column:
+    """False only where two word sets cannot reach the threshold: every bit that one signature has alone is a word that
+    the other set lacks."""
+    shared = F.least(
+        F.col("x_m") - F.bit_count(F.col("x_sig").bitwiseAND(F.bitwise_not("y_sig"))),
+        F.col("y_m") - F.bit_count(F.col("y_sig").bitwiseAND(F.bitwise_not("x_sig"))),
     )
+    return shared >= F.lit(threshold) * (F.col("x_m") + F.col("y_m") - shared) - 1e-9
+
+
+def packed_prints(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
+    """(bucket, prints): the fingerprints of (node, text) rows, packed by bucket."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for pdf in batches:
+            got = fingerprints(list(pdf["node"]), list(pdf["text"]), threshold, hashes)
+            at = (got["fp"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            at, got = at[order], got[order]
+            cut = np.flatnonzero(np.diff(at)) + 1
+            parts = np.split(got, cut) if len(got) else []
+            yield pd.DataFrame({"bucket": [int(x[0]) for x in np.split(at, cut)] if len(got) else [], "prints": [x.tobytes() for x in parts]})
+
+    return texts.mapInPandas(scan, "bucket int, prints binary")
+
+
+def unpacked(prints: DataFrame) -> DataFrame:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for blob in pdf["prints"]:
+                p = np.frombuffer(blob, PRINT)
+                yield pd.DataFrame({"fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64), "m": p["m"].astype(np.int32)})
+
+    return prints.mapInPandas(scan, "fp long, node long, sig long, m int")
 
 
 def _probes(fp: np.ndarray, bits: int) -> np.ndarray:
@@ -83,22 +195,24 @@ def bloom_test(filter_bytes: bytes, fp: np.ndarray) -> np.ndarray:
     return np.all((packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1, axis=0)
 
 
-SCREENED = "bucket int, fp long, node long, n int, seen boolean, bloom binary"
+SCREENED = "bucket int, fp long, node long, sig long, m int, n int, seen boolean, bloom binary"
 
 
 def _screen(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     """Fingerprints of one bucket that occur twice in the batch or may be in the store (all others match nothing), and the bucket's new filter."""
-    fp = new["fp"].to_numpy()
-    values, inverse, counts = np.unique(fp, return_inverse=True, return_counts=True)
+    p = np.concatenate([np.frombuffer(b, PRINT) for b in new["prints"]]) if len(new) else np.empty(0, PRINT)
+    p = p[~pd.DataFrame({"fp": p["fp"], "node": p["node"]}).duplicated().to_numpy()]  # rows of one id that came twice
+    values, inverse, counts = np.unique(p["fp"], return_inverse=True, return_counts=True)
     seen = np.zeros(len(values), dtype=bool)
     for b in filters["bloom"]:
         seen |= bloom_test(b, values).astype(bool)
     n, seen = counts[inverse], seen[inverse]
     keep = (n > 1) | seen
-    out = pd.DataFrame({"bucket": key[0], "fp": fp[keep], "node": new["node"].to_numpy()[keep], "n": n[keep].astype("int32"), "seen": seen[keep], "bloom": None})
+    p = p[keep]
+    out = pd.DataFrame({"bucket": key[0], "fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64), "m": p["m"].astype(np.int32), "n": n[keep].astype(np.int32), "seen": seen[keep], "bloom": None})
     if not len(values):
         return out
-    made = pd.DataFrame({"bucket": [key[0]], "fp": [0], "node": [0], "n": [0], "seen": [False], "bloom": [bloom_of(values)]})
+    made = pd.DataFrame({"bucket": [key[0]], "fp": [0], "node": [0], "sig": [0], "m": [0], "n": [0], "seen": [False], "bloom": [bloom_of(values)]})
     return pd.concat([out, made], ignore_index=True) if len(out) else made
 
 
@@ -112,6 +226,7 @@ class HistoryStore:
     sets: list[str] = field(default_factory=list)
     prints: list[str] = field(default_factory=list)
     blooms: list[str] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
 
     @classmethod
     def create(cls, spark: SparkSession, expected_rows: int, threshold: float = 0.7) -> HistoryStore:
@@ -131,47 +246,43 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     ``order_cols`` are broken by the id. Other columns, whatever their names, are ignored. An empty batch gives no rows.
     """
     spark, t = store.spark, store.threshold
-    order = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)], F.col(id_col).alias("oid"))
-    taken = batch.where(~is_blank(text_col)).select(order.alias("ord"), F.col(id_col).alias("id"), words(text_col).alias("seq"))
-    taken = taken.withColumn("ws", F.array_sort(F.array_distinct("seq"))).where(F.size("ws") > 0)
-    taken = taken.withColumn("sk", F.md5(F.array_join("ws", " ")))
-    # one row per word set; the earliest text stands for the set
-    nodes = stored(
-        taken.groupBy("sk")
-        .agg(F.min(F.struct("ord", "seq", "ws")).alias("m"), F.count(F.lit(1)).alias("copies"))
-        .select(F.col("m.ord.oid").alias("node"), F.col("m.ord").alias("ord"), F.col("m.seq").alias("seq"), F.col("m.ws").alias("ws"), "sk", "copies"),
-        "dedup-nodes",
-    )
-    path = store._write(fingerprints(nodes, t).withColumn("bucket", F.pmod("fp", F.lit(store.buckets)).cast("int")), "prints")
+    orders = [f"o{i}" for i in range(len(order_cols))]
+    rows = batch.where(~is_blank(text_col)).select(F.col(id_col).alias("id"), *[F.col(c).alias(o) for c, o in zip(order_cols, orders)], F.col(text_col).alias("text"))
+    taken = stored(word_sets(rows, order_cols), "dedup-taken").select("id", F.struct(*orders, F.col("id").alias("oid")).alias("ord"), "sk")
+    # one node per word set; the earliest text stands for the set
+    nodes = stored(taken.groupBy("sk").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies")).select(F.col("ord.oid").alias("node"), "ord", "sk", "copies"), "dedup-nodes")
+    others = taken.select(F.col("id").alias("node")).distinct().join(nodes, "node", "left_anti")
+    few = others.count() <= BROADCAST_KEYS
+    texts = rows.select(F.col("id").alias("node"), "text").where(F.lower("text").rlike("[a-z0-9]")).join(F.broadcast(others) if few else others, "node", "left_anti")
+    texts_path = store._write(texts, "texts")
+    texts = spark.read.parquet(texts_path)
+    path = store._write(packed_prints(texts, store.buckets, t), "prints")
     filters = spark.read.parquet(*store.blooms) if store.blooms else spark.createDataFrame([], "bucket int, bloom binary")
     screened = stored(spark.read.parquet(path).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, SCREENED), "dedup-screened")
-    inner = block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"))
-    slim = nodes.select("node", "ord", "ws")
-    pairs = inner.distinct()
-    left = slim.select(F.col("node").alias("a"), F.col("ord").alias("ao"), F.col("ws").alias("aw"))
-    right = slim.select(F.col("node").alias("b"), F.col("ord").alias("bo"), F.col("ws").alias("bw"))
-    shared = F.size(F.array_intersect("aw", "bw"))
-    alike = shared * 1.0 >= F.lit(t) * (F.size("aw") + F.size("bw") - shared) - 1e-9
-    fits = F.least(F.size("aw"), F.size("bw")) >= F.lit(t) * F.greatest(F.size("aw"), F.size("bw")) - 1e-9
-    verified = pairs.join(left, "a").join(right, "b").where(fits).where(alike)
-    first = F.col("ao") < F.col("bo")
-    links = stored(verified.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dst")), "dedup-links")
-
+    pairs = stored(block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"), ("sig", "m"), may_match(t)).distinct(), "dedup-pairs")
+    links = nodes.select("node", "ord")
+    links = stored(
+        verified(pairs, texts, texts, t).join(links.select(F.col("node").alias("a"), F.col("ord").alias("ao")), "a").join(links.select(F.col("node").alias("b"), F.col("ord").alias("bo")), "b")
+        .select(F.when(F.col("ao") < F.col("bo"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("ao") < F.col("bo"), F.col("b")).otherwise(F.col("a")).alias("dst")),
+        "dedup-links",
+    )
     if store.sets:
         past = spark.read.parquet(*store.sets)
-        probe = screened.where("seen").select("fp", "node")
-        held = spark.read.parquet(*store.prints).select("fp", F.col("node").alias("old"))
-        cand = probe.join(held, "fp").select("node", "old").distinct()
-        old = past.where("accepted").select(F.col("node").alias("old"), F.col("ws").alias("aw"))
-        new = nodes.select("node", F.col("ws").alias("bw"))
-        older = stored(cand.join(old, "old").join(new, "node").where(fits).where(alike).select(F.col("old").alias("src"), F.col("node").alias("dst")), "dedup-older")
+        probe = screened.where("seen").select("fp", F.col("node").alias("b"), F.col("sig").alias("y_sig"), F.col("m").alias("y_m"))
+        keys = probe.select("fp").distinct()
+        held = unpacked(spark.read.parquet(*store.prints)).select("fp", F.col("node").alias("a"), F.col("sig").alias("x_sig"), F.col("m").alias("x_m"))
+        held = held.join(F.broadcast(keys), "fp", "left_semi") if keys.count() <= BROADCAST_KEYS else held
+        held = stored(held, "dedup-held")
+        cand = stored(crossed(held, probe, "fp", "a", "b").where(may_match(t)).select("a", "b").distinct(), "dedup-candidates")
+        cand = cand.join(past.where("accepted").select(F.col("node").alias("a")), "a", "left_semi")
+        older = stored(verified(cand, spark.read.parquet(*store.texts), texts, t).select(F.col("a").alias("src"), F.col("b").alias("dst")), "dedup-older")
         rejected = older.select(F.col("dst").alias("node")).distinct()
     else:
         older, rejected = None, None
 
     refused = settle(links, rejected)
     states = nodes.join(refused.withColumn("refused", F.lit(True)), "node", "left").withColumn("accepted", F.col("refused").isNull())
-    sets_path = store._write(states.select("node", "ws", "accepted", "sk", "copies", "ord"), "sets")
+    sets_path = store._write(states.select("node", "accepted", "sk", "copies", "ord"), "sets")
     done = spark.read.parquet(sets_path)
 
     # what each word set matches among the accepted ones: accepted before it, accepted between it and a later copy, or itself
@@ -200,10 +311,38 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
 
     store.sets.append(sets_path)
     store.prints.append(path)
+    store.texts.append(texts_path)
     store.blooms.append(store._write(screened.where("bloom is not null").select("bucket", "bloom"), "bloom"))
     return result
 
 
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts really share ``threshold`` of their distinct words; texts come from (node, text) tables."""
+    ids_a, ids_b = pairs.select(F.col("a").alias("node")).distinct(), pairs.select(F.col("b").alias("node")).distinct()
+
+    def some(texts: DataFrame, ids: DataFrame) -> DataFrame:
+        return texts.join(F.broadcast(ids), "node", "left_semi") if ids.count() <= BROADCAST_KEYS else texts.join(ids, "node", "left_semi")
+
+    x = some(left, ids_a).select(F.col("node").alias("a"), F.col("text").alias("at"))
+    y = some(right, ids_b).select(F.col("node").alias("b"), F.col("text").alias("bt"))
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", F.array_distinct(words("at")).alias("aw"), F.array_distinct(words("bt")).alias("bw"))
+    shared = F.size(F.array_intersect("aw", "bw"))
+    return met.where(shared >= F.lit(threshold) * (F.size("aw") + F.size("bw") - shared) - 1e-9).select("a", "b").distinct()
+
+
+def crossed(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """left joined with right on ``key``, where a key may have many rows on both sides: those of a large key are dealt out
+    over a grid of tasks, the left ones by rows and the right ones by columns."""
+    side = 512
+    n_left = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).where(F.col("_l") > side)
+    n_right = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")).where(F.col("_r") > side)
+    grid = n_left.join(n_right, key, "full").select(key, F.ceil(F.coalesce("_l", F.lit(1)) / side).cast("int").alias("_kl"), F.ceil(F.coalesce("_r", F.lit(1)) / side).cast("int").alias("_kr"))
+    one = F.coalesce(F.col("_kl"), F.lit(1)), F.coalesce(F.col("_kr"), F.lit(1))
+    x = left.join(grid, key, "left").withColumn("_i", F.pmod(F.hash(a), one[0])).withColumn("_j", F.explode(F.sequence(F.lit(0), one[1] - 1))).drop("_kl", "_kr")
+    y = right.join(grid, key, "left").withColumn("_j", F.pmod(F.hash(b), one[1])).withColumn("_i", F.explode(F.sequence(F.lit(0), one[0] - 1))).drop("_kl", "_kr")
+    return x.join(y, [key, "_i", "_j"])
+
+
 def settle(links: DataFrame, rejected: DataFrame | None) -> DataFrame:
     """Nodes refused when each is accepted unless an earlier accepted one is linked to it.
 

@@ -25,27 +25,30 @@ def lookup_join(rows: DataFrame, right: DataFrame, key: str, weight: str, total:
     return hot.unionByName(cold)
 
 
-def block_pairs(rows: DataFrame, group: str, item: str, size: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, item: str, size: Column | None = None, carry: tuple[str, ...] = (), keep: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of distinct ``item`` values that share a ``group`` value, not made unique over groups.
 
-    A group of n items is cut into ceil(n / block_rows) blocks by a hash of the item, and each pair of blocks meets in a
-    task of its own, so no task holds a whole large group. Groups of one item fall away before anything is paired.
-    ``item`` must be unique within a group.
+    Groups of up to ``block_rows`` items meet in one task each. A larger group of n items is cut into ceil(n / block_rows)
+    blocks by a hash of the item, and each pair of blocks meets in a task of its own, so no task holds a whole large
+    group. ``item`` must be unique within a group. ``keep`` is tested on every pair as it is made; in it the ``carry``
+    columns of both sides are named ``x_...`` and ``y_...``.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if size is None:
-        sized = rows.join(sizes, group)
+        sized = rows.join(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), group)
     else:
         sized = rows.withColumn("_n", size).where("_n > 1")
     blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
-    placed = sized.select(group, item, blocks.alias("_k")).withColumn("_b", F.pmod(F.hash(F.lit(17), item), F.col("_k")))
-    spread = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(
-        group, item, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")
-    )
-    left = spread.where("_b = _i").select(group, "_i", "_j", F.col(item).alias("_x"))
-    right = spread.where("_b = _j").select(group, "_i", "_j", F.col(item).alias("_y"))
-    met = left.join(right, [group, "_i", "_j"]).where("(_i = _j and _x < _y) or (_i < _j and _x <> _y)")
-    return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+    sized = sized.select(group, item, *carry, blocks.alias("_k"))
+    sides = lambda df, p, *keys: df.select(group, *keys, F.col(item).alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in carry])
+    test = F.lit(True) if keep is None else keep
+    pair = [F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")]
+    small = sized.where("_k = 1").drop("_k")
+    near = sides(small, "x").join(sides(small, "y"), group).where("_x < _y").where(test).select(*pair)
+    placed = sized.where("_k > 1").withColumn("_b", F.pmod(F.hash(F.lit(17), item), F.col("_k")))
+    spread = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    left, right = sides(spread.where("_b = _i"), "x", "_i", "_j"), sides(spread.where("_b = _j"), "y", "_i", "_j")
+    far = left.join(right, [group, "_i", "_j"]).where("(_i = _j and _x < _y) or (_i < _j and _x <> _y)").where(test).select(*pair)
+    return near.unionByName(far)
 
 
 #: Group keys, at most, that are sent to all executors as a list; more take a shuffle join.
