@@ -46,8 +46,11 @@ BUCKET_ROWS = 200_000
 
 
 _WORD = re.compile("[a-z0-9]+")
-#: One fingerprint of one text: the hash, the text's node, the signature of its word set and the set's size.
-PRINT = np.dtype([("fp", "<u8"), ("node", "<i8"), ("sig", "<u8"), ("m", "<u4")])
+#: One fingerprint of one text: the hash, the text's node, and the size (12 bits) and signature (52 bits) of its word set.
+PRINT = np.dtype([("fp", "<u8"), ("node", "<i8"), ("sig", "<u8")])
+SIGNATURE_BITS = 52
+#: Sizes from here on are not told apart, and such sets are never pruned.
+LARGE_SET = 4095
 
 
 class _Hashes(dict):
@@ -127,25 +130,25 @@ def fingerprints(nodes: list[int], texts: list[str], threshold: float, hashes: d
     pairs = pd.DataFrame({"i": np.concatenate(which), "fp": np.concatenate(found)}).drop_duplicates()
     out = np.empty(len(pairs), PRINT)
     at = pairs["i"].to_numpy()
-    out["fp"], out["node"], out["sig"], out["m"] = pairs["fp"].to_numpy(), np.asarray(nodes, dtype=np.int64)[at], sig[at], m[at]
+    sig |= np.minimum(m, LARGE_SET).astype(np.uint64) << np.uint64(SIGNATURE_BITS)
+    out["fp"], out["node"], out["sig"] = pairs["fp"].to_numpy(), np.asarray(nodes, dtype=np.int64)[at], sig[at]
     return out
 
 
 def _signature(words: set[int]) -> int:
     bits = 0
     for h in words:
-        bits |= 1 << (h >> 58)
+        bits |= 1 << (h % SIGNATURE_BITS)
     return bits
 
 
 def may_match(threshold: float) -> Column:
     """False only where two word sets cannot reach the threshold: every bit that one signature has alone is a word that
     the other set lacks."""
-    shared = F.least(
-        F.col("x_m") - F.bit_count(F.col("x_sig").bitwiseAND(F.bitwise_not("y_sig"))),
-        F.col("y_m") - F.bit_count(F.col("y_sig").bitwiseAND(F.bitwise_not("x_sig"))),
-    )
-    return shared >= F.lit(threshold) * (F.col("x_m") + F.col("y_m") - shared) - 1e-9
+    xm, ym = (F.shiftrightunsigned(f"{p}_sig", SIGNATURE_BITS) for p in "xy")
+    xs, ys = (F.col(f"{p}_sig").bitwiseAND(F.lit(2**SIGNATURE_BITS - 1)) for p in "xy")
+    shared = F.least(xm - F.bit_count(xs.bitwiseAND(F.bitwise_not(ys))), ym - F.bit_count(ys.bitwiseAND(F.bitwise_not(xs))))
+    return (F.greatest(xm, ym) >= LARGE_SET) | (shared >= F.lit(threshold) * (xm + ym - shared) - 1e-9)
 
 
 def packed_prints(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
@@ -170,9 +173,9 @@ def unpacked(prints: DataFrame) -> DataFrame:
         for pdf in batches:
             for blob in pdf["prints"]:
                 p = np.frombuffer(blob, PRINT)
-                yield pd.DataFrame({"fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64), "m": p["m"].astype(np.int32)})
+                yield pd.DataFrame({"fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64)})
 
-    return prints.mapInPandas(scan, "fp long, node long, sig long, m int")
+    return prints.mapInPandas(scan, "fp long, node long, sig long")
 
 
 def _probes(fp: np.ndarray, bits: int) -> np.ndarray:
@@ -195,7 +198,7 @@ def bloom_test(filter_bytes: bytes, fp: np.ndarray) -> np.ndarray:
     return np.all((packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1, axis=0)
 
 
-SCREENED = "bucket int, fp long, node long, sig long, m int, n int, seen boolean, bloom binary"
+SCREENED = "bucket int, fp long, node long, sig long, n int, seen boolean, bloom binary"
 
 
 def _screen(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -209,10 +212,10 @@ def _screen(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     n, seen = counts[inverse], seen[inverse]
     keep = (n > 1) | seen
     p = p[keep]
-    out = pd.DataFrame({"bucket": key[0], "fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64), "m": p["m"].astype(np.int32), "n": n[keep].astype(np.int32), "seen": seen[keep], "bloom": None})
+    out = pd.DataFrame({"bucket": key[0], "fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64), "n": n[keep].astype(np.int32), "seen": seen[keep], "bloom": None})
     if not len(values):
         return out
-    made = pd.DataFrame({"bucket": [key[0]], "fp": [0], "node": [0], "sig": [0], "m": [0], "n": [0], "seen": [False], "bloom": [bloom_of(values)]})
+    made = pd.DataFrame({"bucket": [key[0]], "fp": [0], "node": [0], "sig": [0], "n": [0], "seen": [False], "bloom": [bloom_of(values)]})
     return pd.concat([out, made], ignore_index=True) if len(out) else made
 
 
@@ -259,7 +262,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     path = store._write(packed_prints(texts, store.buckets, t), "prints")
     filters = spark.read.parquet(*store.blooms) if store.blooms else spark.createDataFrame([], "bucket int, bloom binary")
     screened = stored(spark.read.parquet(path).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, SCREENED), "dedup-screened")
-    pairs = stored(block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"), ("sig", "m"), may_match(t)).distinct(), "dedup-pairs")
+    pairs = stored(block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"), ("sig",), may_match(t)).distinct(), "dedup-pairs")
     links = nodes.select("node", "ord")
     links = stored(
         verified(pairs, texts, texts, t).join(links.select(F.col("node").alias("a"), F.col("ord").alias("ao")), "a").join(links.select(F.col("node").alias("b"), F.col("ord").alias("bo")), "b")
@@ -268,9 +271,9 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     )
     if store.sets:
         past = spark.read.parquet(*store.sets)
-        probe = screened.where("seen").select("fp", F.col("node").alias("b"), F.col("sig").alias("y_sig"), F.col("m").alias("y_m"))
+        probe = screened.where("seen").select("fp", F.col("node").alias("b"), F.col("sig").alias("y_sig"))
         keys = probe.select("fp").distinct()
-        held = unpacked(spark.read.parquet(*store.prints)).select("fp", F.col("node").alias("a"), F.col("sig").alias("x_sig"), F.col("m").alias("x_m"))
+        held = unpacked(spark.read.parquet(*store.prints)).select("fp", F.col("node").alias("a"), F.col("sig").alias("x_sig"))
         held = held.join(F.broadcast(keys), "fp", "left_semi") if keys.count() <= BROADCAST_KEYS else held
         held = stored(held, "dedup-held")
         cand = stored(crossed(held, probe, "fp", "a", "b").where(may_match(t)).select("a", "b").distinct(), "dedup-candidates")
