@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.words import is_blank, words
-from gleaner.operators.skew import BROADCAST_KEYS, HEAVY_PARTS, block_pairs, lookup_join
+from gleaner.operators.skew import BROADCAST_KEYS, HEAVY_PARTS, block_pairs, crossed, lookup_join
 from gleaner.runtime import fresh_path, stored
 
 SHINGLE = 5
@@ -333,19 +333,6 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: flo
     return met.where(shared >= F.lit(threshold) * (F.size("aw") + F.size("bw") - shared) - 1e-9).select("a", "b").distinct()
 
 
-def crossed(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """left joined with right on ``key``, where a key may have many rows on both sides: those of a large key are dealt out
-    over a grid of tasks, the left ones by rows and the right ones by columns."""
-    side = 512
-    n_left = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).where(F.col("_l") > side)
-    n_right = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")).where(F.col("_r") > side)
-    grid = n_left.join(n_right, key, "full").select(key, F.ceil(F.coalesce("_l", F.lit(1)) / side).cast("int").alias("_kl"), F.ceil(F.coalesce("_r", F.lit(1)) / side).cast("int").alias("_kr"))
-    one = F.coalesce(F.col("_kl"), F.lit(1)), F.coalesce(F.col("_kr"), F.lit(1))
-    x = left.join(grid, key, "left").withColumn("_i", F.pmod(F.hash(a), one[0])).withColumn("_j", F.explode(F.sequence(F.lit(0), one[1] - 1))).drop("_kl", "_kr")
-    y = right.join(grid, key, "left").withColumn("_j", F.pmod(F.hash(b), one[1])).withColumn("_i", F.explode(F.sequence(F.lit(0), one[0] - 1))).drop("_kl", "_kr")
-    return x.join(y, [key, "_i", "_j"])
-
-
 def settle(links: DataFrame, rejected: DataFrame | None) -> DataFrame:
     """Nodes refused when each is accepted unless an earlier accepted one is linked to it.
 
