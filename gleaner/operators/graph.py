@@ -29,24 +29,24 @@ def build_edges(defs: DataFrame, refs: DataFrame, n_files: int) -> DataFrame:
     return met.groupBy("src", "dst").agg(F.sum("cnt").alias("weight"), F.sum(scale).alias("scaled"), F.slice(F.array_sort(F.collect_set("name")), 1, 5).alias("via"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40, cut_every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
     """(node, rank): weighted ranks after a fixed number of rounds; ranks of nodes without outgoing weight spread evenly.
 
-    ``nodes`` (node), each once; ``edges`` (src, dst, scaled) between them. Ranks sum to 1. Edges stay partitioned by
-    source over all rounds; each round shuffles only partial sums. The lineage is cut every ``cut_every`` rounds.
+    ``nodes`` (node), each once; ``edges`` (src, dst, scaled) between them. Ranks sum to 1. The rank that spreads evenly
+    is one number, summed on the executors; every round is checkpointed, so plans stay short and a lost executor costs
+    one round. No nodes give no rows.
     """
     n = nodes.count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.sum("scaled").alias("total")).where("total > 0")
-    links = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("scaled") / F.col("total")).alias("share")).where("share > 0").repartition("src"))
-    state = checkpointed(nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left").select("node", F.coalesce("sends", F.lit(False)).alias("sends"), F.lit(1.0 / n).alias("rank")).repartition("node"))
-    for k in range(1, iterations + 1):
-        loose = state.where("not sends").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        given = links.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        state = state.join(given, state.node == given.dst, "left").join(F.broadcast(loose)).select("node", "sends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % cut_every == 0 or k == iterations:
-            state = checkpointed(state)
+    links = checkpointed(edges.join(out, "src").select(F.col("src").alias("node"), "dst", (F.col("scaled") / F.col("total")).alias("share")).where("share > 0"))
+    state = checkpointed(nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left").select("node", F.coalesce("sends", F.lit(False)).alias("sends"), F.lit(1.0 / n).alias("rank")))
+    for _ in range(iterations):
+        loose = state.where("not sends").agg(F.sum("rank")).first()[0] or 0.0
+        given = links.join(state.select("node", "rank"), "node").select(F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("got"), F.lit(None).cast("boolean").alias("sends"))
+        every = given.unionByName(state.select("node", F.lit(0.0).alias("got"), "sends"))
+        state = checkpointed(every.groupBy("node").agg(F.max("sends").alias("sends"), ((1 - damping) / n + damping * (F.sum("got") + loose / n)).alias("rank")))
     return state.select("node", "rank")
 
 
