@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.words import bare, is_blank
-from gleaner.operators import dictionary_dedup, history_dedup, survivorship, term_weighting
+from gleaner.operators import dictionary_dedup, fusion, history_dedup, survivorship, term_weighting
 from gleaner.runtime import table
 
 
@@ -65,6 +65,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("principle_code", "field_name", "record_id")
 
 
+def p3_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most probable value of every field of every principle, by fusion of its sources: repositories and snapshots."""
+    rows = principle_records(spark, sf_dir)
+    plain = lambda n, kind: F.lower(F.trim(F.col(n))) if kind == "text" else F.col(n).cast("string")
+    claims = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.when(survivorship.usable(F.col(n), kind), plain(n, kind)).alias("value")) for n, kind, _ in PRINCIPLE_FIELDS])).alias("c")
+    listed = rows.select(F.col("principle_code").alias("code"), F.concat("origin", F.lit("/"), F.lower("source")).alias("source"), "at", F.col("record_id").alias("record"), claims)
+    fused = fusion.fuse(listed.select(F.concat("code", F.lit("|"), "c.field").alias("item"), "source", "c.value", "at", "record"))
+    return fused.select(F.split("item", r"\|")[0].alias("principle_code"), F.split("item", r"\|")[1].alias("field_name"), "value", F.round("posterior", 4).alias("posterior"), "n_sources")
+
+
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = term_weighting.term_scores(table(spark, sf_dir, "notes"), "note_id", "text")
     return s.select(F.col("id").alias("note_id"), "term", "tf", "df", "cf", F.round("score", 6).alias("score"))
@@ -76,4 +86,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("tf >= 4 and df between 2 and 6").select(F.col("id").alias("note_id"), "term")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_scores": p5_scores}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_fused": p3_fused, "p4_found": p4_found, "p5_found": p5_found, "p5_scores": p5_scores}
