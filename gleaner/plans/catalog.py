@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import graph_queries, index_queries, problem_sql, problems
+from gleaner.plans import graph_queries, index_queries, problem_sql, problems, quality_queries
 
-QUERIES = {**problems.QUERIES, **index_queries.QUERIES, **graph_queries.QUERIES}
-SQL = {**problem_sql.SQL, **index_queries.SQL, **graph_queries.SQL}
+QUERIES = {**problems.QUERIES, **index_queries.QUERIES, **graph_queries.QUERIES, **quality_queries.QUERIES}
+SQL = {**problem_sql.SQL, **index_queries.SQL, **graph_queries.SQL, **quality_queries.SQL}
