@@ -87,7 +87,7 @@ def fuse(claims: DataFrame, rounds: int = 4) -> DataFrame:
             v = np.array([texts.index(c["value"]) for c in claim])
             yield item, s, v, texts, posteriors(s, v, accuracy, dependence)
 
-    for _ in range(rounds):
+    for k in range(rounds + 1):
         model = spark.sparkContext.broadcast((accuracy, dependence))
         kt, kf, kd = (np.zeros((n, n)) for _ in range(3))
         sums = np.zeros((2, n))
@@ -124,8 +124,12 @@ def fuse(claims: DataFrame, rounds: int = 4) -> DataFrame:
             kt[at], kf[at], kd[at] = pair["t"], pair["f"], pair["d"]
             sums[0, own["i"]] += own["t"].to_numpy()
             sums[1, own["i"]] += own["f"].to_numpy()
-        accuracy = np.clip((sums[0] + 0.8) / (sums[1] + 1), 0.05, 0.95)
-        dependence = dependences(kt, kf, kd, accuracy)
+        if k == 0:
+            # what is true is not known yet, and a majority may be copies: sources that never differ are likely dependent
+            dependence = dependences(kt + kf, np.zeros((n, n)), kd, accuracy)
+        else:
+            accuracy = np.clip((sums[0] + 0.8) / (sums[1] + 1), 0.05, 0.95)
+            dependence = dependences(kt, kf, kd, accuracy)
     model = spark.sparkContext.broadcast((accuracy, dependence))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

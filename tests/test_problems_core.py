@@ -1,0 +1,188 @@
+"""Batch dedup, dictionary dedup, survivorship, fusion and term weighting against brute force and on edge cases."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.functions.words import bare
+from gleaner.operators import dictionary_dedup, fusion, history_dedup, skew, survivorship, term_weighting
+
+WORD = re.compile("[a-z0-9]+")
+PACKET = "packet_id long, batch_no int, statement string, value string"
+
+
+def expected_links(rows, threshold=0.7):
+    accepted, out, seen = [], set(), set()
+    for i, b, s, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        if i in seen or s is None or not s.strip():
+            continue
+        seen.add(i)
+        w = set(WORD.findall(s.lower()))
+        hit = [a for a, v in accepted if w and len(w & v) >= threshold * len(w | v) - 1e-9]
+        out.update((a, i) for a in hit)
+        if not hit and w:
+            accepted.append((i, w))
+    return out
+
+
+def random_statements(n, seed):
+    r = random.Random(seed)
+    vocab = [f"w{k}" for k in range(120)]
+    rows, made = [], []
+    for i in range(1, n + 1):
+        kind = r.random()
+        if kind < 0.08:
+            s = r.choice([None, "", "   ", "?!", "A", "a b", "a b c", "a b c d e"])
+        elif made and kind < 0.6:
+            words = r.choice(made).split()
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                words[r.randrange(len(words))] = r.choice(vocab)
+            s = " ".join(words).upper() if r.random() < 0.2 else ",  ".join(words)
+            s = re.sub(",  ", r.choice([" ", ", "]), s)
+        else:
+            s = " ".join(r.choices(vocab, k=r.choice([2, 4, 7, 16, 25])))
+        if s and WORD.findall(s.lower()):
+            made.append(s)
+        rows.append((i, i * 4 // n, s, "x"))
+    return rows + [rows[3], rows[3], rows[10]]
+
+
+def ingest_all(spark, rows):
+    df = spark.createDataFrame(rows, PACKET)
+    store = history_dedup.HistoryStore.create(spark, 100)
+    got = []
+    for part in ("batch_no = 0", "batch_no = 1", "batch_no > 1"):
+        got += [tuple(r) for r in history_dedup.ingest(store, df.where(part), "packet_id", "statement", ["batch_no"]).collect()]
+    return got
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ingest_matches_brute_force(spark, seed):
+    rows = random_statements(160, seed)
+    got = ingest_all(spark, rows)
+    assert len(got) == len(set(got))
+    want = expected_links(rows)
+    assert set(got) <= want
+    # what a text shares with an accepted one must hold five words in a row, unless either is short
+    assert len(want - set(got)) <= 0.02 * len(want)
+
+
+def test_ingest_hot_group_and_empty(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(i, 0, text if i % 3 else f"other {i} words {i * 7} here {i * 13} and {i * 17} more {i * 19} of {i * 23}", None) for i in range(1, 61)]
+    assert set(ingest_all(spark, rows)) == expected_links(rows)
+    assert ingest_all(spark, []) == []
+
+
+def test_signature_prunes_no_match():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        x = set(r.integers(0, 2**62, 20).tolist())
+        y = set(list(x)[:17]) | set(r.integers(0, 2**62, 2).tolist())
+        sx, sy = history_dedup._signature(x), history_dedup._signature(y)
+        bound = min(len(x) - (sx & ~sy).bit_count(), len(y) - (sy & ~sx).bit_count())
+        assert bound >= len(x & y)
+
+
+def test_bloom_has_no_false_negative():
+    fp = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
+    b = history_dedup.bloom_of(fp)
+    assert history_dedup.bloom_test(b, fp).all()
+    assert history_dedup.bloom_test(b, fp ^ np.uint64(0xABCDEF)).mean() < 0.05
+
+
+def test_copies_under_layout(spark):
+    rows = [(1, "Principle", "a. B", None), (2, "principle ", "A b", None), (3, "PRINCIPLE", "ab!", "x"), (4, None, "ab", None), (5, None, "AB", None), (6, "p", "", None), (6, "p", "", None), (7, "p", "", None)]
+    df = spark.createDataFrame(rows, "packet_id long, kind string, statement string, extra string")
+    got = {tuple(r) for r in dictionary_dedup.copies(df, "packet_id", ["kind", "statement"], bare).collect()}
+    assert got == {(1, 2), (1, 3), (4, 5), (6, 7)}
+    assert dictionary_dedup.copies(df.limit(0), "packet_id", ["kind", "statement"], bare).count() == 0
+
+
+def test_copies_without_broadcast_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(dictionary_dedup, "BROADCAST_ENTRIES", 0)
+    r = random.Random(3)
+    rows = [(i, r.choice(["a", "A ", "b", None]), r.choice(["x y", "X-Y", "z"]), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "packet_id long, kind string, statement string, extra string")
+    groups = defaultdict(list)
+    for i, k, s, _ in rows:
+        groups[(None if k is None else re.sub("[^a-z0-9]", "", k.lower()), re.sub("[^a-z0-9]", "", s.lower()))].append(i)
+    want = {(min(g), i) for g in groups.values() for i in g if i != min(g)}
+    assert {tuple(x) for x in dictionary_dedup.copies(df, "packet_id", ["kind", "statement"], bare).collect()} == want
+
+
+def test_best_values(spark):
+    t = "timestamp '2030-01-0{}'"
+    rows = spark.sql(
+        f"""select * from values
+        ('A', 1L, 'Weak', {t.format(1)}, 'first'), ('A', 2L, ' STRONG', {t.format(2)}, 'N/A'), ('A', 3L, 'strong', {t.format(3)}, null),
+        ('A', 4L, 'weak', {t.format(5)}, 'second'), ('A', 5L, 'weak', {t.format(5)}, 'third'), ('A', 5L, 'weak', {t.format(5)}, 'third'),
+        ('B', 6L, 'strong', {t.format(1)}, 'alone'), ('B', 6L, 'strong', {t.format(1)}, 'alone'), (null, 7L, 'strong', {t.format(1)}, 'x'), (null, 8L, null, null, null)
+        as v(code, id, support, at, text)"""
+    )
+    got = {(r[0], r[1]): r[2] for r in survivorship.best_values(rows, "code", "id", [("support", "text", "trust"), ("text", "text", "trust"), ("at", "time", "latest")], "support", "at").collect()}
+    assert got == {("A", "support"): 3, ("A", "text"): 4, ("A", "at"): 4}
+    assert survivorship.best_values(rows.limit(0), "code", "id", [("text", "text", "trust")], "support", "at").count() == 0
+
+
+def test_fusion_discounts_copiers(spark):
+    r = random.Random(7)
+    rows = []
+    for k in range(60):
+        truth = f"t{k}"
+        for s in ("a", "b", "c"):
+            rows.append((f"i{k}", s, truth if r.random() < 0.9 else f"e{s}{k}", None, k))
+        wrong = truth if r.random() < 0.3 else f"w{k}"
+        rows += [(f"i{k}", s, wrong, None, k) for s in ("x1", "x2", "x3", "x4")]
+    rows += [("n", None, "v", None, 1), (None, "a", "v", None, 1), ("m", "a", None, None, 1), rows[0]]
+    df = spark.createDataFrame(rows, "item string, source string, value string, at timestamp, record long")
+    got = {x["item"]: x["value"] for x in fusion.fuse(df).collect()}
+    plain = Counter()
+    votes = defaultdict(Counter)
+    for i, s, v, _, _ in rows[:-1]:
+        if i and s and v:
+            votes[i][v] += 1
+    plain = sum(votes[f"i{k}"].most_common(1)[0][0] == f"t{k}" for k in range(60))
+    assert set(got) == {f"i{k}" for k in range(60)}
+    assert sum(got[f"i{k}"] == f"t{k}" for k in range(60)) > plain + 15
+    assert fusion.fuse(df.limit(0)).count() == 0
+
+
+def test_term_scores(spark):
+    texts = {1: "alpha alpha beta the the", 2: "beta gamma the", 3: None, 4: "", 5: "alpha's ab x9 THE"}
+    df = spark.createDataFrame([*texts.items(), (1, texts[1])], "note_id long, text string").withColumn("term", F.lit("clash")).withColumn("df", F.lit(1))
+    got = {(r["id"], r["term"]): (r["tf"], r["df"], r["cf"], r["score"]) for r in term_weighting.term_scores(df, "note_id", "text").collect()}
+    words = {i: re.findall("[a-z]{3,}", (t or "").lower()) for i, t in texts.items()}
+    n, mean = len(texts), sum(map(len, words.values())) / len(texts)
+    want = {}
+    for i, ws in words.items():
+        for w, tf in Counter(ws).items():
+            cf, d = sum(x.count(w) for x in words.values()), sum(w in x for x in words.values())
+            lam, tfn = cf / n, tf * math.log2(1 + mean / len(ws))
+            want[(i, w)] = (tf, d, cf, (math.log2(1 + lam) - tfn * math.log2(lam / (1 + lam))) / (tfn + 1))
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
+    assert term_weighting.term_scores(df.limit(0), "note_id", "text").count() == 0
+    assert [r["term"] for r in term_weighting.top_terms(term_weighting.term_scores(df, "note_id", "text"), 1).where("id = 2").collect()] == ["gamma"]
+
+
+def test_block_pairs_and_crossed(spark):
+    rows = [("h", i) for i in range(50)] + [("g", 1), ("g", 2), ("o", 9)]
+    df = spark.createDataFrame(rows, "grp string, item long")
+    got = [tuple(r) for r in skew.block_pairs(df, "grp", "item", block_rows=7).collect()]
+    assert len(got) == 50 * 49 // 2 + 1 and {(a, b) for a, b in got} == {(a, b) for a in range(50) for b in range(a + 1, 50)}
+    x = spark.createDataFrame([("h", i) for i in range(600)] + [("o", 1)], "k string, a long")
+    assert skew.crossed(x, x.withColumnRenamed("a", "b"), "k", "a", "b").count() == 600 * 600 + 1
+
+
+def test_lookup_join_splits_heavy_keys(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(90)] + [("b", 1), (None, 2)], "k string, v long")
+    right = spark.createDataFrame([("a", 90, 1), ("b", 1, 2)], "k string, n long, code int")
+    for parts in (1, 2, 10**6):
+        assert Counter(r["code"] for r in skew.lookup_join(rows, right, "k", "n", 92, parts).collect()) == {1: 90, 2: 1}
