@@ -46,11 +46,34 @@ BUCKET_ROWS = 200_000
 
 
 _WORD = re.compile("[a-z0-9]+")
-#: One fingerprint of one text: the hash, the text's node, and the size (12 bits) and signature (52 bits) of its word set.
+#: One fingerprint of one text: the hash, the text's node, and the size (8 bits) and signature (40 bits) of its word set.
 PRINT = np.dtype([("fp", "<u8"), ("node", "<i8"), ("sig", "<u8")])
-SIGNATURE_BITS = 52
+#: The same as it is stored and shuffled: 18 bytes, the node as a distance from the smallest node of the pack.
+PACKED = np.dtype([("fp", "<u8"), ("far", "<u4"), ("low", "<u4"), ("high", "<u2")])
+SIGNATURE_BITS = 40
 #: Sizes from here on are not told apart, and such sets are never pruned.
-LARGE_SET = 4095
+LARGE_SET = 255
+
+
+def pack(prints: np.ndarray) -> list[bytes]:
+    """The PRINT records as packs; there is more than one only where nodes lie 2**32 or more apart."""
+    packs, rest = [], prints[np.argsort(prints["node"], kind="stable")]
+    while len(rest):
+        base = rest["node"][0]
+        near = rest["node"] < base + 2**32
+        part, rest = rest[near], rest[~near]
+        out = np.empty(len(part), PACKED)
+        out["fp"], out["far"], out["low"], out["high"] = part["fp"], part["node"] - base, part["sig"] & np.uint64(0xFFFFFFFF), part["sig"] >> np.uint64(32)
+        packs.append(base.tobytes() + out.tobytes())
+    return packs
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    part = np.frombuffer(blob, PACKED, offset=8)
+    out = np.empty(len(part), PRINT)
+    out["fp"], out["node"] = part["fp"], part["far"].astype(np.int64) + np.frombuffer(blob, "<i8", 1)[0]
+    out["sig"] = part["low"].astype(np.uint64) | (part["high"].astype(np.uint64) << np.uint64(32))
+    return out
 
 
 class _Hashes(dict):
@@ -162,8 +185,8 @@ def packed_prints(texts: DataFrame, buckets: int, threshold: float) -> DataFrame
             order = np.argsort(at, kind="stable")
             at, got = at[order], got[order]
             cut = np.flatnonzero(np.diff(at)) + 1
-            parts = np.split(got, cut) if len(got) else []
-            yield pd.DataFrame({"bucket": [int(x[0]) for x in np.split(at, cut)] if len(got) else [], "prints": [x.tobytes() for x in parts]})
+            rows = [(int(b[0]), blob) for b, part in zip(np.split(at, cut), np.split(got, cut)) for blob in pack(part)]
+            yield pd.DataFrame(rows, columns=["bucket", "prints"])
 
     return texts.mapInPandas(scan, "bucket int, prints binary")
 
@@ -172,7 +195,7 @@ def unpacked(prints: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for blob in pdf["prints"]:
-                p = np.frombuffer(blob, PRINT)
+                p = unpack(blob)
                 yield pd.DataFrame({"fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64)})
 
     return prints.mapInPandas(scan, "fp long, node long, sig long")
@@ -203,7 +226,7 @@ SCREENED = "bucket int, fp long, node long, sig long, n int, seen boolean, bloom
 
 def _screen(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     """Fingerprints of one bucket that occur twice in the batch or may be in the store (all others match nothing), and the bucket's new filter."""
-    p = np.concatenate([np.frombuffer(b, PRINT) for b in new["prints"]]) if len(new) else np.empty(0, PRINT)
+    p = np.concatenate([unpack(b) for b in new["prints"]]) if len(new) else np.empty(0, PRINT)
     p = p[~pd.DataFrame({"fp": p["fp"], "node": p["node"]}).duplicated().to_numpy()]  # rows of one id that came twice
     values, inverse, counts = np.unique(p["fp"], return_inverse=True, return_counts=True)
     seen = np.zeros(len(values), dtype=bool)
