@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.runtime import stored
+
 #: A key is heavy when it holds at least one row in HEAVY_PARTS, so there are never more than HEAVY_PARTS heavy keys.
 HEAVY_PARTS = 2048
 #: Rows of a group that meet each other in one task when a group is paired in blocks.
@@ -61,8 +63,6 @@ def repeated_only(rows: DataFrame, group: str, item: str) -> DataFrame:
     One map-side combined pass finds the repeated groups; their keys are counted, and sent by broadcast only while there
     are at most BROADCAST_KEYS of them.
     """
-    from gleaner.runtime import stored
-
     keys = stored(rows.groupBy(group).agg(F.min(item).alias("_lo"), F.max(item).alias("_hi")).where("_lo < _hi").select(group), "repeated-groups")
     few = keys.count() <= BROADCAST_KEYS
     return rows.join(F.broadcast(keys) if few else keys, group, "left_semi")
@@ -75,7 +75,12 @@ def crossed(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> Data
     n_left = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).where(F.col("_l") > side)
     n_right = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")).where(F.col("_r") > side)
     grid = n_left.join(n_right, key, "full").select(key, F.ceil(F.coalesce("_l", F.lit(1)) / side).cast("int").alias("_kl"), F.ceil(F.coalesce("_r", F.lit(1)) / side).cast("int").alias("_kr"))
+    grid = stored(grid, "large-keys")
+    large = grid.count()  # at most one in ``side`` rows
+    if large == 0:
+        return left.join(right, key)
+    grid = F.broadcast(grid) if large <= BROADCAST_KEYS else grid
     one = F.coalesce(F.col("_kl"), F.lit(1)), F.coalesce(F.col("_kr"), F.lit(1))
     x = left.join(grid, key, "left").withColumn("_i", F.pmod(F.hash(a), one[0])).withColumn("_j", F.explode(F.sequence(F.lit(0), one[1] - 1))).drop("_kl", "_kr")
     y = right.join(grid, key, "left").withColumn("_j", F.pmod(F.hash(b), one[1])).withColumn("_i", F.explode(F.sequence(F.lit(0), one[0] - 1))).drop("_kl", "_kr")
-    return x.join(y, [key, "_i", "_j"])
+    return x.join(y, [key, "_i", "_j"]).drop("_i", "_j")
