@@ -186,3 +186,17 @@ def test_lookup_join_splits_heavy_keys(spark):
     right = spark.createDataFrame([("a", 90, 1), ("b", 1, 2)], "k string, n long, code int")
     for parts in (1, 2, 10**6):
         assert Counter(r["code"] for r in skew.lookup_join(rows, right, "k", "n", 92, parts).collect()) == {1: 90, 2: 1}
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"word{k}" for k in range(40_000))
+    rows = [(1, 0, long, "a"), (2, 0, long.upper() + " extra", "b"), (3, None, "short one", "c"), (4, 1, "short, ONE!", None), (5, 1, long[:200_000], "d")]
+    df = spark.createDataFrame(rows, PACKET).select("*", *[F.lit(1).alias(c) for c in ("node", "fp", "sk", "ord", "id", "text", "a", "b", "copies", "n")])
+    store = history_dedup.HistoryStore.create(spark, 10)
+    got = {tuple(r) for r in history_dedup.ingest(store, df, "packet_id", "statement", ["batch_no"]).collect()}
+    # a null batch comes before all others
+    assert got == {(1, 2), (3, 4)}
+    same = df.select("*", F.lit("x").alias("tuple"), F.lit("y").alias("k0"), F.lit("z").alias("f0"))
+    assert {tuple(r) for r in dictionary_dedup.copies(same, "packet_id", ["statement"], bare).collect()} == {(3, 4)}
+    clash = df.select(F.lit("A").alias("grp"), F.lit("C").alias("code"), "packet_id", "statement", F.lit("weak").alias("support"), F.current_timestamp().alias("at"), F.lit(1).alias("lo"), F.lit(2).alias("hi"))
+    assert [r["record_id"] for r in survivorship.best_values(clash, "code", "packet_id", [("statement", "text", "trust")], "support", "at").collect()] == [1]
