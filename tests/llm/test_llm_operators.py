@@ -202,3 +202,17 @@ def test_every_passage_holds_a_whole_line():
         x = shared_spans.lines(a, np.array([len(a)]))[2]
         y = shared_spans.lines(b, np.array([len(b)]))[2]
         assert len(np.intersect1d(x, y))
+
+
+def test_clashing_columns_and_long_texts(spark):
+    r = random.Random(9)
+    shared = "".join(r.choices("abcdefghij ", k=500))
+    noise = lambda n: "".join(r.choices("klmnopqrst ", k=n))
+    rows = [(1, noise(150_000) + shared + noise(10)), (2, shared), (3, noise(600)), (4, "z" * 150_000), (5, "z" * 450 + noise(20)), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("a", "b", "digest", "tk", "doc", "n", "id", "host", "source", "tokens", "start", "item_id", "spans")])
+    assert {tuple(x) for x in shared_spans.sharing_documents(df, "doc_id", "text").collect()} == {(1, 2), (4, 5)}
+    items = spark.createDataFrame([(9, " ".join(rows[2][1].split()[:25]), 1)], "item_id long, passage string, doc_id int")
+    assert {(x["doc_id"], x["item_id"]) for x in leakage.leaks(df, "doc_id", "text", items, "item_id", "passage").collect()} == {(3, 9)}
+    placed, _ = mixing.mixture(df.withColumn("source", F.lit("s")).withColumn("runs", F.lit(1)).withColumn("want", F.lit(2)), "doc_id", spark.createDataFrame([("s", 1.0, 1)], PLAN))
+    assert placed.count() == 6
+    assert templates.template_cuts(df, "doc_id", "host", "text").count() == 0
