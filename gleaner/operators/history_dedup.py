@@ -174,14 +174,25 @@ def may_match(threshold: float) -> Column:
     return (F.greatest(xm, ym) >= LARGE_SET) | (shared >= F.lit(threshold) * (xm + ym - shared) - 1e-9)
 
 
-def packed_prints(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """(bucket, prints): the fingerprints of (node, text) rows, packed by bucket."""
+#: A fingerprint that so many texts of one Arrow batch share, and HOT_SHARE of the batch, bypasses the buckets.
+HOT_ROWS = 200
+HOT_SHARE = 0.02
+
+
+def packed_prints(texts: DataFrame, buckets: int, threshold: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(bucket, prints): the fingerprints of (node, text) rows, packed by bucket.
+
+    Fingerprints of stock phrases, which many texts of a batch share, go into packs of their own with the bucket
+    -1 - bucket, so that no bucket grows with them.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for pdf in batches:
             got = fingerprints(list(pdf["node"]), list(pdf["text"]), threshold, hashes)
             at = (got["fp"] % np.uint64(buckets)).astype(np.int64)
+            _, inverse, counts = np.unique(got["fp"], return_inverse=True, return_counts=True)
+            at = np.where((counts >= max(hot_rows, HOT_SHARE * len(pdf)))[inverse], -1 - at, at)
             order = np.argsort(at, kind="stable")
             at, got = at[order], got[order]
             cut = np.flatnonzero(np.diff(at)) + 1
@@ -225,16 +236,19 @@ SCREENED = "bucket int, fp long, node long, sig long, n int, seen boolean, bloom
 
 
 def _screen(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """Fingerprints of one bucket that occur twice in the batch or may be in the store (all others match nothing), and the bucket's new filter."""
+    """Fingerprints of one bucket that occur twice in the batch, may be in the store or are hot (all others match nothing),
+    and the bucket's new filter. ``filters`` has the bucket's older filters and its hot fingerprints."""
     p = np.concatenate([unpack(b) for b in new["prints"]]) if len(new) else np.empty(0, PRINT)
     p = p[~pd.DataFrame({"fp": p["fp"], "node": p["node"]}).duplicated().to_numpy()]  # rows of one id that came twice
     values, inverse, counts = np.unique(p["fp"], return_inverse=True, return_counts=True)
     seen = np.zeros(len(values), dtype=bool)
-    for b in filters["bloom"]:
+    for b in filters["bloom"].dropna():
         seen |= bloom_test(b, values).astype(bool)
+    hot = filters["hot"].dropna().to_numpy(dtype=np.int64).view(np.uint64)
     n, seen = counts[inverse], seen[inverse]
-    keep = (n > 1) | seen
+    keep = (n > 1) | seen | np.isin(p["fp"], hot)
     p = p[keep]
+    values = np.union1d(values, hot)
     out = pd.DataFrame({"bucket": key[0], "fp": p["fp"].copy().view(np.int64), "node": p["node"], "sig": p["sig"].copy().view(np.int64), "n": n[keep].astype(np.int32), "seen": seen[keep], "bloom": None})
     if not len(values):
         return out
@@ -249,6 +263,7 @@ class HistoryStore:
     spark: SparkSession
     buckets: int
     threshold: float = 0.7
+    hot_rows: int = HOT_ROWS
     sets: list[str] = field(default_factory=list)
     prints: list[str] = field(default_factory=list)
     blooms: list[str] = field(default_factory=list)
@@ -282,9 +297,26 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     texts = rows.select(F.col("id").alias("node"), "text").where(F.lower("text").rlike("[a-z0-9]")).join(F.broadcast(others) if few else others, "node", "left_anti")
     texts_path = store._write(texts, "texts")
     texts = spark.read.parquet(texts_path)
-    path = store._write(packed_prints(texts, store.buckets, t), "prints")
+    path = store._write(packed_prints(texts, store.buckets, t, store.hot_rows), "prints")
+    prints = spark.read.parquet(path)
     filters = spark.read.parquet(*store.blooms) if store.blooms else spark.createDataFrame([], "bucket int, bloom binary")
-    screened = stored(spark.read.parquet(path).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, SCREENED), "dedup-screened")
+    filters = filters.withColumn("hot", F.lit(None).cast("long"))
+    hot = unpacked(prints.where("bucket < 0")).distinct()
+    has_hot = not prints.where("bucket < 0").isEmpty()
+    if has_hot:
+        hot = stored(hot, "dedup-hot")
+        keys = stored(hot.select("fp").distinct(), "dedup-hot-keys")
+        bucket = F.pmod(F.col("fp").cast("decimal(20,0)") + F.when(F.col("fp") < 0, F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.lit(0)), F.lit(store.buckets)).cast("int")
+        filters = filters.unionByName(keys.select(bucket.alias("bucket"), F.lit(None).cast("binary").alias("bloom"), F.col("fp").alias("hot")))
+    screened = stored(prints.where("bucket >= 0").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, SCREENED), "dedup-screened")
+    made = screened.where("bloom is not null").select("bucket", "bloom")
+    screened = screened.where("bloom is null").select("fp", "node", "sig", "n", "seen")
+    if has_hot:
+        few_keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        all_hot = hot.unionByName(screened.join(few_keys, "fp", "left_semi").select("fp", "node", "sig")).distinct()
+        sizes = all_hot.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        sizes = F.broadcast(sizes) if keys.count() <= BROADCAST_KEYS else sizes
+        screened = stored(screened.join(few_keys, "fp", "left_anti").unionByName(all_hot.join(sizes, "fp").withColumn("seen", F.lit(True))), "dedup-screened-all")
     pairs = stored(block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"), ("sig",), may_match(t)).distinct(), "dedup-pairs")
     links = nodes.select("node", "ord")
     links = stored(
@@ -338,7 +370,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     store.sets.append(sets_path)
     store.prints.append(path)
     store.texts.append(texts_path)
-    store.blooms.append(store._write(screened.where("bloom is not null").select("bucket", "bloom"), "bloom"))
+    store.blooms.append(store._write(made, "bloom"))
     return result
 
 

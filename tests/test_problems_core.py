@@ -52,9 +52,10 @@ def random_statements(n, seed):
     return rows + [rows[3], rows[3], rows[10]]
 
 
-def ingest_all(spark, rows):
-    df = spark.createDataFrame(rows, PACKET)
+def ingest_all(spark, rows, hot_rows=history_dedup.HOT_ROWS):
+    df = spark.createDataFrame(rows, PACKET).coalesce(3)
     store = history_dedup.HistoryStore.create(spark, 100)
+    store.hot_rows = hot_rows
     got = []
     for part in ("batch_no = 0", "batch_no = 1", "batch_no > 1"):
         got += [tuple(r) for r in history_dedup.ingest(store, df.where(part), "packet_id", "statement", ["batch_no"]).collect()]
@@ -79,6 +80,15 @@ def test_ingest_hot_group_and_empty(spark):
     assert ingest_all(spark, []) == []
 
 
+def test_ingest_with_stock_phrases(spark):
+    rows = random_statements(150, 3)
+    r = random.Random(8)
+    rows = [(i, b, s and len(s) > 30 and r.random() < 0.5 and "in the very same order as before " + s or s, v) for i, b, s, v in rows]
+    rows += [rows[3]]
+    rows = list({x[0]: x for x in rows}.values())
+    assert set(ingest_all(spark, rows, hot_rows=3)) == set(ingest_all(spark, rows)) <= expected_links(rows)
+
+
 def test_signature_prunes_no_match():
     r = np.random.default_rng(5)
     for _ in range(200):
