@@ -110,6 +110,15 @@ def p8_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "n_chars", "shared_chars", "kept_chars", F.to_json("removed").alias("removed"))
 
 
+P6_FOUND = """
+with i as (select item_id, any_value(regexp_extract_all(lower(passage), '[a-z0-9]+')) w from eval_items where passage is not null group by 1),
+k as (select item_id, w, least(20, len(w)) n from i where len(w) > 0),
+g as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') s from (select item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) p from k)),
+d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents where text is not null),
+h as (select doc_id, n, array_to_string(w[p:p + n - 1], ' ') s from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) p from d, (select distinct n from k) where len(w) >= n))
+select distinct doc_id, item_id from h join g using (n, s)
+"""
+
 P8_FOUND = """
 with w as (select distinct doc_id, md5(substring(text, i, 400)) h from (select doc_id, text, unnest(generate_series(1, length(text) - 399)) i from documents where length(text) >= 400)),
 g as (select h from w group by h having count(*) > 1),
@@ -118,4 +127,4 @@ select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h =
 """
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_budget_shares": p7_budget_shares, "p8_found": p8_found, "p8_parts": p8_parts}
-SQL = {"p8_found": P8_FOUND}
+SQL = {"p6_found": P6_FOUND, "p8_found": P8_FOUND}
