@@ -6,21 +6,25 @@ fingerprints (split into buckets) and one Bloom filter per bucket. ``ingest`` ta
 1. Equal word sets of the batch are collapsed; the earliest stands for the others.
 2. Each set's fingerprints are winnowed: of every WINDOW consecutive SHINGLE-word shingles (in the order of the text)
    the smallest hash is kept. Two texts that share SHINGLE + WINDOW - 1 consecutive words share a fingerprint.
-   Sets of up to SHORT words also get prefix fingerprints, with which no pair over the threshold is missed at all.
+   Sets of up to SHORT words also get prefix fingerprints. Larger sets get prefix keys in a table of their own (see
+   ``prefix_keys``), which meet those of the batch and of the store bucket by bucket. With both no pair over the threshold
+   is missed, whatever the order of its words.
 3. Bloom filters, one per bucket, tell which fingerprints may be in the store; only these are looked up there.
 4. Candidates are verified on the word sets themselves: shared words over all words.
 5. Texts are accepted in order. A text is rejected as soon as one earlier text that it matches is accepted, and accepted
    once all earlier ones that it matches are rejected; each round settles at least the first open text of every chain.
 6. Store and filters take up the batch.
 
-Nothing of the history is recomputed: a batch costs its own fingerprints plus the looked-up part of the store.
+Nothing of the history is recomputed: a batch costs its own fingerprints, and the fingerprints and prefix keys of the
+store are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -43,6 +47,19 @@ BLOOM_BITS = 10
 BLOOM_PROBES = 6
 #: Fingerprints a bucket is made for.
 BUCKET_ROWS = 200_000
+#: A prefix key is a word, or as many words together, up to DEPTH, as are expected in at most RARE texts of the first batch.
+RARE = 4096
+DEPTH = 3
+#: Sets of more words get single words as prefix keys, since they would have too many combinations.
+LONG = 64
+#: Words, at most, whose frequency in the first batch is kept; they order the words of all batches, others come first.
+ORDER_WORDS = 65_536
+#: Bits of the signature of a prefix key's set.
+PREFIX_BITS = 56
+#: Texts of one prefix key that meet in one task; larger keys are paired in blocks.
+MEET_ROWS = 16_384
+#: A prefix key of that share of an Arrow batch bypasses the buckets.
+PREFIX_HOT_SHARE = 0.1
 
 
 _WORD = re.compile("[a-z0-9]+")
@@ -143,7 +160,7 @@ def fingerprints(nodes: list[int], texts: list[str], threshold: float, hashes: d
                     h = h * np.uint64(0x100000001B3) + x
             which.append(np.array([i]))
             found.append(_mix(np.array([h])))
-    for i in np.flatnonzero(m <= SHORT):
+    for i in np.flatnonzero(m <= _short(threshold)):
         ranked = np.sort(np.array(list(sets[i]), dtype=np.uint64))
         take = ranked[: int(m[i]) - math.ceil(int(m[i]) * threshold - 1e-9) + 1]
         which.append(np.full(len(take), i))
@@ -158,22 +175,209 @@ def fingerprints(nodes: list[int], texts: list[str], threshold: float, hashes: d
     return out
 
 
-def _signature(words: set[int]) -> int:
+def _signature(words: set[int], width: int = SIGNATURE_BITS) -> int:
     bits = 0
     for h in words:
-        bits |= 1 << (h % SIGNATURE_BITS)
+        bits |= 1 << (h % width)
     return bits
 
 
-def may_match(threshold: float) -> Column:
+def may_match(threshold: float, width: int = SIGNATURE_BITS) -> Column:
     """False only where two word sets cannot reach the threshold: every bit that one signature has alone is a word that
     the other set lacks."""
-    xm, ym = (F.shiftrightunsigned(f"{p}_sig", SIGNATURE_BITS) for p in "xy")
-    xs, ys = (F.col(f"{p}_sig").bitwiseAND(F.lit(2**SIGNATURE_BITS - 1)) for p in "xy")
+    xm, ym = (F.shiftrightunsigned(f"{p}_sig", width) for p in "xy")
+    xs, ys = (F.col(f"{p}_sig").bitwiseAND(F.lit(2**width - 1)) for p in "xy")
     shared = F.least(xm - F.bit_count(xs.bitwiseAND(F.bitwise_not(ys))), ym - F.bit_count(ys.bitwiseAND(F.bitwise_not(xs))))
     return (F.greatest(xm, ym) >= LARGE_SET) | (shared >= F.lit(threshold) * (xm + ym - shared) - 1e-9)
 
 
+def _short(threshold: float) -> int:
+    """Sets of up to so many words have prefix fingerprints; others share at least DEPTH words with all they match."""
+    return max(SHORT, math.floor(DEPTH / threshold**2))
+
+
+@dataclass
+class WordOrder:
+    """The texts of the first batch and how many of them have each word (by its hash). It never changes in a store."""
+
+    texts: int
+    counts: dict[int, int]
+
+
+def word_order(texts: DataFrame) -> WordOrder | None:
+    n = texts.count()
+    if n == 0:
+        return None
+    counts = texts.select(F.explode(F.array_distinct(words("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(ORDER_WORDS).collect()
+    return WordOrder(n, {xxhash.xxh3_64_intdigest(r["word"]): r["n"] for r in top})
+
+
+def prefix_keys(words: set[int], threshold: float, order: WordOrder, rare: int = RARE) -> list[int]:
+    """Keys of which two sets over the threshold always have one in common, unless both are short.
+
+    Words are taken in one order for all texts, the rarest first. A set of m words shares at least a = ceil(threshold * m)
+    with each set that it matches, so the d-th word shared is among the first m - a + d words of both. The key is the first
+    shared word if it is rare, else the first and the second, and so on.
+    """
+    m = len(words)
+    if m < threshold * (_short(threshold) + 1) - 1e-6:
+        return []
+    spare = m - math.ceil(m * threshold - 1e-9)
+    ranked = sorted((order.counts.get(h, 0), h) for h in words)[: spare + DEPTH]
+    keys = []
+
+    def extend(key: int, start: int, expected: float, depth: int) -> None:
+        for i in range(start, spare + depth):
+            n, h = ranked[i]
+            both, seen = ((key ^ h) * 0x9E3779B97F4A7C15 + depth) & 0xFFFFFFFFFFFFFFFF, expected * n / order.texts
+            if depth == DEPTH or seen <= rare:
+                keys.append(both)
+            else:
+                extend(both ^ (both >> 29), i + 1, seen, depth + 1)
+
+    if m <= LONG:
+        extend(1, 0, order.texts, 1)
+    if m >= threshold * (LONG + 1) - 1e-6:
+        keys += [h ^ 0x5851F42D4C957F2D for _, h in ranked[: spare + 1]]
+    return keys
+
+
+def pack_keys(prints: np.ndarray) -> bytes:
+    """The PRINT records of prefix keys, the key once for all its texts and the nodes as distances."""
+    prints = prints[np.lexsort((prints["node"], prints["fp"]))]
+    fp, counts = np.unique(prints["fp"], return_counts=True)
+    far = np.diff(prints["node"], prepend=0).view(np.uint8).reshape(-1, 8).T  # byte by byte, as most are nought
+    low = zlib.compress(far.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return np.array([len(fp), len(prints), len(low)], "<u4").tobytes() + low + fp.tobytes() + prints["sig"].tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    keys, n, low = (int(x) for x in np.frombuffer(blob, "<u4", 3))
+    planes = np.frombuffer(zlib.decompress(blob[12 : 12 + low]), np.uint8)
+    out = np.empty(n, PRINT)
+    out["node"] = np.cumsum(np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<i8").ravel())
+    counts = np.ascontiguousarray(planes[8 * n :].reshape(4, keys).T).view("<u4").ravel()
+    out["fp"] = np.repeat(np.frombuffer(blob, "<u8", keys, 12 + low), counts)
+    out["sig"] = np.frombuffer(blob, "<u8", n, 12 + low + 8 * keys)
+    return out
+
+
+def packed_keys(texts: DataFrame, buckets: int, threshold: float, order: WordOrder, hot_rows: int, rare: int) -> DataFrame:
+    """(bucket, prints): the prefix keys of (node, text) rows, packed by bucket; as in ``packed_prints``, keys of a large
+    part of a batch go into packs with the bucket -1 - bucket."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for pdf in batches:
+            fps, nodes, sigs = [], [], []
+            for node, text in zip(pdf["node"], pdf["text"]):
+                ws = {hashes[w] for w in _WORD.findall(text.lower())}
+                keys = prefix_keys(ws, threshold, order, rare)
+                fps += keys
+                nodes += [node] * len(keys)
+                sigs += [_signature(ws, PREFIX_BITS) | min(len(ws), LARGE_SET) << PREFIX_BITS] * len(keys) if keys else []
+            got = np.empty(len(fps), PRINT)
+            got["fp"], got["node"], got["sig"] = _mix(np.array(fps, dtype=np.uint64)), np.array(nodes, dtype=np.int64), np.array(sigs, dtype=np.uint64)
+            at = (got["fp"] % np.uint64(buckets)).astype(np.int64)
+            _, inverse, counts = np.unique(got["fp"], return_inverse=True, return_counts=True)
+            at = np.where((counts >= max(hot_rows, PREFIX_HOT_SHARE * len(pdf)))[inverse], -1 - at, at)
+            rows = [(int(b), pack_keys(got[at == b])) for b in np.unique(at)]
+            yield pd.DataFrame(rows, columns=["bucket", "prints"])
+
+    return texts.mapInPandas(scan, "bucket int, prints binary")
+
+
+def _met(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> np.ndarray:
+    """Pairs of nodes of x and y whose signatures allow the threshold; with ``same`` y is x and each pair comes once."""
+    out = []
+    part = lambda p: (p["sig"] & np.uint64(2**PREFIX_BITS - 1), (p["sig"] >> np.uint64(PREFIX_BITS)).astype(np.int64))
+    (xs, xm), (ys, ym) = part(x), part(y)
+    xp, yp = np.bitwise_count(xs).astype(np.int64), np.bitwise_count(ys).astype(np.int64)
+    # a set shares at least ceil(threshold * m) of its m words, and so all but m - ceil(threshold * m) of its bits
+    least = lambda m, p: np.where(m >= LARGE_SET, 0, np.maximum(0, p - m + np.ceil(m * threshold - 1e-9))).astype(np.uint8)
+    xl, yl = least(xm, xp), least(ym, yp)
+    for i in range(0, len(x), 128):
+        rows = slice(i, i + 128)
+        for j in range(i if same else 0, len(y), 1024):
+            cols = slice(j, j + 1024)
+            k = np.bitwise_count(xs[rows, None] & ys[None, cols])
+            a, b = np.nonzero((k >= xl[rows, None]) & (k >= yl[None, cols]))
+            bits, a, b = k[a, b].astype(np.int64), a + i, b + j
+            shared = np.minimum(xm[a] - xp[a], ym[b] - yp[b]) + bits
+            ok = (np.maximum(xm[a], ym[b]) >= LARGE_SET) | (shared >= threshold * (xm[a] + ym[b] - shared) - 1e-9)
+            if same:
+                ok &= (a < b) & (x["node"][a] != y["node"][b])
+            out.append(np.stack([x["node"][a[ok]], y["node"][b[ok]]], axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+MEETINGS = "a long, b long, past boolean, fp long, node long, sig long"
+
+
+def _meet(threshold: float, limit: int):
+    """Pairs (a, b) of one bucket, ``past`` if a is of the store; texts of keys with more than ``limit`` rows come out as (fp,
+    node, sig), to be paired elsewhere, and so do keys in ``hot``."""
+
+    def task(key, new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        def load(blobs) -> np.ndarray:
+            p = np.concatenate([np.empty(0, PRINT), *[unpack_keys(b) for b in blobs]])
+            return np.unique(p)  # by key and node; rows of one id may have come twice
+
+        hot = _hot(held, "prints")
+        p, q = load(new["prints"]), load(held["prints"].dropna())
+        fps, start, count = np.unique(p["fp"], return_index=True, return_counts=True)
+        lo, hi = np.searchsorted(q["fp"], fps, "left"), np.searchsorted(q["fp"], fps, "right")
+        large = (count + hi - lo > limit) | np.isin(fps, hot)
+        frames, pairs, olds = [], [], []
+        for s, n, l, h in zip(start[~large], count[~large], lo[~large], hi[~large]):
+            x = p[s : s + n]
+            if n > 1:
+                pairs.append(_met(x, x, threshold, True))
+            if h > l:
+                olds.append(_met(q[l:h], x, threshold, False))
+        for past, found in ((False, pairs), (True, olds)):
+            if found:
+                got = np.unique(np.concatenate(found if past else [np.sort(f, axis=1) for f in found]), axis=0)
+                frames.append(pd.DataFrame({"a": got[:, 0], "b": got[:, 1], "past": past, "fp": None, "node": None, "sig": None}))
+        for past, rows in ((False, p[np.isin(p["fp"], fps[large])]), (True, q[np.isin(q["fp"], np.union1d(fps[large], hot))])):
+            if len(rows):
+                frames.append(pd.DataFrame({"a": None, "b": None, "past": past, "fp": rows["fp"].copy().view(np.int64), "node": rows["node"], "sig": rows["sig"].copy().view(np.int64)}))
+        frames = [f.astype({c: "Int64" for c in ("a", "b", "fp", "node", "sig")}) for f in frames if len(f)]
+        return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c.split()[0]: [] for c in MEETINGS.split(", ")})
+
+    return task
+
+
+def prefix_candidates(store: HistoryStore, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the batch and pairs (a, b) of the store and the batch that share a prefix key."""
+    spark, t = store.spark, store.threshold
+    past = spark.read.parquet(*store.keys) if store.keys else keys.limit(0)
+    held = past.where("bucket >= 0").select("bucket", "prints", F.lit(0).cast("long").alias("hot"))
+    apart = stored(_unpacked_keys(keys.where("bucket < 0")).distinct().select(F.lit(False).alias("past"), "*").unionByName(_unpacked_keys(past.where("bucket < 0")).distinct().select(F.lit(True).alias("past"), "*")), "dedup-apart")
+    hot = stored(apart.select("fp").distinct(), "dedup-apart-keys")
+    unsigned = F.col("fp").cast("decimal(20,0)") + F.when(F.col("fp") < 0, F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.lit(0))
+    held = held.unionByName(hot.select(F.pmod(unsigned, F.lit(store.buckets)).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("prints"), F.col("fp").alias("hot")))
+    met = stored(keys.where("bucket >= 0").groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_meet(t, store.meet_rows), MEETINGS), "dedup-met")
+    near, older = met.where("a is not null and not past").select("a", "b"), met.where("a is not null and past").select("a", "b")
+    rows = met.where("a is null").select("past", "fp", "node", "sig").unionByName(apart)
+    if not rows.isEmpty():
+        rows = stored(rows.distinct(), "dedup-large")
+        new, old = (rows.where("past" if p else "not past").select("fp", "node", "sig") for p in (False, True))
+        near = near.unionByName(block_pairs(_sized(new), "fp", "node", F.col("n"), ("sig",), may_match(t, PREFIX_BITS)))
+        pair = crossed(old.select("fp", F.col("node").alias("a"), F.col("sig").alias("x_sig")), new.select("fp", F.col("node").alias("b"), F.col("sig").alias("y_sig")), "fp", "a", "b")
+        older = older.unionByName(pair.where(may_match(t, PREFIX_BITS)).select("a", "b"))
+    return near, older
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("n")), "fp")
+
+
+def _unpacked_keys(packs: DataFrame) -> DataFrame:
+    return unpacked(packs, unpack_keys)
+
+
 #: A fingerprint that so many texts of one Arrow batch share, and HOT_SHARE of the batch, bypasses the buckets.
 HOT_ROWS = 200
 HOT_SHARE = 0.02
@@ -202,7 +406,7 @@ def packed_prints(texts: DataFrame, buckets: int, threshold: float, hot_rows: in
     return texts.mapInPandas(scan, "bucket int, prints binary")
 
 
-def unpacked(prints: DataFrame) -> DataFrame:
+def unpacked(prints: DataFrame, unpack: Callable[[bytes], np.ndarray] = unpack) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for blob in pdf["prints"]:
@@ -232,6 +436,11 @@ def bloom_test(filter_bytes: bytes, fp: np.ndarray) -> np.ndarray:
     return np.all((packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1, axis=0)
 
 
+def _hot(rows: pd.DataFrame, other: str) -> np.ndarray:
+    """The hot keys among rows of two kinds; the column holds no null, which would turn it into inexact doubles."""
+    return rows.loc[rows[other].isna(), "hot"].to_numpy(dtype=np.int64).view(np.uint64)
+
+
 SCREENED = "bucket int, fp long, node long, sig long, n int, seen boolean, bloom binary"
 
 
@@ -244,7 +453,7 @@ def _screen(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     seen = np.zeros(len(values), dtype=bool)
     for b in filters["bloom"].dropna():
         seen |= bloom_test(b, values).astype(bool)
-    hot = filters["hot"].dropna().to_numpy(dtype=np.int64).view(np.uint64)
+    hot = _hot(filters, "bloom")
     n, seen = counts[inverse], seen[inverse]
     keep = (n > 1) | seen | np.isin(p["fp"], hot)
     p = p[keep]
@@ -264,9 +473,13 @@ class HistoryStore:
     buckets: int
     threshold: float = 0.7
     hot_rows: int = HOT_ROWS
+    rare: int = RARE
+    meet_rows: int = MEET_ROWS
+    order: WordOrder | None = None
     sets: list[str] = field(default_factory=list)
     prints: list[str] = field(default_factory=list)
     blooms: list[str] = field(default_factory=list)
+    keys: list[str] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
 
     @classmethod
@@ -299,8 +512,15 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     texts = spark.read.parquet(texts_path)
     path = store._write(packed_prints(texts, store.buckets, t, store.hot_rows), "prints")
     prints = spark.read.parquet(path)
+    store.order = store.order or word_order(texts)
+    keys_path = None
+    if store.order:
+        keys_path = store._write(packed_keys(texts, store.buckets, t, store.order, store.hot_rows, store.rare), "keys")
+        near_keys, older_keys = prefix_candidates(store, spark.read.parquet(keys_path))
+    else:
+        near_keys = older_keys = spark.createDataFrame([], "a long, b long")
     filters = spark.read.parquet(*store.blooms) if store.blooms else spark.createDataFrame([], "bucket int, bloom binary")
-    filters = filters.withColumn("hot", F.lit(None).cast("long"))
+    filters = filters.withColumn("hot", F.lit(0).cast("long"))
     hot = unpacked(prints.where("bucket < 0")).distinct()
     has_hot = not prints.where("bucket < 0").isEmpty()
     if has_hot:
@@ -317,7 +537,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
         sizes = all_hot.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("n"))
         sizes = F.broadcast(sizes) if keys.count() <= BROADCAST_KEYS else sizes
         screened = stored(screened.join(few_keys, "fp", "left_anti").unionByName(all_hot.join(sizes, "fp").withColumn("seen", F.lit(True))), "dedup-screened-all")
-    pairs = stored(block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"), ("sig",), may_match(t)).distinct(), "dedup-pairs")
+    pairs = stored(block_pairs(screened.where("n > 1"), "fp", "node", F.col("n"), ("sig",), may_match(t)).unionByName(near_keys).distinct(), "dedup-pairs")
     links = nodes.select("node", "ord")
     links = stored(
         verified(pairs, texts, texts, t).join(links.select(F.col("node").alias("a"), F.col("ord").alias("ao")), "a").join(links.select(F.col("node").alias("b"), F.col("ord").alias("bo")), "b")
@@ -331,7 +551,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
         held = unpacked(spark.read.parquet(*store.prints)).select("fp", F.col("node").alias("a"), F.col("sig").alias("x_sig"))
         held = held.join(F.broadcast(keys), "fp", "left_semi") if keys.count() <= BROADCAST_KEYS else held
         held = stored(held, "dedup-held")
-        cand = stored(crossed(held, probe, "fp", "a", "b").where(may_match(t)).select("a", "b").distinct(), "dedup-candidates")
+        cand = stored(crossed(held, probe, "fp", "a", "b").where(may_match(t)).select("a", "b").unionByName(older_keys).distinct(), "dedup-candidates")
         cand = cand.join(past.where("accepted").select(F.col("node").alias("a")), "a", "left_semi")
         older = stored(verified(cand, spark.read.parquet(*store.texts), texts, t).select(F.col("a").alias("src"), F.col("b").alias("dst")), "dedup-older")
         rejected = older.select(F.col("dst").alias("node")).distinct()
@@ -369,6 +589,8 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
 
     store.sets.append(sets_path)
     store.prints.append(path)
+    if keys_path:
+        store.keys.append(keys_path)
     store.texts.append(texts_path)
     store.blooms.append(store._write(made, "bloom"))
     return result

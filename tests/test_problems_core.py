@@ -73,6 +73,57 @@ def test_ingest_matches_brute_force(spark, seed):
     assert len(want - set(got)) <= 0.02 * len(want)
 
 
+def broken_runs(seed):
+    """Statements of 20 words and more, each with one that has every fifth word replaced and two that are scrambled."""
+    r = random.Random(seed)
+    rows = []
+    for k in range(30):
+        base = r.sample([f"w{k % 3}x{v}" for v in range(90)], r.choice([20, 26, 34, 70]))
+        changed = [f"n{k}y{v}" if v % 5 == 4 and v < len(base) - 1 else w for v, w in enumerate(base)]
+        for c, ws in enumerate((base, changed, r.sample(base, len(base)), [*r.sample(base, len(base) - 3), f"z{k}"])):
+            rows.append((len(rows) + 1, c, " ".join(ws), None))
+    return rows
+
+
+@pytest.mark.parametrize("rare, meet, hot", [(10**6, 10**6, 200), (1, 10**6, 200), (4, 3, 200), (10**6, 10**6, 3)])
+def test_ingest_finds_pairs_without_long_runs(spark, rare, meet, hot):
+    rows = broken_runs(4)
+    df = spark.createDataFrame(rows, PACKET)
+    store = history_dedup.HistoryStore.create(spark, 100)
+    store.rare, store.meet_rows, store.hot_rows = rare, meet, hot
+    got = [tuple(r) for part in ("batch_no < 0", "batch_no = 0", "batch_no > 0") for r in history_dedup.ingest(store, df.where(part), "packet_id", "statement", ["batch_no"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected_links(rows)
+
+
+def test_ingest_finds_every_fifth_word_replaced(spark):
+    base = [f"w{k}" for k in range(20)]
+    changed = [f"new{k}" if k in (4, 9, 14) else w for k, w in enumerate(base)]
+    rows = [(1, 0, " ".join(base), None), (2, 0, " ".join(changed), None), (3, 1, " ".join(changed[::-1]), None)]
+    assert set(ingest_all(spark, rows)) == expected_links(rows) == {(1, 2), (1, 3)}
+
+
+def test_prefix_keys_of_matches_meet():
+    r = random.Random(6)
+    common = [r.getrandbits(64) for _ in range(90)]
+    order = history_dedup.WordOrder(1000, {h: r.choice([1, 20, 300, 900]) for h in common[:80]})
+    for t in (0.5, 0.7, 0.9):
+        for _ in range(600):
+            x = set(r.sample(common, r.choice([15, 25, 40, 64, 70])))
+            y = set(list(x)[r.randrange(len(x) // 3) :]) | set(r.sample(common, r.randrange(6)))
+            if len(x & y) >= t * len(x | y) and max(len(x), len(y)) > history_dedup._short(t):
+                for rare in (1, 30, 10**6):
+                    assert set(history_dedup.prefix_keys(x, t, order, rare)) & set(history_dedup.prefix_keys(y, t, order, rare))
+
+
+def test_prefix_keys_are_packed_whole():
+    r = np.random.default_rng(7)
+    got = np.empty(500, history_dedup.PRINT)
+    got["fp"], got["node"], got["sig"] = r.integers(2**63, 2**63 + 40, 500, dtype=np.uint64), r.integers(-(2**62), 2**62, 500), r.integers(0, 2**63, 500)
+    back = history_dedup.unpack_keys(history_dedup.pack_keys(got))
+    assert sorted(back.tolist()) == sorted(got.tolist())
+    assert len(history_dedup.unpack_keys(history_dedup.pack_keys(got[:0]))) == 0
+
+
 def test_ingest_hot_group_and_empty(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     rows = [(i, 0, text if i % 3 else f"other {i} words {i * 7} here {i * 13} and {i * 17} more {i * 19} of {i * 23}", None) for i in range(1, 61)]
