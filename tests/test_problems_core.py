@@ -102,6 +102,13 @@ def test_ingest_finds_every_fifth_word_replaced(spark):
     assert set(ingest_all(spark, rows)) == expected_links(rows) == {(1, 2), (1, 3)}
 
 
+def test_scrambled_words_are_found_across_loads(spark):
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(24)]
+    rows = [(1, 0, " ".join(base), None), *[(i, b, " ".join(r.sample(base, 24)), None) for i, b in ((2, 0), (3, 1), (4, 2))]]
+    assert set(ingest_all(spark, rows)) == {(1, 2), (1, 3), (1, 4)}
+
+
 def test_prefix_keys_of_matches_meet():
     r = random.Random(6)
     common = [r.getrandbits(64) for _ in range(90)]
