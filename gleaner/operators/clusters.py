@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Worth of support labels.
@@ -10,6 +10,9 @@ SUPPORT_VALUE = {"strong": 1.0, "medium": 0.66, "weak": 0.33}
 #: Applicabilities that count as wide.
 WIDE = ("general", "workflow-general", "tool-use", "routing")
 
+#: The fields in which the findings of a cluster are equal.
+CLUSTER_KEYS = ["kind", "topic", "statement", "recommendation_strength", "applicability"]
+
 
 def valid_packet(min_length: int = 10) -> Column:
     """Whether a packet has all its parts: labels from the known sets, a statement of ``min_length``, evidence, times, ids.
@@ -32,13 +35,12 @@ def valid_packet(min_length: int = 10) -> Column:
 def cluster(packets: DataFrame) -> DataFrame:
     """One row per (kind, topic, statement, recommendation_strength, applicability).
 
-    Counts, best support, first and last time, whole days between audits, contradictions, number of evidence links
-    (distinct by url), the five smallest submission ids, the hash of the first packet, and the evidence score: 100 times a
-    weighted sum of support, repetition, duration, freshness, sources and width, less contradictions and singleness.
-    Repeated packet ids count once. Aggregates are combined before the shuffle; only the five smallest ids and the
-    distinct links of a cluster are collected.
+    Counts, best support, first and last time, whole days between audits, contradictions, the hash of the first packet, and
+    the evidence score: 100 times a weighted sum of support, repetition, duration, freshness, sources and width, less
+    contradictions and singleness. Repeated packet ids count once. Aggregates are combined before the shuffle; ``samples``
+    has the submission ids and the number of evidence links.
     """
-    keys = ["kind", "topic", "statement", "recommendation_strength", "applicability"]
+    keys = CLUSTER_KEYS
     days = lambda c: F.floor((F.unix_timestamp(F.max(c)) - F.unix_timestamp(F.min(c))) / 86400)
     worth = F.lit(0.0)
     for label, x in SUPPORT_VALUE.items():
@@ -73,3 +75,16 @@ def evidence(packets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, url, title): the evidence links of each group, each url once with its smallest title."""
     links = packets.dropDuplicates(["packet_id"]).select(*keys, F.explode("evidence_refs").alias("e")).where("e.url is not null")
     return links.groupBy(*keys, F.col("e.url").alias("url")).agg(F.min("e.title").alias("title"))
+
+
+def samples(packets: DataFrame, keys: list[str] = CLUSTER_KEYS, most: int = 5) -> DataFrame:
+    """(keys, links, sample_ids): of each cluster the number of evidence links distinct by url and the ``most`` smallest
+    submission ids, comma-separated. No more ids than ``most`` are collected."""
+    once = packets.dropDuplicates(["packet_id"])
+    ids = once.where("submission_id is not null").select(*keys, "submission_id").distinct()
+    first = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("submission_id"))).where(F.col("_r") <= most)
+    first = first.select(*keys, "submission_id", F.lit(0).alias("link"))
+    links = evidence(packets, keys).select(*keys, F.lit(None).cast("string").alias("submission_id"), F.lit(1).alias("link"))
+    none = once.select(*keys, F.lit(None).cast("string").alias("submission_id"), F.lit(0).alias("link"))
+    grouped = first.unionByName(links).unionByName(none.distinct()).groupBy(*keys)
+    return grouped.agg(F.sum("link").alias("links"), F.array_join(F.array_sort(F.collect_set("submission_id")), ",").alias("sample_ids"))

@@ -138,6 +138,15 @@ def test_diagnostics(spark):
     assert diagnostics.eslint(t("not json", "[]", '[{"filePath":"a","messages":[{"severity":2,"message":"m"}]}]'), "t").first()["severity"] == "error"
 
 
+def test_cluster_samples(spark):
+    ref = "array<struct<title:string,url:string,source_type:string>>"
+    rows = [(i, "k", "t", "s", "r", None, f"id{i}", [("x", "u1", None), ("y", f"v{i % 2}", None), ("z", None, None)]) for i in range(7, 0, -1)]
+    rows += [rows[0], (8, "k", "t", "other", "r", "a", None, None)]
+    df = spark.createDataFrame(rows, f"packet_id long, kind string, topic string, statement string, recommendation_strength string, applicability string, submission_id string, evidence_refs {ref}")
+    got = {r["statement"]: (r["links"], r["sample_ids"]) for r in clusters.samples(df).collect()}
+    assert got == {"s": (3, "id1,id2,id3,id4,id5"), "other": (0, "")}
+
+
 def test_clusters(spark):
     row = lambda i, s, sup, d, live: f"({i}L, 'principle', 'agents', '{s}', 'required', 'general', '{sup}', {live}, 0, timestamp '2030-01-{d:02d}', timestamp '2030-01-{d:02d}', timestamp '2030-01-{d:02d}', 'h{i}', array(named_struct('title', 't', 'url', 'u{i}', 'source_type', 's')))"
     rows = ", ".join([row(1, "same", "weak", 1, "true"), row(2, "same", "strong", 20, "false"), row(2, "same", "strong", 20, "false"), row(3, "alone", "none", 3, "null")])
