@@ -1,7 +1,9 @@
-"""Session, table reading and lineage helpers shared by every operator."""
+"""Session, tables, small files and lineage: what every operator shares."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -56,8 +58,65 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables that ``stored`` wrote and nobody has removed yet, with the session that wrote them.
+_STORED: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a compact table to the shared folder and reads it back; smaller on disk than a checkpoint."""
-    path = fresh_path(df.sparkSession, name)
+    """Writes a compact table to the shared folder and reads it back; smaller on disk than a checkpoint.
+
+    Results may be read from it later, so it stays until ``clear_stored`` or the end of the driver.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    if not _STORED:
+        atexit.register(clear_stored)
+    _STORED.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored() -> None:
+    """Removes all tables that ``stored`` has written; what has not been read from them yet is lost."""
+    while _STORED:
+        spark, path = _STORED.pop()
+        with contextlib.suppress(Exception):  # the session may have ended before
+            remove(spark, path)
+
+
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path, of the kind that all executors share."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, sorted; none if there is no such folder."""
+    fs, p = _at(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole or not at all; one that exists already is an error."""
+    fs, p = _at(spark, path)
+    _, part = _at(spark, f"{path}.{uuid.uuid4().hex[:8]}.part")
+    stream = fs.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
+        raise ValueError(f"{path} exists already")
