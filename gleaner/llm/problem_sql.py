@@ -1,4 +1,4 @@
-"""DuckDB SQL for the core training-data queries, written independently of the Spark plans."""
+"""DuckDB SQL for problems 2 to 5, written independently of the Spark plans."""
 
 USABLE = "({0} is not null and lower(trim({0})) not in ('', 'unknown', 'n/a', 'tbd', '-'))"
 

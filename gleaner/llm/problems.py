@@ -1,4 +1,4 @@
-"""The core training-data queries, each over its whole tables."""
+"""The queries of problems 2 to 5, each over its whole tables."""
 
 from __future__ import annotations
 

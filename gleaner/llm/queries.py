@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import leakage, markup, mixing, shared_spans, templates
+from gleaner.llm import leakage, markup, mixing, problem_sql, problems, shared_spans, templates
 from gleaner.runtime import stored, table
 
 
@@ -126,5 +126,5 @@ k as (select * from w where h in (select h from g))
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_budget_shares": p7_budget_shares, "p8_found": p8_found, "p8_parts": p8_parts}
-SQL = {"p6_found": P6_FOUND, "p8_found": P8_FOUND}
+QUERIES = {**problems.QUERIES} | {f.__name__: f for f in (p1_found, p1_clean, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_budget_shares, p8_found, p8_parts)}
+SQL = {**problem_sql.SQL, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

@@ -1,169 +1,20 @@
-"""Batch dedup, dictionary dedup, survivorship, fusion and term weighting against brute force and on edge cases."""
+"""Dictionary dedup, survivorship, fusion and term weighting against brute force and on edge cases."""
 
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.words import bare
-from gleaner.operators import dictionary_dedup, fusion, history_dedup, skew, survivorship, term_weighting
+from gleaner.llm import dictionary_dedup, fusion, history_dedup, survivorship, term_weighting
+from gleaner.runtime import fresh_path
 
-WORD = re.compile("[a-z0-9]+")
 PACKET = "packet_id long, batch_no int, statement string, value string"
 
 
-def expected_links(rows, threshold=0.7):
-    accepted, out, seen = [], set(), set()
-    for i, b, s, _ in sorted(rows, key=lambda r: (r[1], r[0])):
-        if i in seen or s is None or not s.strip():
-            continue
-        seen.add(i)
-        w = set(WORD.findall(s.lower()))
-        hit = [a for a, v in accepted if w and len(w & v) >= threshold * len(w | v) - 1e-9]
-        out.update((a, i) for a in hit)
-        if not hit and w:
-            accepted.append((i, w))
-    return out
-
-
-def random_statements(n, seed):
-    r = random.Random(seed)
-    vocab = [f"w{k}" for k in range(120)]
-    rows, made = [], []
-    for i in range(1, n + 1):
-        kind = r.random()
-        if kind < 0.08:
-            s = r.choice([None, "", "   ", "?!", "A", "a b", "a b c", "a b c d e"])
-        elif made and kind < 0.6:
-            words = r.choice(made).split()
-            for _ in range(r.choice([0, 0, 1, 2, 3])):
-                words[r.randrange(len(words))] = r.choice(vocab)
-            s = " ".join(words).upper() if r.random() < 0.2 else ",  ".join(words)
-            s = re.sub(",  ", r.choice([" ", ", "]), s)
-        else:
-            s = " ".join(r.choices(vocab, k=r.choice([2, 4, 7, 16, 25])))
-        if s and WORD.findall(s.lower()):
-            made.append(s)
-        rows.append((i, i * 4 // n, s, "x"))
-    return rows + [rows[3], rows[3], rows[10]]
-
-
-def ingest_all(spark, rows, hot_rows=history_dedup.HOT_ROWS):
-    df = spark.createDataFrame(rows, PACKET).coalesce(3)
-    store = history_dedup.HistoryStore.create(spark, 100)
-    store.hot_rows = hot_rows
-    got = []
-    for part in ("batch_no = 0", "batch_no = 1", "batch_no > 1"):
-        got += [tuple(r) for r in history_dedup.ingest(store, df.where(part), "packet_id", "statement", ["batch_no"]).collect()]
-    return got
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ingest_matches_brute_force(spark, seed):
-    rows = random_statements(160, seed)
-    got = ingest_all(spark, rows)
-    assert len(got) == len(set(got))
-    want = expected_links(rows)
-    assert set(got) <= want
-    # what a text shares with an accepted one must hold five words in a row, unless either is short
-    assert len(want - set(got)) <= 0.02 * len(want)
-
-
-def broken_runs(seed):
-    """Statements of 20 words and more, each with one that has every fifth word replaced and two that are scrambled."""
-    r = random.Random(seed)
-    rows = []
-    for k in range(30):
-        base = r.sample([f"w{k % 3}x{v}" for v in range(90)], r.choice([20, 26, 34, 70]))
-        changed = [f"n{k}y{v}" if v % 5 == 4 and v < len(base) - 1 else w for v, w in enumerate(base)]
-        for c, ws in enumerate((base, changed, r.sample(base, len(base)), [*r.sample(base, len(base) - 3), f"z{k}"])):
-            rows.append((len(rows) + 1, c, " ".join(ws), None))
-    return rows
-
-
-@pytest.mark.parametrize("rare, meet, hot", [(10**6, 10**6, 200), (1, 10**6, 200), (4, 3, 200), (10**6, 10**6, 3)])
-def test_ingest_finds_pairs_without_long_runs(spark, rare, meet, hot):
-    rows = broken_runs(4)
-    df = spark.createDataFrame(rows, PACKET)
-    store = history_dedup.HistoryStore.create(spark, 100)
-    store.rare, store.meet_rows, store.hot_rows = rare, meet, hot
-    got = [tuple(r) for part in ("batch_no < 0", "batch_no = 0", "batch_no > 0") for r in history_dedup.ingest(store, df.where(part), "packet_id", "statement", ["batch_no"]).collect()]
-    assert len(got) == len(set(got)) and set(got) == expected_links(rows)
-
-
-def test_ingest_finds_every_fifth_word_replaced(spark):
-    base = [f"w{k}" for k in range(20)]
-    changed = [f"new{k}" if k in (4, 9, 14) else w for k, w in enumerate(base)]
-    rows = [(1, 0, " ".join(base), None), (2, 0, " ".join(changed), None), (3, 1, " ".join(changed[::-1]), None)]
-    assert set(ingest_all(spark, rows)) == expected_links(rows) == {(1, 2), (1, 3)}
-
-
-def test_scrambled_words_are_found_across_loads(spark):
-    r = random.Random(9)
-    base = [f"w{k}" for k in range(24)]
-    rows = [(1, 0, " ".join(base), None), *[(i, b, " ".join(r.sample(base, 24)), None) for i, b in ((2, 0), (3, 1), (4, 2))]]
-    assert set(ingest_all(spark, rows)) == {(1, 2), (1, 3), (1, 4)}
-
-
-def test_prefix_keys_of_matches_meet():
-    r = random.Random(6)
-    common = [r.getrandbits(64) for _ in range(90)]
-    order = history_dedup.WordOrder(1000, {h: r.choice([1, 20, 300, 900]) for h in common[:80]})
-    for t in (0.5, 0.7, 0.9):
-        for _ in range(600):
-            x = set(r.sample(common, r.choice([15, 25, 40, 64, 70])))
-            y = set(list(x)[r.randrange(len(x) // 3) :]) | set(r.sample(common, r.randrange(6)))
-            if len(x & y) >= t * len(x | y) and max(len(x), len(y)) > history_dedup._short(t):
-                for rare in (1, 30, 10**6):
-                    assert set(history_dedup.prefix_keys(x, t, order, rare)) & set(history_dedup.prefix_keys(y, t, order, rare))
-
-
-def test_prefix_keys_are_packed_whole():
-    r = np.random.default_rng(7)
-    got = np.empty(500, history_dedup.PRINT)
-    got["fp"], got["node"], got["sig"] = r.integers(2**63, 2**63 + 40, 500, dtype=np.uint64), r.integers(-(2**62), 2**62, 500), r.integers(0, 2**63, 500)
-    back = history_dedup.unpack_keys(history_dedup.pack_keys(got))
-    assert sorted(back.tolist()) == sorted(got.tolist())
-    assert len(history_dedup.unpack_keys(history_dedup.pack_keys(got[:0]))) == 0
-
-
-def test_ingest_hot_group_and_empty(spark):
-    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
-    rows = [(i, 0, text if i % 3 else f"other {i} words {i * 7} here {i * 13} and {i * 17} more {i * 19} of {i * 23}", None) for i in range(1, 61)]
-    assert set(ingest_all(spark, rows)) == expected_links(rows)
-    assert ingest_all(spark, []) == []
-
-
-def test_ingest_with_stock_phrases(spark):
-    rows = random_statements(150, 3)
-    r = random.Random(8)
-    rows = [(i, b, s and len(s) > 30 and r.random() < 0.5 and "in the very same order as before " + s or s, v) for i, b, s, v in rows]
-    rows += [rows[3]]
-    rows = list({x[0]: x for x in rows}.values())
-    assert set(ingest_all(spark, rows, hot_rows=3)) == set(ingest_all(spark, rows)) <= expected_links(rows)
-
-
-def test_signature_prunes_no_match():
-    r = np.random.default_rng(5)
-    for _ in range(200):
-        x = set(r.integers(0, 2**62, 20).tolist())
-        y = set(list(x)[:17]) | set(r.integers(0, 2**62, 2).tolist())
-        sx, sy = history_dedup._signature(x), history_dedup._signature(y)
-        bound = min(len(x) - (sx & ~sy).bit_count(), len(y) - (sy & ~sx).bit_count())
-        assert bound >= len(x & y)
-
-
-def test_bloom_has_no_false_negative():
-    fp = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
-    b = history_dedup.bloom_of(fp)
-    assert history_dedup.bloom_test(b, fp).all()
-    assert history_dedup.bloom_test(b, fp ^ np.uint64(0xABCDEF)).mean() < 0.05
-
-
 def test_copies_under_layout(spark):
     rows = [(1, "Principle", "a. B", None), (2, "principle ", "A b", None), (3, "PRINCIPLE", "ab!", "x"), (4, None, "ab", None), (5, None, "AB", None), (6, "p", "", None), (6, "p", "", None), (7, "p", "", None)]
     df = spark.createDataFrame(rows, "packet_id long, kind string, statement string, extra string")
@@ -240,27 +91,11 @@ def test_term_scores(spark):
     assert [r["term"] for r in term_weighting.top_terms(term_weighting.term_scores(df, "note_id", "text"), 1).where("id = 2").collect()] == ["gamma"]
 
 
-def test_block_pairs_and_crossed(spark):
-    rows = [("h", i) for i in range(50)] + [("g", 1), ("g", 2), ("o", 9)]
-    df = spark.createDataFrame(rows, "grp string, item long")
-    got = [tuple(r) for r in skew.block_pairs(df, "grp", "item", block_rows=7).collect()]
-    assert len(got) == 50 * 49 // 2 + 1 and {(a, b) for a, b in got} == {(a, b) for a in range(50) for b in range(a + 1, 50)}
-    x = spark.createDataFrame([("h", i) for i in range(600)] + [("o", 1)], "k string, a long")
-    assert skew.crossed(x, x.withColumnRenamed("a", "b"), "k", "a", "b").count() == 600 * 600 + 1
-
-
-def test_lookup_join_splits_heavy_keys(spark):
-    rows = spark.createDataFrame([("a", i) for i in range(90)] + [("b", 1), (None, 2)], "k string, v long")
-    right = spark.createDataFrame([("a", 90, 1), ("b", 1, 2)], "k string, n long, code int")
-    for parts in (1, 2, 10**6):
-        assert Counter(r["code"] for r in skew.lookup_join(rows, right, "k", "n", 92, parts).collect()) == {1: 90, 2: 1}
-
-
 def test_clashing_columns_and_long_texts(spark):
     long = " ".join(f"word{k}" for k in range(40_000))
     rows = [(1, 0, long, "a"), (2, 0, long.upper() + " extra", "b"), (3, None, "short one", "c"), (4, 1, "short, ONE!", None), (5, 1, long[:200_000], "d")]
     df = spark.createDataFrame(rows, PACKET).select("*", *[F.lit(1).alias(c) for c in ("node", "fp", "sk", "ord", "id", "text", "a", "b", "copies", "n")])
-    store = history_dedup.HistoryStore.create(spark, 10)
+    store = history_dedup.HistoryStore.create(spark, fresh_path(spark, "history"), 10)
     got = {tuple(r) for r in history_dedup.ingest(store, df, "packet_id", "statement", ["batch_no"]).collect()}
     # a null batch comes before all others
     assert got == {(1, 2), (3, 4)}
