@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import graph_queries, index_queries, problem_sql, problems, quality_queries, source_queries
+from gleaner.plans import graph_queries, index_queries, quality_queries, source_queries
 
-QUERIES = {**problems.QUERIES, **index_queries.QUERIES, **graph_queries.QUERIES, **quality_queries.QUERIES, **source_queries.QUERIES}
-SQL = {**problem_sql.SQL, **index_queries.SQL, **graph_queries.SQL, **quality_queries.SQL, **source_queries.SQL}
+QUERIES = {**index_queries.QUERIES, **graph_queries.QUERIES, **quality_queries.QUERIES, **source_queries.QUERIES}
+SQL = {**index_queries.SQL, **graph_queries.SQL, **quality_queries.SQL, **source_queries.SQL}

@@ -9,9 +9,9 @@ def test_contract():
     import __spark_entry__ as e
 
     q, o = e.queries(), e.oracle_sql()
-    assert set(o) <= set(q) and {"p2_found", "p3_found", "p4_found", "p5_found"} <= set(q)
+    assert set(o) <= set(q) and {"d1_vectors", "d5_edges", "d11_diagnostics"} <= set(q)
 
 
 def test_core_does_not_need_llm():
-    code = "import sys; sys.modules['gleaner.llm'] = None; import __spark_entry__ as e; assert 'p4_found' in e.queries() and 'p8_found' not in e.queries()"
+    code = "import sys; sys.modules['gleaner.llm'] = None; import __spark_entry__ as e; assert 'd1_vectors' in e.queries() and 'p8_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
