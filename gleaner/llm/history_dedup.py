@@ -13,7 +13,7 @@ it; a load that fails half-way leaves a folder that no manifest names. ``ingest`
 5. Candidates are verified on the word sets themselves: shared words over all words.
 6. Texts are accepted in order. A text is rejected as soon as one earlier text that it matches is accepted, and accepted
    once all earlier ones that it matches are rejected.
-7. Texts, fingerprints, the changed filters and the refused texts are written, then the manifest.
+7. The texts, which of them were refused, the fingerprints and the changed filters are written, then the manifest.
 
 Fingerprints of the history are read from the buckets that are hit, never computed again. A batch of a few texts hits a
 few buckets; one that is a twentieth of the history hits all.
@@ -32,11 +32,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.words import is_blank, words
-from gleaner.operators.skew import BROADCAST_KEYS, block_pairs, crossed, lookup_join
+from gleaner.operators.skew import BROADCAST_KEYS, block_pairs, crossed
 from gleaner.runtime import file_names, get_text, put_text, remove
 
 SHINGLE = 5
@@ -272,8 +272,9 @@ def bloom_test(filter_bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.all((filter_bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1, axis=0).astype(bool)
 
 
-#: kind 0: new fingerprints that go on; 1: a bucket (in seq) to be read; 2: a filter, its number in the part and its fill.
+#: kind 0: new fingerprints that go on; 1: the part's buckets to be read, as bits of seq; 2: a filter, its number in the part and its fill.
 SCREENED = "part int, kind int, seq int, n long, sealed boolean, data binary"
+FILTERS = "part int, seq int, n long, sealed boolean, data binary"
 
 
 def _hot(rows: pd.DataFrame) -> np.ndarray:
@@ -293,7 +294,8 @@ def _screen(parts: int, slice_rows: int):
             seen |= bloom_test(np.frombuffer(b, np.uint8), values)
         go = ((counts > 1) | seen | np.isin(values, hot))[inverse]
         rows = [(key[0], 0, 0, int(go.sum()), False, pack(p[go]))] if go.any() else []
-        rows += [(key[0], 1, int(b), 0, False, None) for b in np.unique(_bucket(values[seen | np.isin(values, hot)], parts))]
+        hit = np.unique(_bucket(values[seen | np.isin(values, hot)], parts) % BUCKETS)
+        rows.append((key[0], 1, int(sum(1 << int(b) for b in hit)), 0, False, None))
         fresh = np.union1d(values[~seen], hot)
         last = kept[~kept["sealed"].astype(bool)].tail(1)
         seq, n, bits = (int(last["seq"].iloc[0]), int(last["n"].iloc[0]), np.frombuffer(last["data"].iloc[0], np.uint8).copy()) if len(last) else (len(kept), 0, np.zeros(size, np.uint8))
@@ -429,6 +431,7 @@ class HistoryStore:
     rare: int = RARE
     slice_rows: int = SLICE_ROWS
     loads: list[str] = field(default_factory=list)
+    hot: list[str] = field(default_factory=list)
     order: WordOrder | None = None
     meet_rows: int = MEET_ROWS
     hot_rows: int = HOT_ROWS
@@ -446,18 +449,18 @@ class HistoryStore:
         if not names:
             raise ValueError(f"no store in {path}")
         m = json.loads(get_text(spark, f"{path}/manifest/{max(names)}"))
-        store = cls(spark, path, m["parts"], m["threshold"], m["rare"], m["slice_rows"], m["loads"])
+        store = cls(spark, path, m["parts"], m["threshold"], m["rare"], m["slice_rows"], m["loads"], m["hot"])
         if m["texts"]:
             rows = spark.read.parquet(f"{path}/{m['order']}").collect()
             store.order = WordOrder(m["texts"], {r["hash"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows})
         return store
 
-    def commit(self, load: str) -> None:
+    def commit(self, load: str, hot: bool) -> None:
         """Makes a load part of the store, by one rename. It fails if another load was committed meanwhile."""
         texts = self.order.texts if self.order else 0
-        m = {"parts": self.parts, "threshold": self.threshold, "rare": self.rare, "slice_rows": self.slice_rows, "texts": texts, "order": "order", "loads": [*self.loads, load]}
+        m = {"parts": self.parts, "threshold": self.threshold, "rare": self.rare, "slice_rows": self.slice_rows, "texts": texts, "order": "order", "loads": [*self.loads, load], "hot": [*self.hot, *([load] if hot else [])]}
         put_text(self.spark, f"{self.path}/manifest/{len(m['loads']):06d}.json", json.dumps(m))
-        self.loads.append(load)
+        self.loads, self.hot = m["loads"], m["hot"]
 
     def table(self, name: str, schema, loads: list[str] | None = None) -> DataFrame | None:
         """A table of the given loads, or of all."""
@@ -486,168 +489,166 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     """
     spark, t = store.spark, store.threshold
     load = f"load-{len(store.loads):06d}-{uuid.uuid4().hex[:8]}"
-    scratch = f"{store.path}/{load}/scratch"
 
-    def kept(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
-        path = f"{store.path}/{load}/{name}"
-        w = df.write.option("compression", "zstd")
-        (w.option("parquet.block.size", str(block)) if block else w).parquet(path)
+    counts: dict[str, int] = {}
+
+    def kept(df: DataFrame, name: str, block: int = 128 << 20, by: list[str] = [], **count: Column) -> DataFrame:  # noqa: B006
+        """Writes a table of the load; ``counts`` gets the sum of each of ``count`` (conditions or numbers) over its rows, without another pass."""
+        path, seen = f"{store.path}/{load}/{name}", Observation()
+        if count:
+            df = df.observe(seen, *[F.sum(c.cast("long")).alias(k) for k, c in count.items()])
+        df.write.option("compression", "zstd").option("parquet.block.size", str(block)).partitionBy(*by).parquet(path)
+        if count:
+            counts.update({k: v or 0 for k, v in seen.get.items()})
         return spark.read.schema(df.schema).parquet(path)
 
-    temporary = lambda df, name: kept(df, f"scratch/{name}")
+    temporary = lambda df, name, **count: kept(df, f"scratch/{name}", **count)
     orders = [f"o{i}" for i in range(len(order_cols))]
     rows = batch.where(~is_blank(text_col)).select(F.col(id_col).alias("id"), *[F.col(c).alias(o) for c, o in zip(order_cols, orders)], F.col(text_col).alias("text"))
     sk = F.unhex(F.md5(F.array_join(F.array_sort(F.array_distinct(words("text"))), " ")))
     rows = rows.where(F.lower("text").rlike("[a-z0-9]")).select("id", F.struct(*orders, F.col("id").alias("oid")).alias("ord"), sk.alias("sk"), "text")
-    # one node per word set; the earliest text stands for the set
+    # one node per word set; the earliest text stands for the set. Sets of several ids keep their key for the last step
     nodes = rows.groupBy("sk").agg(F.min(F.struct("ord", "text")).alias("m"), (F.min("id") < F.max("id")).alias("many"))
-    texts = kept(nodes.select(F.col("m.ord.oid").alias("node"), F.col("m.ord").alias("ord"), F.col("m.text").alias("text"), "many", "sk"), "texts")
+    texts = kept(nodes.select(F.col("m.ord.oid").alias("node"), F.col("m.ord").alias("ord"), F.col("m.text").alias("text"), F.when(F.col("many"), F.col("sk")).alias("sk")), "texts", many=F.col("sk").isNotNull())
     order = store.ordered(texts)
-    prints = kept(packed(texts.select("node", "text"), store.parts, t, order, store.rare, store.hot_rows).sortWithinPartitions("bucket"), "prints", 8 << 20)
+    prints = kept(packed(texts.select("node", "text"), store.parts, t, order, store.rare, store.hot_rows).sortWithinPartitions("bucket"), "prints", 8 << 20, hot_packs=F.col("bucket") < 0)
 
     past = store.table("prints", prints.schema)
-    apart = unpacked(prints.where("bucket < 0")).select(F.lit(False).alias("past"), "*")
-    if past is not None:
-        apart = apart.unionByName(unpacked(past.where("bucket < 0")).select(F.lit(True).alias("past"), "*"))
-    has_hot = not prints.where("bucket < 0").isEmpty() or (past is not None and not past.where("bucket < 0").isEmpty())
-    none = "part int, seq int, n long, sealed boolean, data binary, hot long"
-    hot = spark.createDataFrame([], none)
+    new_hot = counts["hot_packs"] > 0
+    has_hot = new_hot or bool(store.hot)
+    hot = spark.createDataFrame([], "part int, seq int, n long, sealed boolean, data binary, hot long")
     if has_hot:
+        apart = unpacked(prints.where("bucket < 0")).select(F.lit(False).alias("past"), "*")
+        if store.hot:
+            apart = apart.unionByName(unpacked(store.table("prints", prints.schema, store.hot).where("bucket < 0")).select(F.lit(True).alias("past"), "*"))
         apart = temporary(apart, "apart")
         part = F.floor(F.pmod(F.shiftrightunsigned("fp", 8), F.lit(store.parts * BUCKETS)) / BUCKETS).cast("int")
         hot = apart.select("fp").distinct().select(part.alias("part"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("sealed"), F.lit(None).cast("binary").alias("data"), F.col("fp").alias("hot"))
     filters = hot
     if store.loads:
-        schema = "part int, seq int, n long, sealed boolean, data binary"
-        done, last = store.table("filters", schema).where("sealed"), store.table("filters", schema, store.loads[-1:]).where("not sealed")
+        done, last = store.table("screened/kind=2", FILTERS).where("sealed"), store.table("screened/kind=2", FILTERS, store.loads[-1:]).where("not sealed")
         filters = done.unionByName(last).select("part", "seq", "n", "sealed", "data", F.lit(0).cast("long").alias("hot")).unionByName(hot)
     screened = prints.where("bucket >= 0").groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen(store.parts, store.slice_rows), SCREENED)
-    screened = temporary(screened, "screened")
-    kept(screened.where("kind = 2").select("part", "seq", "n", "sealed", "data"), "filters")
+    screened = kept(screened, "screened", by=["kind"], going=F.when(F.col("kind") == 0, F.col("n")).otherwise(0))
 
     held = spark.createDataFrame([], "part int, data binary")
     if past is not None:
-        hit = [r["seq"] for r in screened.where("kind = 1").select("seq").distinct().collect()]  # BUCKETS for each part at most
-        held = past.where("bucket >= 0") if len(hit) > store.parts * BUCKETS // 2 else past.where(F.col("bucket").isin(hit))
-        held = held.select("part", "data")
+        held = past.where("bucket >= 0")
+        if counts["going"] <= 2 * store.parts * BUCKETS:  # else nearly all buckets are hit
+            masks = screened.where("kind = 1").select("part", "seq").collect()  # a mask of BUCKETS bits for each part at most
+            held = held.where(F.col("bucket").isin([r["part"] * BUCKETS + k for r in masks for k in range(BUCKETS) if r["seq"] >> k & 1]))
     held = held.select("part", "data", F.lit(0).cast("long").alias("hot")).unionByName(hot.select("part", "data", "hot"))
     met = screened.where("kind = 0").select("part", "data").groupBy("part").cogroup(held.groupBy("part")).applyInPandas(_meet(t, store.meet_rows), MEETINGS)
-    met = temporary(met, "met")
+    met = temporary(met, "met", pairs=F.col("a").isNotNull(), large=F.col("a").isNull())
     pairs = met.where("a is not null").select("a", "b", "past")
     large = met.where("a is null").select("past", "fp", "node", "sig")
-    if has_hot or not large.isEmpty():
+    if has_hot or counts["large"]:
         large = temporary((large.unionByName(apart) if has_hot else large).distinct(), "large")
         new, old = (large.where("past" if p else "not past").select("fp", "node", "sig") for p in (False, True))
         sized = new.join(new.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("n")), "fp")
         near = block_pairs(sized, "fp", "node", F.col("n"), ("sig",), may_match(t)).withColumn("past", F.lit(False))
         grid = crossed(old.select("fp", F.col("node").alias("a"), F.col("sig").alias("x_sig")), new.select("fp", F.col("node").alias("b"), F.col("sig").alias("y_sig")), "fp", "a", "b")
-        pairs = pairs.unionByName(near).unionByName(grid.where(may_match(t)).select("a", "b", F.lit(True).alias("past")))
+        pairs = temporary(pairs.unionByName(near).unionByName(grid.where(may_match(t)).select("a", "b", F.lit(True).alias("past"))), "pairs", pairs=F.lit(True))
 
-    every = texts.select("node", "ord", "text", F.lit(False).alias("past"))
+    every = texts.select("node", "ord", "text", "sk", F.lit(False).alias("past"))
     if store.loads:
-        refused_before = store.table("refused", "node long").select(F.col("node").alias("a"), F.lit(True).alias("past"))
-        pairs = pairs.join(refused_before, ["a", "past"], "left_anti").where("a <> b or not past")
-        every = every.unionByName(store.table("texts", texts.schema).select("node", "ord", "text", F.lit(True).alias("past")))
-    pairs = temporary(pairs.distinct(), "pairs")
-    links = temporary(verified(pairs, every, texts, t), "links")
-
-    near = links.where("not past").select(F.when(F.col("ao") < F.col("bo"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("ao") < F.col("bo"), F.col("b")).otherwise(F.col("a")).alias("dst"))
-    older = links.where("past").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    refused = kept(settle(near, older.select(F.col("dst").alias("node")).distinct(), temporary), "refused")
+        every = every.unionByName(store.table("texts", texts.schema).select("node", "ord", "text", "sk", F.lit(True).alias("past")))
+    links = verified(pairs, counts["pairs"], every, texts, t)
+    if store.loads:
+        links = links.join(store.table("refused", "node long").select(F.col("node").alias("a"), F.lit(True).alias("past")), ["a", "past"], "left_anti")
+    links = temporary(links, "links", links=F.lit(True))
+    few = counts["links"] <= SETTLE_LINKS
+    near = links.where("not past").select(F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("dst"))
+    rejected = links.where("past").select(F.col("b").alias("node"))
+    refused = kept(settle_few(near, rejected) if few else settle(near, rejected.distinct(), temporary), "refused")
+    refused_keys = F.broadcast(refused) if few else refused  # each is the end of a link
 
     # what each word set matches among the accepted ones: accepted before it, accepted between it and a later copy, or itself
-    both = links.where("not past").select(F.col("a").alias("acc"), F.col("ao").alias("acc_ord"), F.col("b").alias("node"), F.col("bo").alias("node_ord"))
-    both = both.unionByName(both.select(F.col("node").alias("acc"), F.col("node_ord").alias("acc_ord"), F.col("acc").alias("node"), F.col("acc_ord").alias("node_ord")))
-    own = texts.where("many").select(F.col("node").alias("acc"), F.col("ord").alias("acc_ord"), "node", F.col("ord").alias("node_ord"))
-    hits = both.unionByName(own).join(refused.select(F.col("node").alias("acc")), "acc", "left_anti").withColumn("past", F.lit(False))
-    hits = hits.unionByName(links.where("past").select(F.col("a").alias("acc"), F.col("bo").alias("acc_ord"), F.col("b").alias("node"), F.col("bo").alias("node_ord"), "past"))
-    hits = temporary(hits, "hits")
-    found = hits.select("acc", "acc_ord", "past", F.col("node").alias("case"), F.col("node_ord").alias("case_ord"))
-    many = texts.where("many").select("sk", "node")
-    n_many = many.count()
-    if n_many:
-        # every text of a repeated set is a case of its own; sets that hold a large part of all rows are joined by broadcast
-        members = rows.select("sk", "id", "ord")
-        keys = many.select("sk")
-        freq = temporary(members.join(F.broadcast(keys) if n_many <= BROADCAST_KEYS else keys, "sk", "left_semi").groupBy("sk").agg(F.count(F.lit(1)).alias("copies")), "copies")
-        total = int(freq.agg(F.sum("copies")).first()[0] or 0)
-        members = temporary(lookup_join(members, many.join(freq, "sk"), "sk", "copies", total).select("node", "id", "ord").dropDuplicates(["id"]), "members")
-        repeated = many.select("node")
-        single = found.join(repeated, found.case == repeated.node, "left_anti")
-        several = crossed(hits.join(repeated, "node", "left_semi").select("node", "acc", "acc_ord", "past"), members, "node", "acc", "id")
-        found = single.unionByName(several.select("acc", "acc_ord", "past", F.col("id").alias("case"), F.col("ord").alias("case_ord")))
+    side = lambda acc, node: links.where("not past").select(F.col(acc).alias("acc"), F.col(f"{acc}o").alias("acc_ord"), F.col(node).alias("case"), F.col(f"{node}o").alias("case_ord"), F.col(f"{node}_sk").alias("sk"))
+    own = texts.where("sk is not null").select(F.col("node").alias("acc"), F.col("ord").alias("acc_ord"), F.col("node").alias("case"), F.col("ord").alias("case_ord"), "sk")
+    hits = side("a", "b").unionByName(side("b", "a")).unionByName(own).join(refused_keys.withColumnRenamed("node", "acc"), "acc", "left_anti").withColumn("past", F.lit(False))
+    hits = hits.unionByName(links.where("past").select(F.col("a").alias("acc"), F.col("bo").alias("acc_ord"), F.col("b").alias("case"), F.col("bo").alias("case_ord"), F.col("b_sk").alias("sk"), F.lit(True).alias("past")))
+    found = hits.where("sk is null").drop("sk")
+    if counts["many"]:
+        # every text of a repeated set is a case of its own, however many they are; rows of one id may have come twice
+        several, members = hits.where("sk is not null").drop("case", "case_ord"), rows.select("sk", F.col("id").alias("case"), F.col("ord").alias("case_ord"))
+        each = members.join(F.broadcast(several), "sk") if 2 * counts["links"] + counts["many"] <= BROADCAST_KEYS else crossed(several, members, "sk", "acc", "case")
+        found = found.unionByName(each.select(found.columns).dropDuplicates(["acc", "case"]))
     found = found.where("case <> acc and (past or acc_ord < case_ord)").select(F.col("acc").alias("accepted_id"), F.col("case").alias("packet_id"))
     result = kept(found, "found")
-    store.commit(load)
-    remove(spark, scratch)
+    store.commit(load, new_hot)
+    for name in ("scratch", "screened/kind=0", "screened/kind=1"):
+        remove(spark, f"{store.path}/{load}/{name}")
     # shuffle files of the load go with the driver's objects that stand for them
-    del nodes, hot, filters, screened, held, met, pairs, every, links, near, older, both, hits, found
+    del nodes, hot, filters, screened, held, met, pairs, every, links, near, rejected, refused, refused_keys, hits, found
     spark.sparkContext._jvm.System.gc()
     return result
 
 
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, past) whose texts really share ``threshold`` of their distinct words, with the places of both in
-    the order; texts come from (node, ord, text) tables, the left one with ``past``."""
-    sides = [pairs.select(F.col("a").alias("node"), "past").distinct(), pairs.select(F.col("b").alias("node")).distinct()]
-
-    def some(texts: DataFrame, ids: DataFrame) -> DataFrame:
-        return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, ids.columns, "left_semi")
+def verified(pairs: DataFrame, n_pairs: int, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, past) whose texts really share ``threshold`` of their distinct words, each once, with the places of
+    both in the order, which comes ``first``, and the keys of sets of several ids.
 
+    Texts come from (node, ord, text, sk) tables, the left one with ``past``. While the ``n_pairs`` are few they are sent to
+    the left texts, so that the history's texts are not moved; only those with a pair are.
+    """
+    few = n_pairs <= BROADCAST_KEYS
     w = F.array_distinct(words("text"))
-    x = some(left, sides[0]).select(F.col("node").alias("a"), "past", F.col("ord").alias("ao"), w.alias("aw"))
-    y = some(right, sides[1]).select(F.col("node").alias("b"), F.col("ord").alias("bo"), w.alias("bw"))
-    met = pairs.join(x, ["a", "past"]).join(y, "b")
+    x = left.select(F.col("node").alias("a"), "past", F.col("ord").alias("ao"), F.col("sk").alias("a_sk"), "text").join(F.broadcast(pairs) if few else pairs, ["a", "past"])
+    x = x.select("a", "b", "past", "ao", "a_sk", w.alias("aw"))
+    y = right.select(F.col("node").alias("b"), F.col("ord").alias("bo"), F.col("sk").alias("b_sk"), w.alias("bw"))
     shared = F.size(F.array_intersect("aw", "bw"))
-    return met.where(shared >= F.lit(threshold) * (F.size("aw") + F.size("bw") - shared) - 1e-9).select("a", "b", "past", "ao", "bo").dropDuplicates(["a", "b", "past"])
+    met = x.join(y, "b").where(shared >= F.lit(threshold) * (F.size("aw") + F.size("bw") - shared) - 1e-9)
+    return met.select("a", "b", "past", "ao", "bo", "a_sk", "b_sk", (F.col("ao") < F.col("bo")).alias("first")).dropDuplicates(["a", "b", "past"])
 
 
 def settled(links: list[tuple[int, int]], rejected: set[int]) -> set[int]:
-    """The nodes refused, of links (earlier, later) that are sorted by nothing in particular."""
+    """The nodes refused: those in ``rejected``, and each other one with an earlier accepted node linked (earlier, later) to it."""
     before: dict[int, list[int]] = {}
     for src, dst in links:
         before.setdefault(dst, []).append(src)
         before.setdefault(src, [])
     refused, known = set(rejected), set(rejected)
-    todo = [n for n in before if n not in known]
+    todo = list(before)
     while todo:
         node = todo[-1]
-        if node in known:
-            todo.pop()
+        waiting = [] if node in known else [s for s in before[node] if s not in known]
+        if waiting:
+            todo += waiting
             continue
-        open_ = [s for s in before[node] if s not in known]
-        if open_:
-            todo += open_
-            continue
-        if any(s not in refused for s in before[node]):
-            refused.add(node)
-        known.add(node)
         todo.pop()
+        if node not in known:
+            known.add(node)
+            if any(s not in refused for s in before[node]):
+                refused.add(node)
     return refused
 
 
-def settle(links: DataFrame, rejected: DataFrame, temporary, limit: int | None = None) -> DataFrame:
+def settle_few(links: DataFrame, rejected: DataFrame) -> DataFrame:
+    """As ``settle``, in one task; for link tables of a counted size."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, gone = [], set()
+        for pdf in batches:
+            past = pdf["past"].astype(bool)
+            gone |= set(pdf.loc[past, "dst"])
+            pairs += zip(pdf.loc[~past, "src"], pdf.loc[~past, "dst"])
+        got = settled(pairs, gone)
+        yield pd.DataFrame({"node": np.array(sorted(got), dtype=np.int64)})
+
+    rows = links.select("src", "dst", F.lit(False).alias("past")).unionByName(rejected.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("past")))
+    return rows.coalesce(1).mapInPandas(scan, "node long")
+
+
+def settle(links: DataFrame, rejected: DataFrame, temporary) -> DataFrame:
     """Nodes (node) refused when each is accepted unless an earlier accepted one is linked to it, or it is in ``rejected``.
 
-    ``links`` (src, dst) run from the earlier to the later node. Links between open nodes only are settled: few of them in
-    one task, more of them in rounds. Each round accepts all open nodes without an open predecessor and refuses their
-    successors; the open part shrinks until nothing is left.
+    ``links`` (src, dst) run from the earlier to the later node. Each round accepts all open nodes without an open
+    predecessor and refuses their successors; the open part shrinks until nothing is left.
     """
-    limit = SETTLE_LINKS if limit is None else limit
     rejected = temporary(rejected, "rejected")
     todo = links.join(rejected, links.src == rejected.node, "left_anti").join(rejected, links.dst == rejected.node, "left_anti")
-    todo = temporary(todo, "open")
-    n = todo.count()
-    if n == 0:
-        return rejected
-    if n <= limit:
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(batches), ignore_index=True)
-            yield pd.DataFrame({"node": sorted(settled(list(zip(pdf["src"], pdf["dst"])), set()))}, dtype="int64")
-
-        return rejected.unionByName(todo.repartition(1).mapInPandas(scan, "node long"))
-    refused, k = [rejected], 0
+    todo, refused, k = temporary(todo, "open"), [rejected], 0
     while not todo.isEmpty():
         heads = todo.select(F.col("src").alias("node")).distinct().join(todo.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
         out = temporary(todo.join(heads, todo.src == heads.node, "left_semi").select(F.col("dst").alias("node")).distinct(), f"refused-{k}")

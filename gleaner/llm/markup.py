@@ -39,15 +39,19 @@ _OPAQUE = re.compile(
     | (?P<mathtag>:?<math\b[^<>]*>.*?(?:</math\s*>|\Z))
     | (?P<menv>\\begin\{{(?P<me>{MATH_ENVIRONMENTS})\*?\}}.*?(?:\\end\{{(?P=me)\*?\}}|\Z))
     | (?P<display>\$\$(?=\s*\S)(?:(?!\$\$|\n[ ]*\n).)+?(?:\$\$|\Z))
-    | (?P<bracket>\\\[(?:(?!\\\]).)+?\\\])
-    | (?P<paren>\\\((?:(?!\\\)|\n[ ]*\n).)+?\\\))
+    | (?P<bracket>\\\[(?:(?!\\\]|\\\[).)+?\\\])
+    | (?P<paren>\\\((?:(?!\\\)|\\\(|\n[ ]*\n).)+?\\\))
     | (?P<dollar>(?<![\\$\w])\$(?![\s$])(?:[^$\n\\]|\\.|\n(?![ ]*\n))*?(?<![\s\\])\$(?![\d$A-Za-z]))
     | (?P<path>\b[A-Za-z]:\\[\w.\\-]+)
     | (?P<tick>(?<!`)(?P<t>`{{1,2}})(?!`)(?P<inner>[^`\n]+?)(?<!`)(?P=t)(?!`))
     """,
     re.S | re.M | re.I | re.X,
 )
-_WIKI_HEADING = re.compile(r"^(={1,6})[ \t]*(?!=)(\S.*?)[ \t]*\1[ \t]*$", re.M)
+#: Where an opaque piece may begin, or (a fence, a path, a formula tag) shortly after its beginning.
+_TRIGGER = re.compile(r"[`\\$]|~~~|<(?=[psnm!])", re.I)
+_FENCE_INDENT = re.compile(r"[ ]{0,3}(?:>[ ]?)*[ ]*")
+_INDENT = 1000
+_EQUALS = re.compile("={1,6}(?!=)")
 _ATX = re.compile(r"^ {0,3}#{1,6}[ \t]+\S")
 _SETEXT = re.compile(r"^ {0,3}(?:=+|-{2,})[ \t]*$")
 _RULE = re.compile(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
@@ -66,7 +70,7 @@ _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1
 _TEX_COMMAND = re.compile(r"\\[A-Za-z]+\*?")
 _TEX_ARGUMENT = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{")
 _TEX_COMMENT = re.compile(r"(?<!\\)%[^\n]*")
-_TEX_QUOTE = re.compile(r"``(.+?)''|`([^`'\n]+)'")
+_TEX_QUOTE = re.compile(r"``((?:(?!``).)+?)''|`([^`'\n]+)'")
 _WIKI_EMPHASIS = re.compile(r"'{2,5}")
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)(?:\]\]|\Z)")
 _WEB_LINK = re.compile(r"\[(?:https?|ftp)://[^\s\]]+[ \t]*([^\]\n]*)(?:\]|\Z)")
@@ -78,7 +82,8 @@ _MD_LINK = re.compile(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])+)\](?:\([^()\n]*(?:\)|\Z
 _MD_REFERENCE = re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]*\S+[^\n]*$", re.M)
 _MD_NOTE = re.compile(r"\[\^[^\]\n]+\]")
 _AUTO = re.compile(r"<(?:https?://|mailto:)[^<>\s]+>")
-_STRONG = re.compile(r"(?<![\w*])(\*{1,3})(?![\s*])([^*\n]+?)(?<![\s*])\1(?![\w*])|(?<!\w)(_{1,3})(?![\s_])([^\n]+?)(?<![\s_])\3(?!\w)")
+_STRONG = re.compile(r"(?<![\w*])(\*{1,3})(?![\s*])([^*\n]+?)(?<![\s*])\1(?![\w*])")
+_BARS = re.compile("_+")
 _STRIKE = re.compile(r"~~(?=\S)([^~\n]+?)~~")
 _CUT = re.compile(r"(?<!\S)(?:\*\*|~~|__|''+)(?=\w)[^*~_'\n]*(?:\.\.\.|…)\s*\Z")
 _HOLD = re.compile("\x00(\\d+)\x00")
@@ -93,8 +98,79 @@ class Parsed:
         self.base, self.counts, self.other, self.clean = base, counts, other, clean
 
 
+def _wiki_heading(line: str) -> tuple[int, str] | None:
+    """Level and text of a heading written ``== so ==``."""
+    m = _EQUALS.match(line)
+    if not m:
+        return None
+    mark, line = m.group(), line.rstrip(" \t")
+    text = line[len(mark) : -len(mark)].strip(" \t")
+    return (len(mark), text) if line.endswith(mark) and len(line) > 2 * len(mark) and text and text[0] != "=" else None
+
+
+def _underscored(line: str) -> tuple[str, int]:
+    """The line without ``_emphasis_``, and how many there were: each opening run of one to three takes the next closing one of its length."""
+    runs = [m.span() for m in _BARS.finditer(line)]
+    after = [0, 0, 0, 0]  # the next closing run of each length, from the right
+    found: list[int] = [0] * len(runs)
+    for k in range(len(runs) - 1, -1, -1):
+        a, b = runs[k]
+        if b - a > 3:
+            continue
+        found[k] = after[b - a]
+        if a and not line[a - 1].isspace() and not (b < len(line) and (line[b].isalnum())):
+            after[b - a] = k
+    out, at, n, k = [], 0, 0, 0
+    while k < len(runs):
+        a, b = runs[k]
+        opens = b - a <= 3 and b < len(line) and not line[b].isspace() and not (a and line[a - 1].isalnum())
+        if opens and found[k] > k:
+            c, d = runs[found[k]]
+            out += [line[at:a], line[b:c]]
+            at, n, k = d, n + 1, found[k]
+        k += 1
+    return "".join([*out, line[at:]]), n
+
+
+def opaque(text: str) -> list[re.Match]:
+    """The opaque pieces from left to right. Each is looked for where it may begin only, and none is scanned twice."""
+    found, pos = [], 0
+    for t in _TRIGGER.finditer(text):
+        i = t.start()
+        if i < pos:
+            continue
+        c, m = text[i], None
+        if c in "`~" and text.startswith(c * 3, i):
+            low = max(pos, i - _INDENT)
+            start = text.rfind("\n", low, i) + 1 or low
+            if (not start or text[start - 1] == "\n") and _FENCE_INDENT.fullmatch(text, start, i):
+                m = _OPAQUE.match(text, start)
+        elif c == "<" and i > pos and text[i - 1] == ":":
+            m = _OPAQUE.match(text, i - 1)
+        elif c == "\\" and i - 2 >= pos and text[i - 1] == ":":
+            m = _OPAQUE.match(text, i - 2)
+        m = m or _OPAQUE.match(text, i)
+        if m and m.end() > i:
+            found.append(m)
+            pos = m.end()
+    return found
+
+
+def _replaced(text: str, found: list[re.Match], to) -> str:
+    out, at = [], 0
+    for m in found:
+        out += [text[at : m.start()], to(m)]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def masked(text: str) -> str:
+    """The text with code blocks and formulas as runs of NUL of their length."""
+    return _replaced(text, opaque(text), lambda m: m.group() if m.group("tick") or m.group("path") or m.group("comment") or m.group("script") or m.group("nowiki") else "\0" * (m.end() - m.start()))
+
+
 def _base(text: str) -> str:
-    if _WIKI_HEADING.search(text):
+    if any(_wiki_heading(line) for line in text.split("\n") if line[:1] == "="):
         return "wiki"
     if _TEX_HEADING.search(text) or re.search(r"\\(?:begin|end|documentclass)\{|\\item(?![A-Za-z])", text):
         return "latex"
@@ -121,8 +197,8 @@ def parse(text: str | None) -> Parsed:
         return f"\x00{len(held) - 1}\x00"
 
     # the base is told without code, formulas and comments; ticks are code only where they are not LaTeX quotes
-    bare = _OPAQUE.sub(lambda m: m.group() if m.lastgroup in ("tick", "inner", "t") or m.group("tick") or m.group("path") else " ", text)
-    base = _base(bare)
+    pieces = opaque(text)
+    base = _base(_replaced(text, pieces, lambda m: m.group() if m.group("tick") or m.group("path") else " "))
 
     def lift(m: re.Match) -> str:
         nonlocal other
@@ -159,7 +235,7 @@ def parse(text: str | None) -> Parsed:
             return hold(re.sub(r"</?nowiki[^<>]*>", "", s, flags=re.I))
         return ""
 
-    text = _OPAQUE.sub(lift, text)
+    text = _replaced(text, pieces, lift)
     if base == "latex":
         text, n = _TEX_COMMENT.subn("", text)
         other = other or n > 0
@@ -179,10 +255,10 @@ def parse(text: str | None) -> Parsed:
                 m = _QUOTE.match(line)
         above = out[-1] if out else ""
         if base == "wiki":
-            m = _WIKI_HEADING.match(line)
+            m = _wiki_heading(line)
             if m:
                 counts["heading"] += 1
-                line = "#" * len(m.group(1)) + " " + m.group(2)
+                line = "#" * m[0] + " " + m[1]
             elif _WIKI_ITEM.match(line) and not line.startswith("#REDIRECT"):
                 counts["list_item"] += 1
                 m = _WIKI_ITEM.match(line)
@@ -194,7 +270,9 @@ def parse(text: str | None) -> Parsed:
         elif base == "markdown":
             if _ATX.match(line):
                 counts["heading"] += 1
-                line = re.sub(r"[ \t]+#+[ \t]*$", "", line.strip())
+                line = line.strip()
+                bare = line.rstrip("#")
+                line = bare.rstrip() if bare[-1:] in (" ", "\t") else line
             elif _SETEXT.match(line) and above.strip() and not above.lstrip().startswith(("#", "- ", "|")) and k and lines[k - 1].strip():
                 counts["heading"] += 1
                 out[-1] = ("# " if "=" in line else "## ") + above.strip()
@@ -219,7 +297,7 @@ def parse(text: str | None) -> Parsed:
     # elements that tags or commands make, in any base
     counts["heading"] += len(_HTML_HEADING.findall(text))
     counts["list_item"] += len(_HTML_ITEM.findall(text))
-    text = re.sub(r"<h([1-6])\b[^<>]*>\s*(.*?)\s*</h\1\s*>", lambda m: "#" * int(m.group(1)) + " " + " ".join(m.group(2).split()), text, flags=re.I | re.S)
+    text = re.sub(r"<h([1-6])\b[^<>]*>((?:(?!<h[1-6]\b).)*?)</h\1\s*>", lambda m: "#" * int(m.group(1)) + " " + " ".join(m.group(2).split()), text, flags=re.I | re.S)
     text = _STRUCTURE_TAG.sub("", _HTML_ITEM.sub("- ", text))
     if base == "latex":
         counts["heading"] += len(_TEX_HEADING.findall(text))
@@ -256,7 +334,10 @@ def parse(text: str | None) -> Parsed:
         drop(_MD_LINK, r"\1")
         drop(_MD_NOTE, "")
         for _ in range(2):
-            drop(_STRONG, lambda m: m.group(2) or m.group(4))
+            drop(_STRONG, r"\2")
+            if "_" in text:
+                freed = [_underscored(x) if "_" in x else (x, 0) for x in text.split("\n")]
+                text, other = "\n".join(x for x, _ in freed), other or any(n for _, n in freed)
         drop(_STRIKE, r"\1")
         drop(_TEX_ARGUMENT, "")
     drop(_CUT, lambda m: m.group().lstrip("*~_'"))
@@ -266,7 +347,7 @@ def parse(text: str | None) -> Parsed:
         text = _HOLD.sub(lambda m: held[int(m.group(1))], text)
         if "\x00" not in text:
             break
-    text = re.sub(r"[ \t]+$", "", text, flags=re.M)
+    text = "\n".join(x.rstrip(" \t") for x in text.split("\n"))
     return Parsed(base, counts, other, re.sub(r"\n{3,}", "\n\n", text).strip())
 
 

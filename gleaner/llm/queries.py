@@ -19,40 +19,53 @@ def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.unionByName(entries)
 
 
+def without_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_id, text, cuts): every record once, with the stretches of it that are templates of its origin.
+
+    The redelivered rows of a record are one; should their texts differ, the greatest counts.
+    """
+    once = marked_up(spark, sf_dir).groupBy("tbl", "row_id").agg(F.max("host").alias("host"), F.max("text").alias("text"))
+    keyed = once.withColumn("id", F.col("row_id") * 2 + F.when(F.col("tbl") == "notes", 0).otherwise(1)).withColumn("host", F.concat("tbl", F.lit("/"), F.coalesce(F.lower(F.trim("host")), F.lit(""))))
+    keyed = stored(keyed, "marked-up")
+    return keyed.join(templates.template_cuts(keyed, "id", "host", "text"), "id", "left").select("tbl", "row_id", "text", "cuts")
+
+
+def _cleared(text: str | None, cuts) -> tuple[markup.Parsed, bool, int]:
+    """What the scanner finds outside the templates, whether any markup was in them, and their number."""
+    spans = [] if cuts is None or text is None else [(c["start"], c["end"]) for c in cuts]
+    got = markup.parse(templates.cut(text, spans) if spans else text)
+    return got, any(markup.parse(text[a:b]).other for a, b in spans), len(spans)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The elements of every record; the scanner works record by record, so nothing but the result's rows is shuffled."""
+    """The elements of every record. Templates are cut first; they hold none of the four kinds, and their own markup counts."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for tbl, row_id, text in zip(pdf["tbl"], pdf["row_id"], pdf["text"]):
-                got = markup.parse(text)
+            for tbl, row_id, text, cuts in zip(pdf["tbl"], pdf["row_id"], pdf["text"], pdf["cuts"]):
+                got, marked, _ = _cleared(text, cuts)
                 for kind, n in got.counts.items():
                     rows.extend((tbl, row_id, kind, k) for k in range(1, n + 1))
-                if got.other:
+                if got.other or marked:
                     rows.append((tbl, row_id, "other", 1))
             yield pd.DataFrame(rows, columns=["tbl", "row_id", "element", "pos"])
 
-    return marked_up(spark, sf_dir).drop("host").mapInPandas(scan, "tbl string, row_id long, element string, pos int").distinct()
+    return without_templates(spark, sf_dir).mapInPandas(scan, "tbl string, row_id long, element string, pos int")
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean text of every record, after parts that recur across the records of one origin are cut out."""
-    rows = marked_up(spark, sf_dir).dropDuplicates(["tbl", "row_id"])
-    keyed = rows.withColumn("id", F.col("row_id") * 2 + F.when(F.col("tbl") == "notes", 0).otherwise(1)).withColumn("host", F.concat("tbl", F.lit("/"), F.coalesce(F.lower(F.trim("host")), F.lit(""))))
-    cuts = templates.template_cuts(keyed, "id", "host", "text")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for tbl, row_id, text, c in zip(pdf["tbl"], pdf["row_id"], pdf["text"], pdf["cuts"]):
-                spans = [] if c is None else [(x["start"], x["end"]) for x in c]
-                got = markup.parse(templates.cut(text, spans) if text and spans else text)
-                out.append((tbl, row_id, got.base, got.clean, len(spans)))
+            for tbl, row_id, text, cuts in zip(pdf["tbl"], pdf["row_id"], pdf["text"], pdf["cuts"]):
+                got, _, n = _cleared(text, cuts)
+                out.append((tbl, row_id, got.base, got.clean, n))
             yield pd.DataFrame(out, columns=["tbl", "row_id", "base", "clean", "template_parts"])
 
-    joined = keyed.join(cuts, "id", "left").select("tbl", "row_id", "text", "cuts")
-    return joined.mapInPandas(scan, "tbl string, row_id long, base string, clean string, template_parts int")
+    return without_templates(spark, sf_dir).mapInPandas(scan, "tbl string, row_id long, base string, clean string, template_parts int")
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

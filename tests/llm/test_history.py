@@ -79,7 +79,7 @@ def test_every_switch_has_been_off(spark, monkeypatch):
     rows = random_statements(120, 6)
     monkeypatch.setattr(history_dedup, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(skew, "BROADCAST_KEYS", 0)
-    monkeypatch.setattr(history_dedup, "SETTLE_LINKS", 0)
+    monkeypatch.setattr(history_dedup, "SETTLE_LINKS", -1)
     monkeypatch.setattr(history_dedup, "BLOCK", 1)
     monkeypatch.setattr(history_dedup, "CHUNK", 7)
     assert ingest_all(spark, rows) == expected_links(rows)
