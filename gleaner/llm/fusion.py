@@ -1,61 +1,62 @@
 """Field values by Bayesian fusion with copy detection.
 
 Every source claims at most one value for an item. In each round the accuracy of sources, the dependence between each
-pair of them and the posterior of each value are estimated from one another: sources that share false values are likely
-copiers, and the vote of a source counts only as far as it is independent of the more accurate voters for that value.
+pair of them that shares an item, and the posterior of each value are estimated from one another: sources that share
+false values are likely copiers, and the vote of a source counts only as far as it is independent of the more accurate
+voters for that value.
 
-The parameters (accuracies, dependences) are per source and pair of sources, so they are held on the driver; items and
-claims are not. A round is one pass over the items, each with its claims (one per source at most); every task adds up its
-own counts and sends sums only. With more than BLOCK sources the pairs are counted in several passes, block by block.
+Claims, pairs of claims, accuracies and dependences are all tables; nothing but the number of rounds is held on the
+driver, so neither sources nor items have a limit. Pairs of claims are made once; those of an item that very many sources
+claim are dealt out over a grid of tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.skew import crossed
 from gleaner.runtime import stored
 
-#: Sources whose pairs are counted in one pass.
-BLOCK = 1024
-#: Sources altogether; accuracies and dependences of more would not fit the driver.
-MAX_SOURCES = 8192
 FALSE_VALUES = 10
 COPY_RATE = 0.8
 PRIOR_DEPENDENCE = 0.1
-
-
-def posteriors(sources: np.ndarray, values: np.ndarray, accuracy: np.ndarray, dependence: np.ndarray) -> dict[int, float]:
-    """Probability of each claimed value of one item."""
-    order = sorted(range(len(sources)), key=lambda i: (-accuracy[sources[i]], sources[i]))
-    score: dict[int, float] = {}
-    voted: dict[int, list[int]] = {}
-    for i in order:
-        s, v = int(sources[i]), int(values[i])
-        before = voted.setdefault(v, [])
-        free = float(np.prod(1 - COPY_RATE * dependence[s, before])) if before else 1.0
-        a = min(max(accuracy[s], 0.01), 0.99)
-        score[v] = score.get(v, 0.0) + free * float(np.log(FALSE_VALUES * a / (1 - a)))
-        before.append(s)
-    top = max(max(score.values()), 0.0)
-    rest = max(0, FALSE_VALUES + 1 - len(score)) * np.exp(-top)
-    total = sum(np.exp(c - top) for c in score.values()) + rest
-    return {v: float(np.exp(c - top) / total) for v, c in score.items()}
-
-
-def dependences(same_true: np.ndarray, same_false: np.ndarray, different: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
-    """Probability that two sources are not independent, from what they share and where they differ."""
-    a = np.clip((accuracy[:, None] + accuracy[None, :]) / 2, 0.05, 0.95)
-    t, f = a * a, (1 - a) ** 2 / FALSE_VALUES
-    c = COPY_RATE
-    log = same_true * np.log(t / (a * c + t * (1 - c))) + same_false * np.log(f / ((1 - a) * c + f * (1 - c))) + different * np.log(1 / (1 - c))
-    p = 1 / (1 + (1 - PRIOR_DEPENDENCE) / PRIOR_DEPENDENCE * np.exp(np.clip(log, -50, 50)))
-    np.fill_diagonal(p, 0)
-    return p
+FIRST_ACCURACY = 0.8
+
+
+def _dependence(counts: DataFrame, accuracy: DataFrame) -> DataFrame:
+    """(i, j, dep): probability that two sources are not independent, of what they share (t right, f wrong) and where they differ (d)."""
+    a = accuracy.select(F.col("s").alias("i"), F.col("acc").alias("ai"))
+    b = accuracy.select(F.col("s").alias("j"), F.col("acc").alias("aj"))
+    m = F.least(F.greatest((F.col("ai") + F.col("aj")) / 2, F.lit(0.05)), F.lit(0.95))
+    t, f, c = m * m, (1 - m) * (1 - m) / FALSE_VALUES, COPY_RATE
+    log = F.col("t") * F.log(t / (m * c + t * (1 - c))) + F.col("f") * F.log(f / ((1 - m) * c + f * (1 - c))) + F.col("d") * math.log(1 / (1 - c))
+    odds = (1 - PRIOR_DEPENDENCE) / PRIOR_DEPENDENCE * F.exp(F.least(F.greatest(log, F.lit(-50.0)), F.lit(50.0)))
+    return counts.join(a, "i").join(b, "j").select("i", "j", (1 / (1 + odds)).alias("dep"))
+
+
+def _posteriors(claims: DataFrame, pairs: DataFrame, accuracy: DataFrame, dependence: DataFrame) -> DataFrame:
+    """(item, value, p, n): the probability of each claimed value, and its number of sources."""
+    a, b = accuracy.select(F.col("s").alias("i"), F.col("acc").alias("ai")), accuracy.select(F.col("s").alias("j"), F.col("acc").alias("aj"))
+    met = pairs.where("same").join(dependence, ["i", "j"]).join(a, "i").join(b, "j")
+    # of two that agree, the less accurate one (of equals the one named later) counts only as far as it is independent
+    later = F.when(F.col("ai") < F.col("aj"), F.col("i")).otherwise(F.col("j"))
+    lost = met.groupBy("item", later.alias("s")).agg(F.sum(F.log(1 - COPY_RATE * F.col("dep"))).alias("lost"))
+    sure = F.least(F.greatest("acc", F.lit(0.01)), F.lit(0.99))
+    votes = claims.join(accuracy, "s").join(lost, ["item", "s"], "left").withColumn("vote", F.exp(F.coalesce("lost", F.lit(0.0))) * F.log(FALSE_VALUES * sure / (1 - sure)))
+    scores = votes.groupBy("item", "value").agg(F.sum("vote").alias("score"), F.count(F.lit(1)).alias("n"))
+    tops = scores.groupBy("item").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("top"), F.count(F.lit(1)).alias("k"))
+    raw = scores.join(tops, "item").withColumn("e", F.exp(F.col("score") - F.col("top")))
+    rest = F.greatest(FALSE_VALUES + 1 - F.first("k"), F.lit(0)) * F.exp(-F.first("top"))
+    sums = raw.groupBy("item").agg((F.sum("e") + rest).alias("total"))
+    return raw.join(sums, "item").select("item", "value", (F.col("e") / F.col("total")).alias("p"), "n")
+
+
+def _best(post: DataFrame) -> DataFrame:
+    """(item, value, p, n): the most probable value of each item, of equals the smaller."""
+    return post.groupBy("item").agg(F.min(F.struct((-F.round("p", 9)).alias("r"), "value", "p", "n")).alias("b")).select("item", "b.value", "b.p", "b.n")
 
 
 def fuse(claims: DataFrame, rounds: int = 4) -> DataFrame:
@@ -65,80 +66,22 @@ def fuse(claims: DataFrame, rounds: int = 4) -> DataFrame:
     item the latest counts, then the smallest record. Claims with a null in item, source or value are left out; no claims
     give no rows.
     """
-    spark = claims.sparkSession
     pre = claims.where("item is not null and source is not null and value is not null")
-    # the latest claim of a source for an item, by a map-side combined maximum
-    one = pre.groupBy("item", "source").agg(F.min(F.struct(F.coalesce(-F.unix_micros("at"), F.lit(2**62)).alias("t"), "record", "value")).alias("m")).select("item", "source", "m.value")
-    one = stored(one, "claims")
-    names = [r["source"] for r in one.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names.sort()
-    n = len(names)
-    ids = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, s int")
-    # an item's list has one entry per source at most, so it is bounded by the number of sources
-    items = stored(one.join(F.broadcast(ids), "source").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("s", "value"))).alias("claims")), "items")
-    accuracy, dependence = np.full(n, 0.8), np.zeros((n, n))
-
-    def judged(pdf: pd.DataFrame, accuracy: np.ndarray, dependence: np.ndarray):
-        for item, claim in zip(pdf["item"], pdf["claims"]):
-            s = np.array([c["s"] for c in claim])
-            texts = sorted({c["value"] for c in claim})
-            v = np.array([texts.index(c["value"]) for c in claim])
-            yield item, s, v, texts, posteriors(s, v, accuracy, dependence)
-
-    for k in range(rounds + 1):
-        model = spark.sparkContext.broadcast((accuracy, dependence))
-        kt, kf, kd = (np.zeros((n, n)) for _ in range(3))
-        sums = np.zeros((2, n))
-        for lo in range(0, n, BLOCK):
-            hi = min(n, lo + BLOCK)
-
-            def count(batches: Iterator[pd.DataFrame], lo=lo, hi=hi, model=model) -> Iterator[pd.DataFrame]:
-                acc, dep = model.value
-                true, false, diff, own = np.zeros((hi - lo, n)), np.zeros((hi - lo, n)), np.zeros((hi - lo, n)), np.zeros((2, n))
-                for pdf in batches:
-                    for _, s, v, _, p in judged(pdf, acc, dep):
-                        best = max(p, key=lambda x: (p[x], -x))
-                        if lo == 0:
-                            own[0, s] += [p[int(x)] for x in v]
-                            own[1, s] += 1
-                        rows = (s >= lo) & (s < hi)
-                        if len(s) < 2 or not rows.any():
-                            continue
-                        r, c = s[rows] - lo, s
-                        same = v[rows][:, None] == v[None, :]
-                        right = same & (v[None, :] == best)
-                        at = np.ix_(r, c)
-                        true[at] += right
-                        false[at] += same & ~right
-                        diff[at] += ~same
-                i, j = np.nonzero(true + false + diff)
-                yield pd.DataFrame({"i": i + lo, "j": j, "t": true[i, j], "f": false[i, j], "d": diff[i, j]})
-                k = np.flatnonzero(own[1])
-                yield pd.DataFrame({"i": k, "j": -1, "t": own[0, k], "f": own[1, k], "d": 0.0})
-
-            got = items.mapInPandas(count, "i long, j long, t double, f double, d double").groupBy("i", "j").agg(F.sum("t").alias("t"), F.sum("f").alias("f"), F.sum("d").alias("d")).toPandas()
-            pair, own = got[got["j"] >= 0], got[got["j"] < 0]
-            at = (pair["i"].to_numpy(), pair["j"].to_numpy())
-            kt[at], kf[at], kd[at] = pair["t"], pair["f"], pair["d"]
-            sums[0, own["i"]] += own["t"].to_numpy()
-            sums[1, own["i"]] += own["f"].to_numpy()
-        if k == 0:
-            # what is true is not known yet, and a majority may be copies: sources that never differ are likely dependent
-            dependence = dependences(kt + kf, np.zeros((n, n)), kd, accuracy)
-        else:
-            accuracy = np.clip((sums[0] + 0.8) / (sums[1] + 1), 0.05, 0.95)
-            dependence = dependences(kt, kf, kd, accuracy)
-    model = spark.sparkContext.broadcast((accuracy, dependence))
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc, dep = model.value
-        for pdf in batches:
-            rows = []
-            for item, s, v, texts, p in judged(pdf, acc, dep):
-                best = max(p, key=lambda x: (round(p[x], 9), -x))
-                rows.append((item, texts[best], p[best], int((v == best).sum())))
-            yield pd.DataFrame(rows, columns=["item", "value", "posterior", "n_sources"])
-
-    return items.mapInPandas(choose, "item string, value string, posterior double, n_sources int")
+    # the latest claim of a source for an item, by a map-side combined minimum
+    one = pre.groupBy("item", "source").agg(F.min(F.struct(F.coalesce(-F.unix_micros("at"), F.lit(2**62)).alias("t"), "record", "value")).alias("m"))
+    one = stored(one.select("item", F.col("source").alias("s"), "m.value"), "claims")
+    x, y = one.select("item", F.col("s").alias("i"), F.col("value").alias("v")), one.select("item", F.col("s").alias("j"), F.col("value").alias("w"))
+    pairs = stored(crossed(x, y, "item", "i", "j").where("i < j").select("item", "i", "j", "v", (F.col("v") == F.col("w")).alias("same")), "claim-pairs")
+    accuracy = stored(one.select("s").distinct().withColumn("acc", F.lit(FIRST_ACCURACY)), "accuracies")
+    # what is true is not known yet, and a majority may be copies: sources that never differ are likely dependent
+    counts = pairs.groupBy("i", "j").agg(F.count_if("same").alias("t"), F.lit(0).cast("long").alias("f"), F.count_if(~F.col("same")).alias("d"))
+    dependence = stored(_dependence(counts, accuracy), "dependences")
+    for _ in range(rounds):
+        post = stored(_posteriors(one, pairs, accuracy, dependence), "posteriors")
+        right = one.join(post.select("item", "value", "p"), ["item", "value"]).groupBy("s").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
+        accuracy = stored(right.select("s", F.least(F.greatest((F.col("p") + FIRST_ACCURACY) / (F.col("n") + 1), F.lit(0.05)), F.lit(0.95)).alias("acc")), "accuracies")
+        judged = pairs.join(_best(post).select("item", F.col("value").alias("best")), "item")
+        good = F.col("same") & (F.col("v") == F.col("best"))
+        counts = judged.groupBy("i", "j").agg(F.count_if(good).alias("t"), F.count_if(F.col("same") & ~good).alias("f"), F.count_if(~F.col("same")).alias("d"))
+        dependence = stored(_dependence(counts, accuracy), "dependences")
+    return _best(_posteriors(one, pairs, accuracy, dependence)).select("item", "value", F.col("p").alias("posterior"), F.col("n").cast("int").alias("n_sources"))

@@ -10,10 +10,10 @@ it; a load that fails half-way leaves a folder that no manifest names. ``ingest`
 3. Fingerprints fall into parts, and parts into buckets. One Bloom filter per part tells which may be in the store. Those
    that occur neither there nor twice in the batch are dropped, and only buckets with a positive are read from the store.
 4. New and stored fingerprints meet part by part. Signatures of the word sets discard most pairs as they are made.
-5. Candidates are verified on the word sets themselves: shared words over all words.
+5. Candidates are verified on the word sets themselves (64-bit hashes of the words): shared words over all words.
 6. Texts are accepted in order. A text is rejected as soon as one earlier text that it matches is accepted, and accepted
    once all earlier ones that it matches are rejected.
-7. The texts, which of them were refused, the fingerprints and the changed filters are written, then the manifest.
+7. The word sets, which of them were refused, the fingerprints and the changed filters are written, then the manifest.
 
 Fingerprints of the history are read from the buckets that are hit, never computed again. A batch of a few texts hits a
 few buckets; one that is a twentieth of the history hits all.
@@ -40,7 +40,7 @@ from gleaner.operators.skew import BROADCAST_KEYS, block_pairs, crossed
 from gleaner.runtime import file_names, get_text, put_text, remove
 
 SHINGLE = 5
-WINDOW = 4
+WINDOW = 8
 #: Both sets of a pair of which one has at most 10 words have at most 14 at 0.7; such sets get single words as keys.
 SHORT = 14
 #: Bits of Bloom filter for each fingerprint, and probes; about one false positive in a hundred.
@@ -68,6 +68,8 @@ HOT_ROWS = 500
 HOT_SHARE = 0.1
 #: Open links, at most, that one task settles; more are settled in rounds.
 SETTLE_LINKS = 200_000
+#: After so many loads the driver's garbage is collected, and with it the shuffle files of past loads.
+CLEAN_LOADS = 4
 #: Pairs that are tested at once; keys with as many pairs are tested in blocks.
 CHUNK = 2_000_000
 BLOCK = 16_384
@@ -186,29 +188,49 @@ def fingerprints(nodes: list[int], texts: list[str], threshold: float, order: Wo
     at, fp = np.concatenate(which), np.concatenate(found)
     out = np.empty(len(fp), PRINT)
     out["fp"], out["node"], out["sig"] = fp, np.asarray(nodes, dtype=np.int64)[at], sig[at]
-    return np.unique(out)
+    return _ordered(out)
+
+
+def _ordered(prints: np.ndarray) -> np.ndarray:
+    """The records by hash and node, each pair of them once."""
+    prints = prints[np.lexsort((prints["node"], prints["fp"]))]
+    fresh = (prints["fp"][1:] != prints["fp"][:-1]) | (prints["node"][1:] != prints["node"][:-1])
+    return prints[np.concatenate([[True], fresh])] if len(prints) else prints
 
 
 def pack(prints: np.ndarray) -> bytes:
-    """PRINT records, sorted, as bytes: each hash once, nodes as distances, byte by byte so that they compress."""
-    prints = np.sort(prints)
+    """PRINT records, in order, as bytes: each hash once, nodes as distances, byte by byte so that they compress."""
+    prints = _ordered(prints)
     fp, counts = np.unique(prints["fp"], return_counts=True)
     far = np.diff(prints["node"], prepend=0).view(np.uint8).reshape(-1, 8).T
     return np.array([len(fp), len(prints)], "<u4").tobytes() + fp.tobytes() + prints["sig"].tobytes() + far.tobytes() + counts.astype("<u4").tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The records of a pack; with ``wanted`` (sorted hashes) only those of hashes among them, and no others are made."""
     keys, n = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-    out = np.empty(n, PRINT)
-    out["fp"] = np.repeat(np.frombuffer(blob, "<u8", keys, 8), np.frombuffer(blob, "<u4", keys, 8 + 8 * keys + 16 * n))
-    out["sig"] = np.frombuffer(blob, "<u8", n, 8 + 8 * keys)
-    out["node"] = np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8 + 8 * keys + 8 * n).reshape(8, n).T).view("<i8").ravel())
+    fp, counts = np.frombuffer(blob, "<u8", keys, 8), np.frombuffer(blob, "<u4", keys, 8 + 8 * keys + 16 * n)
+    go = slice(None)
+    if wanted is not None:
+        hit = np.zeros(keys, bool)
+        if len(wanted):
+            hit = wanted[np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)] == fp
+        if not hit.any():
+            return np.empty(0, PRINT)
+        go = np.repeat(hit, counts)
+        fp, counts = fp[hit], counts[hit]
+    out = np.empty(int(counts.sum()), PRINT)
+    out["fp"] = np.repeat(fp, counts)
+    out["sig"] = np.frombuffer(blob, "<u8", n, 8 + 8 * keys)[go]
+    out["node"] = np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8 + 8 * keys + 8 * n).reshape(8, n).T).view("<i8").ravel())[go]
     return out
 
 
-def _load(blobs) -> np.ndarray:
-    """All records of the packs, each once: rows of one id may have come twice."""
-    return np.unique(np.concatenate([np.empty(0, PRINT), *[unpack(b) for b in blobs]]))
+def _load(blobs, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The records of many packs, by hash."""
+    parts = [unpack(b, wanted) for b in blobs]
+    p = np.concatenate([np.empty(0, PRINT), *parts])
+    return p[np.argsort(p["fp"], kind="stable")]
 
 
 def _bucket(fp: np.ndarray, parts: int) -> np.ndarray:
@@ -287,7 +309,7 @@ def _screen(parts: int, slice_rows: int):
 
     def task(key, new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         hot, kept = _hot(filters), filters[filters["data"].notna()].sort_values("seq")
-        p = _load(new["data"])
+        p = _ordered(_load(new["data"]))  # rows of one id may have come twice
         values, inverse, counts = np.unique(p["fp"], return_inverse=True, return_counts=True)
         seen = np.zeros(len(values), dtype=bool)
         for b in kept["data"]:
@@ -384,8 +406,8 @@ def _meet(threshold: float, limit: int):
 
     def task(key, new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         hot = _hot(held)
-        p, q = _load(new["data"]), _load(held["data"].dropna())
-        q = q[np.isin(q["fp"], p["fp"]) | np.isin(q["fp"], hot)]
+        p = _load(new["data"])
+        q = _load(held["data"].dropna(), np.union1d(p["fp"], hot))
         fps, start, count = np.unique(p["fp"], return_index=True, return_counts=True)
         lo, hi = np.searchsorted(q["fp"], fps, "left"), np.searchsorted(q["fp"], fps, "right")
         prefix = (fps & np.uint64(1)) == 1
@@ -406,6 +428,7 @@ def _meet(threshold: float, limit: int):
             found = [f for f in found if len(f)]
             if found:
                 got = pd.DataFrame(np.concatenate(found), columns=["a", "b"]).drop_duplicates()
+                got = got if past else got[got["a"] != got["b"]]
                 frames.append(got.assign(past=past, fp=None, node=None, sig=None))
         out = fps[apart & prefix]
         for past, rows in ((False, p[np.isin(p["fp"], out)]), (True, q[np.isin(q["fp"], np.union1d(out, hot))])):
@@ -509,14 +532,15 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     rows = rows.where(F.lower("text").rlike("[a-z0-9]")).select("id", F.struct(*orders, F.col("id").alias("oid")).alias("ord"), sk.alias("sk"), "text")
     # one node per word set; the earliest text stands for the set. Sets of several ids keep their key for the last step
     nodes = rows.groupBy("sk").agg(F.min(F.struct("ord", "text")).alias("m"), (F.min("id") < F.max("id")).alias("many"))
-    texts = kept(nodes.select(F.col("m.ord.oid").alias("node"), F.col("m.ord").alias("ord"), F.col("m.text").alias("text"), F.when(F.col("many"), F.col("sk")).alias("sk")), "texts", many=F.col("sk").isNotNull())
-    order = store.ordered(texts)
-    prints = kept(packed(texts.select("node", "text"), store.parts, t, order, store.rare, store.hot_rows).sortWithinPartitions("bucket"), "prints", 8 << 20, hot_packs=F.col("bucket") < 0)
+    word_set = F.transform(F.array_distinct(words("m.text")), lambda w: F.xxhash64(w))
+    sets = kept(nodes.select(F.col("m.ord.oid").alias("node"), F.col("m.ord").alias("ord"), F.when(F.col("many"), F.col("sk")).alias("sk"), word_set.alias("ws"), F.col("m.text").alias("text")), "sets", many=F.col("sk").isNotNull())
+    order = store.ordered(sets)
+    prints = kept(packed(sets.select("node", "text"), store.parts, t, order, store.rare, store.hot_rows).sortWithinPartitions("bucket"), "prints", 8 << 20, hot_packs=F.col("bucket") < 0)
 
     past = store.table("prints", prints.schema)
     new_hot = counts["hot_packs"] > 0
     has_hot = new_hot or bool(store.hot)
-    hot = spark.createDataFrame([], "part int, seq int, n long, sealed boolean, data binary, hot long")
+    hot = spark.sql("select 0 part, 0 seq, 0L n, false sealed, cast(null as binary) data, 0L hot where false")
     if has_hot:
         apart = unpacked(prints.where("bucket < 0")).select(F.lit(False).alias("past"), "*")
         if store.hot:
@@ -531,7 +555,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     screened = prints.where("bucket >= 0").groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen(store.parts, store.slice_rows), SCREENED)
     screened = kept(screened, "screened", by=["kind"], going=F.when(F.col("kind") == 0, F.col("n")).otherwise(0))
 
-    held = spark.createDataFrame([], "part int, data binary")
+    held = spark.sql("select 0 part, cast(null as binary) data where false")
     if past is not None:
         held = past.where("bucket >= 0")
         if counts["going"] <= 2 * store.parts * BUCKETS:  # else nearly all buckets are hit
@@ -550,10 +574,10 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
         grid = crossed(old.select("fp", F.col("node").alias("a"), F.col("sig").alias("x_sig")), new.select("fp", F.col("node").alias("b"), F.col("sig").alias("y_sig")), "fp", "a", "b")
         pairs = temporary(pairs.unionByName(near).unionByName(grid.where(may_match(t)).select("a", "b", F.lit(True).alias("past"))), "pairs", pairs=F.lit(True))
 
-    every = texts.select("node", "ord", "text", "sk", F.lit(False).alias("past"))
+    every = sets.withColumn("past", F.lit(False))
     if store.loads:
-        every = every.unionByName(store.table("texts", texts.schema).select("node", "ord", "text", "sk", F.lit(True).alias("past")))
-    links = verified(pairs, counts["pairs"], every, texts, t)
+        every = every.unionByName(store.table("sets", sets.schema).withColumn("past", F.lit(True)))
+    links = verified(pairs, counts["pairs"], every, sets, t)
     if store.loads:
         links = links.join(store.table("refused", "node long").select(F.col("node").alias("a"), F.lit(True).alias("past")), ["a", "past"], "left_anti")
     links = temporary(links, "links", links=F.lit(True))
@@ -565,7 +589,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
 
     # what each word set matches among the accepted ones: accepted before it, accepted between it and a later copy, or itself
     side = lambda acc, node: links.where("not past").select(F.col(acc).alias("acc"), F.col(f"{acc}o").alias("acc_ord"), F.col(node).alias("case"), F.col(f"{node}o").alias("case_ord"), F.col(f"{node}_sk").alias("sk"))
-    own = texts.where("sk is not null").select(F.col("node").alias("acc"), F.col("ord").alias("acc_ord"), F.col("node").alias("case"), F.col("ord").alias("case_ord"), "sk")
+    own = sets.where("sk is not null").select(F.col("node").alias("acc"), F.col("ord").alias("acc_ord"), F.col("node").alias("case"), F.col("ord").alias("case_ord"), "sk")
     hits = side("a", "b").unionByName(side("b", "a")).unionByName(own).join(refused_keys.withColumnRenamed("node", "acc"), "acc", "left_anti").withColumn("past", F.lit(False))
     hits = hits.unionByName(links.where("past").select(F.col("a").alias("acc"), F.col("bo").alias("acc_ord"), F.col("b").alias("case"), F.col("bo").alias("case_ord"), F.col("b_sk").alias("sk"), F.lit(True).alias("past")))
     found = hits.where("sk is null").drop("sk")
@@ -580,23 +604,22 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     for name in ("scratch", "screened/kind=0", "screened/kind=1"):
         remove(spark, f"{store.path}/{load}/{name}")
     # shuffle files of the load go with the driver's objects that stand for them
-    del nodes, hot, filters, screened, held, met, pairs, every, links, near, rejected, refused, refused_keys, hits, found
-    spark.sparkContext._jvm.System.gc()
+    del nodes, sets, hot, filters, screened, held, met, pairs, every, links, near, rejected, refused, refused_keys, hits, found
+    if len(store.loads) % CLEAN_LOADS == 1:
+        spark.sparkContext._jvm.System.gc()
     return result
 
 
 def verified(pairs: DataFrame, n_pairs: int, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, past) whose texts really share ``threshold`` of their distinct words, each once, with the places of
-    both in the order, which comes ``first``, and the keys of sets of several ids.
+    """The pairs (a, b, past) whose sets really share ``threshold`` of their words, each once, with the places of both in
+    the order, which comes ``first``, and the keys of sets of several ids.
 
-    Texts come from (node, ord, text, sk) tables, the left one with ``past``. While the ``n_pairs`` are few they are sent to
-    the left texts, so that the history's texts are not moved; only those with a pair are.
+    Word sets come from (node, ord, sk, ws) tables, the left one with ``past``. While the ``n_pairs`` are few they are sent
+    to the left sets, so that the history's sets are not moved; only those with a pair are.
     """
     few = n_pairs <= BROADCAST_KEYS
-    w = F.array_distinct(words("text"))
-    x = left.select(F.col("node").alias("a"), "past", F.col("ord").alias("ao"), F.col("sk").alias("a_sk"), "text").join(F.broadcast(pairs) if few else pairs, ["a", "past"])
-    x = x.select("a", "b", "past", "ao", "a_sk", w.alias("aw"))
-    y = right.select(F.col("node").alias("b"), F.col("ord").alias("bo"), F.col("sk").alias("b_sk"), w.alias("bw"))
+    x = left.select(F.col("node").alias("a"), "past", F.col("ord").alias("ao"), F.col("sk").alias("a_sk"), F.col("ws").alias("aw")).join(F.broadcast(pairs) if few else pairs, ["a", "past"])
+    y = right.select(F.col("node").alias("b"), F.col("ord").alias("bo"), F.col("sk").alias("b_sk"), F.col("ws").alias("bw"))
     shared = F.size(F.array_intersect("aw", "bw"))
     met = x.join(y, "b").where(shared >= F.lit(threshold) * (F.size("aw") + F.size("bw") - shared) - 1e-9)
     return met.select("a", "b", "past", "ao", "bo", "a_sk", "b_sk", (F.col("ao") < F.col("bo")).alias("first")).dropDuplicates(["a", "b", "past"])

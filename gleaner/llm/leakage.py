@@ -8,7 +8,9 @@ through it while the longest matching length is tracked. Its size follows the ev
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -164,6 +166,12 @@ def automata(items: DataFrame, item_col: str, passage_col: str, leak_words: int,
         yield Automaton(block, leak_words)
 
 
+def _in_original(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of the lower-cased text as spans of the text, of which some letters grow in lower case."""
+    ends = [0, *accumulate(len(c.lower()) for c in text)]
+    return [(bisect_right(ends, a) - 1, bisect_left(ends, b)) for a, b in spans]
+
+
 def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, leak_words: int = LEAK_WORDS, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id, spans ARRAY<STRUCT<start,end>>, words): one row for each document and each item that leaked into it.
 
@@ -187,6 +195,7 @@ def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_c
                     low = text.lower()
                     for item, spans in a.matches(low).items():
                         n = sum(len(_WORD.findall(low[x:y])) for x, y in spans)
+                        spans = spans if len(low) == len(text) else _in_original(text, spans)
                         rows.append((doc, item, [{"start": x, "end": y} for x, y in spans], n))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "spans", "words"])
 
@@ -199,8 +208,7 @@ def cleaned(docs: DataFrame, doc_col: str, text_col: str, found: DataFrame, max_
     """(doc_id, text, removed_chars, dropped): documents with their leaked spans cut out.
 
     A document of which more than ``max_share`` of the characters leaks is dropped whole: its text is null. Documents
-    without a leak stay as they are. Offsets hold for the text in lower case, which for nearly all texts is as long as
-    the text; where it isn't (a few letters grow), the document is dropped whole.
+    without a leak stay as they are.
     """
     spans = found.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("cut"))
     base = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -216,6 +224,5 @@ def cleaned(docs: DataFrame, doc_col: str, text_col: str, found: DataFrame, max_
     joined = base.join(spans, "doc_id", "left").withColumn("w", walk)
     kept = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat(F.col("w.kept"), F.substring("text", F.col("w.at") + 1, F.length("text"))))
     gone = F.length("text") - F.length(kept)
-    odd = F.length(F.lower("text")) != F.length("text")
-    drop = F.coalesce(F.col("cut").isNotNull() & (odd | (gone > F.length("text") * F.lit(max_share))), F.lit(False))
+    drop = F.coalesce(F.col("cut").isNotNull() & ((gone > F.length("text") * F.lit(max_share))), F.lit(False))
     return joined.select("doc_id", F.when(~drop, kept).alias("text"), gone.cast("int").alias("removed_chars"), drop.alias("dropped"))

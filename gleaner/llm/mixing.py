@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from gleaner.runtime import stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Sources a plan may name; the plan is held on the driver.
-MAX_PLAN = 10_000
+#: Sources a plan may name; a plan is held on the driver, about 200 bytes a source.
+MAX_PLAN = 1_000_000
 #: Documents that one task sums up in order.
 RUN_DOCS = 5_000
 _ENCODINGS: dict[str, object] = {}

@@ -92,9 +92,9 @@ def _mix(spark: SparkSession, sf_dir: str, total_share: float | None = None) ->
     if total_share is not None:
         total = int((counted.agg(F.sum("tokens")).first()[0] or 0) * total_share)
     # sources that are used again and again come in late, the others early
-    late = plan.select(mixing.source_key("source_name").alias("s"), "max_repeats").where("max_repeats > 1").limit(mixing.MAX_PLAN).collect()
+    late = plan.select(mixing.source_key("source_name").alias("s"), "max_repeats").where("max_repeats > 1").collect()
     schedules = {r["s"]: mixing.ramp(0.5, 1.5) for r in late}
-    early = [r["k"] for r in names.limit(mixing.MAX_PLAN).collect() if r["k"] is not None and r["k"] not in schedules]
+    early = [r["k"] for r in names.collect() if r["k"] is not None and r["k"] not in schedules]
     schedules |= {s: mixing.ramp(1.5, 0.5) for s in early}
     return mixing.mixture(counted, "doc_id", plan, total, schedules)
 
@@ -109,6 +109,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_budget_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture that is to be as long as all planned sources together, where small sources are repeated up to their cap."""
+    return _mix(spark, sf_dir, 1.0)[0]
+
+
 def p7_budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source really got when the mixture is to be as long as all planned sources together: small ones hit their cap."""
     return _mix(spark, sf_dir, 1.0)[1]
@@ -139,5 +144,5 @@ k as (select * from w where h in (select h from g))
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id
 """
 
-QUERIES = {**problems.QUERIES} | {f.__name__: f for f in (p1_found, p1_clean, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_budget_shares, p8_found, p8_parts)}
+QUERIES = {**problems.QUERIES} | {f.__name__: f for f in (p1_found, p1_clean, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_budget_mixture, p7_budget_shares, p8_found, p8_parts)}
 SQL = {**problem_sql.SQL, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

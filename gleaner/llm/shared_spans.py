@@ -5,7 +5,7 @@ Here a line begins at an anchor that the text itself defines: the positions whos
 some stretch of WINDOW positions. A line is the LINE = span - WINDOW + 1 characters after an anchor. Any passage of
 ``span`` characters holds a whole line, the same in every document, because its first WINDOW positions choose an anchor
 that depends on nothing outside the passage. Digests of lines are grouped over all documents; what they pair is
-verified on the texts, character by character.
+verified on the texts: every stretch that is reported has been compared as it stands.
 """
 
 from __future__ import annotations
@@ -96,11 +96,11 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_table(docs: DataFrame, doc_col: str, text_col: str, span: int = SPAN, window: int = WINDOW) -> DataFrame:
-    """(digest, tk, doc): the lines of each document that is at least ``span`` long; ``tk`` stands for its whole text."""
+    """(digest, doc): the lines of each document that is at least ``span`` long."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, ids, keys = list(pdf["text"]), pdf["doc"].to_numpy(), pdf["tk"].to_numpy()
+            texts, ids = list(pdf["text"]), pdf["doc"].to_numpy()
             start = 0
             while start < len(texts):
                 stop, size = start, 0
@@ -108,12 +108,12 @@ def line_table(docs: DataFrame, doc_col: str, text_col: str, span: int = SPAN, w
                     size += len(texts[stop])
                     stop += 1
                 which, _, digest = lines(*_points(texts[start:stop]), span, window)
-                out = pd.DataFrame({"digest": digest, "tk": keys[start:stop][which], "doc": ids[start:stop][which]})
+                out = pd.DataFrame({"digest": digest, "doc": ids[start:stop][which]})
                 yield out.drop_duplicates()
                 start = stop
 
-    base = docs.where(F.length(text_col) >= span).select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
-    return base.mapInPandas(scan, "digest long, tk long, doc long")
+    base = docs.where(F.length(text_col) >= span).select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return base.mapInPandas(scan, "digest long, doc long")
 
 
 def shared_stretches(a: str, b: str, span: int = SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -123,13 +123,20 @@ def shared_stretches(a: str, b: str, span: int = SPAN) -> tuple[list[tuple[int,
         return [], []
     ha = _digests(_mixed(pa), np.arange(len(pa) - span + 1), span)
     hb = _digests(_mixed(pb), np.arange(len(pb) - span + 1), span)
-    both = np.intersect1d(ha, hb)
-    if not len(both):
-        return [], []
-    at_b = np.flatnonzero(np.isin(hb, both))
-    if b[at_b[0] : at_b[0] + span] not in a:
-        return [], []
-    return _merged(np.flatnonzero(np.isin(ha, both)), span), _merged(at_b, span)
+    return _stretches(a, b, ha, hb, span), _stretches(b, a, hb, ha, span)
+
+
+def _stretches(a: str, b: str, ha: np.ndarray, hb: np.ndarray, span: int) -> list[tuple[int, int]]:
+    """The stretches of a whose digests occur in b; each run of both texts side by side is compared as it stands."""
+    order = np.argsort(hb, kind="stable")
+    at = np.minimum(np.searchsorted(hb[order], ha), len(hb) - 1)
+    i = np.flatnonzero(hb[order][at] == ha)
+    if not len(i):
+        return []
+    j = order[at[i]]
+    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
+    real = [x for x, y in zip(np.split(i, cut), np.split(j, cut)) if a[x[0] : x[-1] + span] == b[y[0] : y[-1] + span]]
+    return _merged(np.concatenate(real), span) if real else []
 
 
 def _merged(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -142,20 +149,21 @@ BROADCAST_IDS = 1_000_000
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def text_pairs(docs: DataFrame, doc_col: str, text_col: str, span: int = SPAN, window: int = WINDOW) -> DataFrame:
+def text_pairs(docs: DataFrame, doc_col: str, text_col: str, same: DataFrame, span: int = SPAN, window: int = WINDOW) -> DataFrame:
     """(a, b, a_spans, b_spans): documents with different texts that share ``span`` characters, and where they do.
 
-    Of documents with one and the same text only that with the smallest id takes part; ``copies`` has the others. Lines
-    that only one text has fall away before anything is paired, and large groups are paired in blocks.
+    Of documents with one and the same text only that with the smallest id takes part; ``same`` (from ``copies``) has the
+    others. Lines that only one text has fall away before anything is paired, and large groups are paired in blocks.
     """
-    table = stored(line_table(docs, doc_col, text_col, span, window), "lines")
-    several = repeated_only(table, "digest", "tk").groupBy("digest", "tk").agg(F.min("doc").alias("doc"))
-    several = stored(several.select("digest", "doc"), "repeated-lines")
+    others = same.where("rep < doc").select("doc")
+    once = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= span)
+    once = once.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc", "left_anti")
+    table = stored(line_table(once, "doc", "text", span, window), "lines")
+    several = stored(repeated_only(table, "digest", "doc").distinct(), "repeated-lines")
     cand = stored(block_pairs(several, "digest", "doc").distinct(), "span-candidates")
     ids = cand.select(F.col("a").alias("doc")).union(cand.select(F.col("b").alias("doc"))).distinct()
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.where(F.length(text_col) >= span).select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).dropDuplicates(["doc"])
-    texts = texts.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+    texts = once.join(F.broadcast(ids) if few else ids, "doc", "left_semi").dropDuplicates(["doc"])
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("at"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("bt"))
 
@@ -184,8 +192,8 @@ def sharing_documents(docs: DataFrame, doc_col: str, text_col: str, span: int =
     Null texts and texts shorter than ``span`` share nothing; documents with one id count once; an empty table gives no
     row.
     """
-    pairs = stored(text_pairs(docs, doc_col, text_col, span, window).select("a", "b"), "span-pairs")
     same = stored(copies(docs, doc_col, text_col, span), "text-copies")
+    pairs = stored(text_pairs(docs, doc_col, text_col, same, span, window).select("a", "b"), "span-pairs")
     wide = pairs.join(same.select(F.col("rep").alias("a"), F.col("doc").alias("da")), "a", "left").join(same.select(F.col("rep").alias("b"), F.col("doc").alias("db")), "b", "left")
     wide = wide.select(F.coalesce("da", "a").alias("x"), F.coalesce("db", "b").alias("y"))
     inner = block_pairs(same, "rep", "doc")
@@ -199,8 +207,8 @@ def shared_parts(docs: DataFrame, doc_col: str, text_col: str, span: int = SPAN,
     ``removed`` lists the (start, end) stretches, in offsets of the original text, that an earlier document (with a
     smaller id) holds already: the earliest occurrence stays. All documents get a row; null texts have no characters.
     """
-    pairs = stored(text_pairs(docs, doc_col, text_col, span, window), "span-stretches")
     same = stored(copies(docs, doc_col, text_col, span), "text-copies")
+    pairs = stored(text_pairs(docs, doc_col, text_col, same, span, window), "span-stretches")
     own = pairs.select(F.col("a").alias("rep"), F.explode("a_spans").alias("s"), F.lit(False).alias("later")).unionByName(pairs.select(F.col("b").alias("rep"), F.explode("b_spans").alias("s"), F.lit(True).alias("later")))
     own = own.groupBy("rep", "s").agg(F.max("later").alias("later"))
     spread = own.join(same, "rep", "left").select(F.coalesce("doc", "rep").alias("doc"), "s", "later").distinct()
