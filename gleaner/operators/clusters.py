@@ -10,6 +10,8 @@ SUPPORT_VALUE = {"strong": 1.0, "medium": 0.66, "weak": 0.33}
 #: Applicabilities that count as wide.
 WIDE = ("general", "workflow-general", "tool-use", "routing")
 
+#: Weights of the evidence score, and what each part is measured by.
+SCORE_WEIGHTS = {"support": 0.35, "repetition": 0.20, "duration": 0.15, "freshness": 0.10, "sources": 0.10, "width": 0.10, "contradictions": -0.20, "singleness": -0.10}
 #: The fields in which the findings of a cluster are equal.
 CLUSTER_KEYS = ["kind", "topic", "statement", "recommendation_strength", "applicability"]
 
@@ -37,8 +39,8 @@ def cluster(packets: DataFrame) -> DataFrame:
 
     Counts, best support, first and last time, whole days between audits, contradictions, the hash of the first packet, and
     the evidence score: 100 times a weighted sum of support, repetition, duration, freshness, sources and width, less
-    contradictions and singleness. Repeated packet ids count once. Aggregates are combined before the shuffle; ``samples``
-    has the submission ids and the number of evidence links.
+    contradictions and singleness. Repeated packet ids count once. Aggregates are combined before the shuffle. Submission
+    ids and evidence links are not here but in the function ``samples``.
     """
     keys = CLUSTER_KEYS
     days = lambda c: F.floor((F.unix_timestamp(F.max(c)) - F.unix_timestamp(F.min(c))) / 86400)
@@ -61,10 +63,11 @@ def cluster(packets: DataFrame) -> DataFrame:
     n = F.col("submissions")
     width = F.when(F.col("applicability").isin(*WIDE), 1.0).otherwise(0.7)
     bounded = lambda c: F.least(F.lit(1.0), c)
-    score = 100 * (
-        0.35 * F.col("support") + 0.20 * bounded(n / 5) + 0.15 * bounded(F.coalesce("durability_days", F.lit(0)) / 30) + 0.10 * F.when(F.coalesce("spread_days", F.lit(0)) <= 30, 1.0).otherwise(0.5)
-        + 0.10 * bounded(F.col("refs") / (n * 4)) + 0.10 * width - 0.20 * bounded(F.col("contradictions") / (n * 2)) - 0.10 * F.when(n == 1, 0.5).otherwise(0.0)
-    )
+    parts = {
+        "support": F.col("support"), "repetition": bounded(n / 5), "duration": bounded(F.coalesce("durability_days", F.lit(0)) / 30), "freshness": F.when(F.coalesce("spread_days", F.lit(0)) <= 30, 1.0).otherwise(0.5),
+        "sources": bounded(F.col("refs") / (n * 4)), "width": width, "contradictions": bounded(F.col("contradictions") / (n * 2)), "singleness": F.when(n == 1, 0.5).otherwise(0.0),
+    }
+    score = 100 * sum((weight * parts[k] for k, weight in SCORE_WEIGHTS.items()), F.lit(0.0))
     label = F.lit("none")
     for name, x in reversed(SUPPORT_VALUE.items()):
         label = F.when(F.col("support") == x, name).otherwise(label)

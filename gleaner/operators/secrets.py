@@ -50,9 +50,29 @@ def is_sensitive_path(path: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+#: Endings and parts of staged paths that are warned of.
+STAGED_SUFFIXES = (".env", ".pem", ".key", ".p12", ".pfx", ".log")
+STAGED_PARTS = ("id_rsa", "id_ed25519", "credentials", ".npmrc", ".netrc")
+
+
+def is_staged_sensitive(path: Column) -> Column:
+    """Whether a staged path is warned of, case aside; a null path isn't."""
+    p = F.lower(path)
+    hit = F.lit(False)
+    for s in STAGED_SUFFIXES:
+        hit = hit | p.endswith(s)
+    for s in STAGED_PARTS:
+        hit = hit | F.contains(p, F.lit(s))
+    return F.coalesce(hit, F.lit(False))
+
+
 def has_secret(line: Column) -> Column:
-    """Whether any pattern occurs; a null line has none. One alternation, so that each line is scanned once."""
-    return F.coalesce(line.rlike("(?i)(?:" + "|".join(PATTERNS) + ")"), F.lit(False))
+    """Whether any pattern occurs; a null line has none. One alternation, so that each line is scanned once.
+
+    What a pattern may begin with, but need not, does not change whether it occurs, and would be tried at every position.
+    """
+    lead = "[a-zA-Z0-9_-]*"
+    return F.coalesce(line.rlike("(?i)(?:" + "|".join(p.removeprefix(lead) for p in PATTERNS) + ")"), F.lit(False))
 
 
 def text_lines(files: DataFrame, path: str, text: str) -> DataFrame:

@@ -47,12 +47,20 @@ def d14_hunks(spark, sf_dir):
     return intervals.overlapping(hunks, ranges, "l_orderkey", ("new_start", "new_end"), ("a", "b")).select("l_orderkey", "l_linenumber", "new_start", "new_end")
 
 
+#: A settings file for every customer, with a line of one of the kinds that are secrets, or of two that are not; in SQL that both engines read.
+_SETTINGS = """concat('# settings of ', c_name, chr(10), case c_custkey % 18
+  when 0 then concat('aws = AKIA', lpad(cast(c_custkey as varchar(20)), 16, 'Z')) when 1 then concat('my-api_key-x: ', c_custkey) when 2 then concat('token ghp_', repeat('a1', 18)) when 3 then concat('github_pat_', repeat('b', 22), '_', repeat('c', 59))
+  when 4 then concat('xoxb-1234567890-', '12345678901', c_custkey) when 5 then concat('sk-', repeat('d', 48)) when 6 then concat('sk-proj-', repeat('e', 80)) when 7 then 'DB_PASSWORD=hunter' when 8 then 'client_secret : q' when 9 then 'private-key = r'
+  when 10 then 'url postgres://u:p@h' when 11 then 'mongodb+srv://u:p@h' when 12 then 'AZURE_STORAGE_KEY' when 13 then 'AWS_SECRET_ACCESS' when 14 then '-----BEGIN RSA PRIVATE KEY-----' when 15 then 'Authorization: Basic abc' when 16 then 'passwordless login' else 'keyboard' end, chr(10))"""
+
+
 def d12_secrets(spark, sf_dir):
-    """Lines with a secret in all notes, documents and packet files."""
+    """Lines with a secret in all notes, documents and packet files, and in a settings file for every customer."""
+    made = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit("/settings")).alias("path"), F.expr(_SETTINGS).alias("text"))
     notes = table(spark, sf_dir, "notes").select("path", "text")
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), "text")
     files = table(spark, sf_dir, "packet_files").select(F.col("file_path").alias("path"), F.col("payload").alias("text"))
-    return secrets.scan(notes.unionByName(docs).unionByName(files), "path", "text")
+    return secrets.scan(notes.unionByName(docs).unionByName(files).unionByName(made), "path", "text")
 
 
 def d12_sensitive_paths(spark, sf_dir):
@@ -86,7 +94,11 @@ def _rank_sql(rounds: int = 40) -> str:
     return "".join(parts) + f" select node, round(rank, 8) as rank from r{rounds}"
 
 
-_PATTERN = "(?i)(?:" + "|".join(secrets.PATTERNS) + ")"
+_PATTERN = (
+    r"(?i)AKIA[0-9A-Z]{16}|[\w-]*api[_-]?key[\w-]*\s*[:=]|[\w-]*apikey[\w-]*\s*[:=]|gh[pous]_[a-zA-Z0-9]{36}|github_pat_[a-zA-Z0-9]{22}_[a-zA-Z0-9]{59}|xox[baprs]-[0-9]{10,13}-[0-9]{10,13}[a-zA-Z0-9-]*"
+    r"|sk-[a-zA-Z0-9]{48}|sk-proj-[\w-]{80,}|[\w-]*password[\w-]*\s*[:=]|[\w-]*secret[\w-]*\s*[:=]|[\w-]*private[_-]?key[\w-]*\s*[:=]|(postgres|mysql|redis|mongodb|mongodb\+srv)://[^:]+:[^@]+@"
+    r"|AZURE[_-]?[A-Z_]*[_-]?(KEY|SECRET|TOKEN|PASSWORD)|[\w-]*AWS[_-]?SECRET[\w-]*|-----BEGIN (RSA |DSA |EC |OPENSSH |PGP )?PRIVATE KEY-----|-----BEGIN CERTIFICATE-----|bearer\s+[\w\-.]+|authorization:\s*(bearer|basic)\s+[\w\-.]+"
+)
 SQL = {
     "d5_edges": _G + " select src, dst, weight, round(scaled, 6) as scaled, via from edges",
     "d5_pagerank": _rank_sql(),
@@ -94,11 +106,12 @@ SQL = {
       select node, row_number() over (partition by node order by weight desc, other) as rank, other, dir, weight, via from b""",
     "d14_hunks": """with h as (select l_orderkey, l_linenumber, l_linenumber * 20 as new_start, greatest(l_linenumber * 20, l_linenumber * 20 + l_quantity::int - 1) as new_end from lineitem)
       select h.* from h where exists (select 1 from orders o where o.o_orderkey = h.l_orderkey and h.new_start <= o.o_custkey % 100 + 10 and o.o_custkey % 100 <= h.new_end)""",
-    "d12_secrets": f"""with f as (select path, text from notes union all select 'd' || doc_id, text from documents union all select file_path, payload from packet_files),
+    "d12_secrets": f"""with f as (select path, text from notes union all select 'd' || doc_id, text from documents union all select file_path, payload from packet_files union all select 'c' || c_custkey || '/settings', {_SETTINGS} from customer),
       l as (select path, unnest(string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n')) line, generate_subscripts(string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n'), 1) line_no from f where text is not null and text <> '' and strlen(text) <= 2000000)
       select distinct path, line_no::int as line_no, trim(line) as line from l where regexp_matches(line, '{_PATTERN}')""",
     "d12_sensitive_paths": f"""with p as (select path from notes where path is not null union select file_path from packet_files), q as (select path from p union select regexp_replace(path, '\\.md$', '.log') from p),
       b as (select path, regexp_extract(path, '[^/]*$') base from q)
-      select path, base in ({", ".join(f"'{n}'" for n in secrets.NAMES)}) or base like '.env%' or {" or ".join(f"base like '%{s}'" for s in secrets.SUFFIXES)} as sensitive from b""",
+      select path, base in ('.npmrc', '.pypirc', '.netrc', '.htpasswd', 'credentials', 'secrets.json', 'secrets.yml', 'secrets.yaml', 'config.json', 'config.yml', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519')
+        or regexp_matches(base, '^\\.env|\\.(pem|key|p12|pfx|jks|log)$') as sensitive from b""",
 }
 QUERIES = {f.__name__: f for f in (d5_edges, d5_pagerank, d6_neighbours, d14_hunks, d12_secrets, d12_sensitive_paths)}

@@ -50,8 +50,8 @@ def d2_related(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    """The first eight words of every evaluation passage."""
-    return table(spark, sf_dir, "eval_items").select("item_id", F.array_join(F.slice(F.split("passage", " "), 1, 8), " ").alias("words"))
+    """Every evaluation passage, whole."""
+    return table(spark, sf_dir, "eval_items").select("item_id", F.col("passage").alias("words"))
 
 
 def d3_search(spark, sf_dir):
@@ -104,7 +104,7 @@ def _vectors(source: str, p: str = "") -> str:
 
 _IDX = "with " + _NOTES + "," + _vectors("titled")
 _DOCS = "with docs1 as (select doc_id doc, text txt from documents)," + _vectors("docs1")
-_ASK = "ask0 as (select item_id, array_to_string(string_split(passage, ' ')[1:8], ' ') words from (select item_id, any_value(passage) passage from eval_items group by 1))"
+_ASK = "ask0 as (select item_id, any_value(passage) words from eval_items group by 1)"
 
 SQL = {
     "d1_term_frequencies": _IDX + "select doc, term, n, round(tf, 6) tf from tf",
@@ -128,6 +128,12 @@ SQL = {
              from cand c join titled t on t.doc = c.doc),
       r as (select *, row_number() over (partition by item_id order by round(s, 9) desc, pr, doc) rank, count(*) over (partition by item_id) total from sc where round(s, 9) > 0)
       select item_id as query, rank, doc, case when pr = 0 then 'local' else 'community' end as source, floor(round(s, 9) * 1000 + 0.5) / 1000 as score, total from r where rank <= 5""",
+    "d4_snippets": r"""with n as (select filename, trim(regexp_replace(coalesce(any_value(text), ''), '\s+', ' ', 'g')) t from notes group by 1),
+      h as (select filename, t, least(nullif(instr(lower(t), 'retries'), 0), nullif(instr(lower(t), 'pipeline'), 0), nullif(instr(lower(t), 'bounds'), 0)) - 1 p from n),
+      k as (select *, greatest(p - 80, 0) a, least(p + 180, length(t)) b, t[1:220] head from h),
+      c as (select *, length(head) - coalesce(nullif(instr(reverse(head), ' .'), 0), 1000000) - 1 cut from k)
+      select filename, case when t = '' then 'No extractable text.' when p is null then case when length(t) <= 220 then t when cut >= 0 and strlen(head[1:cut]) > 132 then trim(head[1:cut]) || '...' else trim(head) || '...' end
+        else case when a > 0 then '...' else '' end || trim(t[a + 1:b]) || case when b < length(t) then '...' else '' end end as snippet from c""",
     "d4_keyword": "with " + _NOTES + "," + _ASK + r""",
       ask as (select item_id, unnest(list_filter(string_split_regex(lower(words), '[^a-z0-9_.\-]+'), lambda t: length(t) >= 2)) q from ask0),
       low as (select doc, lower(coalesce(path, '')) p, lower(title) t, lower(coalesce(txt, '')) b from titled),

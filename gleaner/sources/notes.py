@@ -67,3 +67,23 @@ def lenient(files: DataFrame) -> DataFrame:
 def index_json(files: DataFrame) -> DataFrame:
     """One JSON text per file entry."""
     return files.select(F.to_json(F.struct(*files.columns)).alias("value"))
+
+
+def edited(notes: DataFrame, name: str, heading: str | None, content: str, key: str = "filename") -> DataFrame:
+    """The notes with one of them changed: the section under ``heading`` replaced, or the content appended; a missing note fails.
+
+    Only the changed note goes through Python, as one row.
+    """
+    mine = notes.where(F.col(key) == name)
+    row = mine.first()
+    if row is None:
+        raise ValueError(f"no such note: {name}")
+    text = append(row["text"], content) if heading is None else replace_section(row["text"] or "", heading, content)
+    return notes.where(F.col(key) != name).unionByName(mine.withColumn("text", F.lit(text)))
+
+
+def rebuilt(notes: DataFrame, key: str = "filename") -> text_index.Index:
+    """The index of notes as they are after a change."""
+    from gleaner.functions.text import markdown_title
+
+    return text_index.build_index(notes.withColumn("title", markdown_title("text", key)), key, "text", "title")

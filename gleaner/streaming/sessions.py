@@ -9,19 +9,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gleaner.runtime import stored
+
 OUT = "key long, started timestamp, ended timestamp, events long, total double"
+#: Gaps that make up a slice of time.
+SLICE_GAPS = 16
 _STATE = "started timestamp, ended timestamp, events long, total double"
 
 
 def sessions(events: DataFrame, key: str, at: str, value: str, event_id: str, gap_seconds: int = 120) -> DataFrame:
     """(key, started, ended, events, total): runs of events of one key without a gap longer than ``gap_seconds``.
 
-    Repeated event ids count once; events without key or time are left out, null values add nothing.
+    Repeated event ids count once; events without key or time are left out, null values add nothing. The events of a key
+    are cut into slices of time that are numbered apart, and only one row a slice is brought together by key, so a key that
+    holds a large part of all events is not one task's work.
     """
     e = events.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.coalesce(F.col(value), F.lit(0.0)).alias("value"), F.col(event_id).alias("id")).where("key is not null and at is not null").dropDuplicates(["id"])
-    w = Window.partitionBy("key").orderBy("at", "id")
-    late = F.unix_micros("at") - F.unix_micros(F.lag("at").over(w)) > gap_seconds * 1_000_000
-    numbered = e.withColumn("new", F.coalesce(late, F.lit(True)).cast("int")).withColumn("session", F.sum("new").over(w))
+    gap = gap_seconds * 1_000_000
+    e = stored(e.withColumn("t", F.unix_micros("at")).withColumn("slice", F.floor(F.col("t") / (SLICE_GAPS * gap))), "session-events")
+    w = Window.partitionBy("key", "slice").orderBy("t", "id")
+    inside = e.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(0))).withColumn("local", F.sum("new").over(w))
+    edges = inside.groupBy("key", "slice").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.sum("new").alias("news"))
+    by = Window.partitionBy("key").orderBy("slice")
+    opens = F.coalesce((F.col("first") - F.lag("last").over(by) > gap).cast("int"), F.lit(1))
+    edges = edges.withColumn("opens", opens).withColumn("base", F.sum(F.col("opens") + F.col("news")).over(by) - F.col("news"))
+    numbered = inside.join(edges.select("key", "slice", "base"), ["key", "slice"]).withColumn("session", F.col("base") + F.col("local"))
     return numbered.groupBy("key", "session").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")).drop("session")
 
 

@@ -1,14 +1,15 @@
 """Text functions, index, search, graph, intervals, secrets, lint, diagnostics, clusters and sessions."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import clusters, diagnostics, graph, intervals, lint, secrets, site, text_index
-from gleaner.streaming import sessions
+from gleaner.operators import clusters, diagnostics, graph, intervals, lint, matching, rollups, secrets, setup, site, symbols, text_index
+from gleaner.streaming import chats, sessions
 
 
 def one(spark, column):
@@ -118,15 +119,227 @@ def test_secrets(spark):
     assert [tuple(r) for r in secrets.scan(files, "path", "text").collect()] == [("f", 2, "api_key = 2")]
 
 
-def test_lint(spark):
-    code = "\n".join(["x = 1"] * 5 + [""] + ["// note"] + ["y"] * 6 + ["", "try:", "  f()", "except OSError:", "    pass", "catch (e) { }", "_ = err"])
-    lines = secrets.text_lines(spark.createDataFrame([("f", code)], "path string, text string"), "path", "text")
-    assert [tuple(r) for r in lint.islands(lines, least=5).orderBy("start").collect()] == [("f", 1, 5), ("f", 15, 6)]
-    assert [(r["line_no"], r["rule"]) for r in lint.swallowed(lines).orderBy("line_no").collect()] == [(17, "except-pass"), (19, "empty-catch"), (20, "ignored-error")]
-    py = spark.createDataFrame([("p", "def f(a):\n    if a:\n        return 1\n\n    while a: pass\nx = 1\ndef g(): pass"), ("q", None)], "path string, text string")
-    assert [(r["name"], r["span"], r["decisions"]) for r in lint.function_spans(py, "path", "text", "python").collect()] == [("f", 5, 2), ("g", 1, 0)]
-    rs = spark.createDataFrame([("r", "pub fn a() {\n  if x && y {\n  }\n}\nfn b(x: u8);")], "path string, text string")
-    assert [(r["name"], r["span"], r["decisions"]) for r in lint.function_spans(rs, "path", "text", "rust").collect()] == [("a", 4, 2), ("b", 1, 0)]
+def brute_span(lines, at, python):
+    """The span of the function on line ``at``, character by character."""
+    if python:
+        def depth(x):
+            return len(x) - len(x.lstrip(" \t"))
+
+        last = at
+        for k in range(at + 1, len(lines)):
+            if lines[k].strip() and depth(lines[k]) <= depth(lines[at]):
+                break
+            last = k if lines[k].strip() else last
+        return last - at + 1
+    for stop in range(at, len(lines)):
+        body = "".join(lines[at : stop + 1])
+        if "{" in body and body.count("{") <= body.count("}"):
+            return stop - at + 1
+    return 1
+
+
+def random_source(r, python):
+    lines = []
+    for k in range(r.randrange(5, 40)):
+        pad = r.choice(["", "  ", "    ", "\t"])
+        if r.random() < 0.3:
+            lines.append(f"{pad}def f{k}(a):" if python else r.choice(["fn f{}(a) {{", "pub fn f{}()", "fn f{}(x) {{ if a && b {{ c() }} }}", "pub fn f{}() {{}}"]).format(k))
+        else:
+            lines.append(pad + r.choice(["", "x", "if x:", "while y: pass || z"] if python else ["", "}", "{", "x }", "} {", "if a {", "}}", "case b && c", "for {"]))
+    return "\n".join(lines)
+
+
+def test_function_spans_match_brute_force(spark):
+    r = random.Random(5)
+    files = [(f"f{k}.{'py' if k % 2 else 'rs'}", random_source(r, k % 2)) for k in range(60)] + [("g.rs", None), ("h.rs", ""), ("i.d.ts", "function a() {}"), ("j.txt", "fn a() {}")]
+    df = spark.createDataFrame(files, "path string, text string").withColumn("line", F.lit("clash"))
+    got = {(x["path"], x["line_no"]): (x["name"], x["span"], x["decisions"]) for x in lint.functions(lint.source_lines(df, "path", "text")).collect()}
+    want = {}
+    for path, text in files[:60]:
+        lines = text.split("\n")
+        while lines and lines[-1] == "":
+            lines.pop()
+        python = path.endswith("py")
+        for k, line in enumerate(lines):
+            m = re.match(r"\s*def (\w+)\(" if python else r"\s*(?:pub )?fn (\w+)\(", line)
+            if m:
+                n = brute_span(lines, k, python)
+                said = sum(sum(x.lstrip().startswith(d) for d in lint.DECISIONS) + x.count("&&") + x.count("||") for x in lines[k : k + n])
+                want[(path, k + 1)] = (m.group(1), n, said)
+    assert got == want
+
+
+def test_lint_rules(spark):
+    long = "export function big() {\n" + "  a && b;\n" * 210 + "}\n"
+    files = [
+        ("a.js", "try { x() } catch (e) { }\n_ = err\nexcept A:\npass"), ("b.go", "_ = err\ncatch (e) {}"), ("c.py", "try:\n  f()\nexcept OSError:\n    pass\ncatch (e) {}"),
+        ("d.js", long), ("e.tsx", long), ("f.js", "// quality:allow-long-function quality:allow-large-block\n" + long), ("g.py", "x = 1\n" * 701), ("h/test/i.py", "x = 1\n" * 701),
+        ("k.rs", "// said\npub fn a() {}\n/* x */\npub fn b() {}\n# no\npub fn c() {}\nfn d() {}"), ("l.py", "# said\ndef a(): pass\n\ndef b(): pass\n\ndef _c(): pass"),
+    ]
+    df = spark.createDataFrame(files + [("m.js", None), files[0]], "path string, text string")
+    rows = lint.issues(df, "path", "text")
+    got = {(r["file"], r["category"], r["line"]) for r in rows.collect()}
+    assert {x for x in got if x[1] == "cs-principle"} == {("a.js", "cs-principle", 1), ("b.go", "cs-principle", 1), ("c.py", "cs-principle", 3), ("d.js", "cs-principle", 1)}
+    assert {x[0] for x in got if x[1] == "maintainability"} == {"g.py"}
+    assert {x[0] for x in got if x[1] == "large-block-without-comment"} == {"d.js", "e.tsx", "g.py", "h/test/i.py"}
+    said = {r["file"]: r["message"] for r in rows.where("category = 'documentation-gap'").collect()}
+    assert said["k.rs"].endswith(": c") and said["l.py"].endswith(": b") and said["d.js"].startswith("1 public")
+    page = lint.report(rows, 3).collect()
+    assert [r["severity"] for r in page] == ["high", "high", "medium"] and lint.severity_counts(rows).first()["high"] == 2
+    assert lint.issues(df.limit(0), "path", "text").count() == 0
+
+
+def test_signals(spark):
+    rows = [("p", "src/A.java", "package a.b;\npublic class AModel {\n  public int f(int a) { return 1; }\n}\n// TODO\n// return x;"), ("p", "src/test/ATest.java", "import org.junit.Test; assertEquals(1, 2);"), ("p", "README.md", "It is O(n) fast."), ("p", "x/Makefile", "all:"), ("q", "a.txt", None)]
+    got = {r["project"]: r for r in lint.signals(spark.createDataFrame(rows + [rows[0]], "project string, path string, text string"), "project", "path", "text").collect()}
+    p = got["p"]
+    assert (p["src_files"], p["test_files"], p["public_decls"], p["assertion_count"], p["big_o_mentions"], p["has_model"], p["mvc_score"], p["junit_usage"], p["build_files"], p["todo_markers"], p["commented_code"]) == (1, 1, 2, 1, 1, True, 1, True, ["x/Makefile"], 1, 1)
+    assert (got["q"]["src_files"], got["q"]["class_count"], got["q"]["test_ratio"]) == (0, 1, 0.0)
+
+
+MINI = [
+    ("src/core.rs", "pub fn engine() {}\npub struct Motor;\n"), ("src/main.rs", "fn main() { engine(); helper_sh(); }\n"), ("src/other.rs", "fn other() {\n  engine();\n}\n"),
+    ("run.sh", "start_it() {\n  echo\n}\n"), ("README.md", "# Mini\n\n## Use\n"),
+]
+
+
+def test_symbols_of_a_mini_project(spark, tmp_path):
+    df = spark.createDataFrame([*MINI, ("empty.rs", None)], "path string, text string")
+    index = symbols.index_project(df, "path", "text")
+    assert {(r["file"], r["name"], r["kind"]) for r in index.defs.collect()} == {("src/core.rs", "engine", "function"), ("src/core.rs", "Motor", "class"), ("src/main.rs", "main", "function"), ("src/other.rs", "other", "function"), ("run.sh", "start_it", "function")}
+    assert {(r["src"], r["dst"]) for r in index.edges.collect()} == {("src/main.rs", "src/core.rs"), ("src/other.rs", "src/core.rs")}
+    assert symbols.ranked(index, 1).first()["file"] == "src/core.rs"
+    assert [r["heading"] for r in index.headings.orderBy("line").collect()] == ["Mini", "Use"]
+    assert [r["file"] for r in symbols.lookup(index, "ENGINE").collect()] == ["src/core.rs"]
+    assert "n0[" in symbols.mermaid(index).first()["value"] and symbols.project_map(index).count() == 6
+    doc = {r["file"]: r["doc"] for r in symbols.node_docs(index).collect()}["src/core.rs"]
+    assert "- `engine` (function) — L1" in doc and "### Referenced by\n\n- [[src/main.rs]] via `engine`" in doc
+    symbols.write_index(index, str(tmp_path / "index"))
+    back = symbols.read_index(spark, str(tmp_path / "index"))
+    again = symbols.unbundled(symbols.bundle(index))
+    for name in ("files", "defs", "headings", "edges"):
+        rows = Counter(map(str, sorted(map(tuple, getattr(index, name).select(sorted(getattr(index, name).columns)).collect()), key=str)))
+        for other in (back, again):
+            assert Counter(map(str, sorted(map(tuple, getattr(other, name).select(sorted(getattr(index, name).columns)).collect()), key=str))) == rows
+    js = spark.createDataFrame([("a.js", "export function alpha() {}\nclass Beta {}\nalpha();\nif (x) {}\n")], "path string, text string")
+    lines = symbols.text_lines(js, "path", "text")
+    assert {r["name"] for r in symbols.definitions(lines).collect()} == {"alpha", "Beta"} and [r["name"] for r in symbols.references(lines).collect()] == ["alpha"]
+
+
+def test_mutual_edges_are_one_neighbour(spark):
+    e = spark.createDataFrame([("a", "b", 2, ["x"]), ("b", "a", 3, ["y", "x"]), ("c", "a", 1, ["z"])], "src string, dst string, weight long, via array<string>")
+    got = [tuple(r) for r in graph.neighbours(e, spark.createDataFrame([("a",)], "node string")).orderBy("rank").collect()]
+    assert got == [("a", 1, "b", "out", 5, ["x", "y"]), ("a", 2, "c", "in", 1, ["z"])]
+
+
+def test_word_hits_match_brute_force(spark):
+    r = random.Random(2)
+    texts = [(k, "".join(r.choices("ab ", k=30)), r.choice([None, "aab", ""])) for k in range(40)]
+    words = ["a", "aa", "ab", "aba", "b a", "zz", "", None]
+    w = spark.createDataFrame([(x,) for x in words], "w string")
+    df = spark.createDataFrame(texts, "k long, t string, u string")
+    for block in (100, 2):
+        got = {(x["k"], x["word"]): tuple(x["n"]) for x in matching.word_hits(df, ["k"], ["t", "u"], w, "w", block).collect()}
+        assert got == {(k, x): (t.count(x), (u or "").count(x)) for k, t, u in texts for x in words if x and (x in t or x in (u or ""))}
+    assert matching.word_hits(df, ["k"], ["t"], w.limit(0), "w").count() == 0
+
+
+def test_long_intervals_enter_few_buckets(spark):
+    a = spark.createDataFrame([("f", 0, 2**40, 1), ("f", 5, 5, 2), ("f", 2**41, 2**41 + 3, 3)], "file string, a long, b long, k int")
+    b = spark.createDataFrame([("f", 7, 9), ("f", 2**39, 2**39), ("f", 2**41 - 5, 2**41)], "file string, a long, b long")
+    assert {r["k"] for r in intervals.overlapping(a, b, "file", ("a", "b"), ("a", "b")).collect()} == {1, 3}
+
+
+def test_sessions_across_slices(spark):
+    rows = [(k, 1_000_000 + k * 50, 1, 1.0) for k in range(200)] + [(500, 1_100_000, 1, 1.0), (501, 1_100_121, 1, 1.0), (502, None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "value")
+    assert sorted(r["events"] for r in sessions.sessions(df, "user_id", "ts", "value", "event_id").collect()) == [1, 1, 200]
+
+
+def test_text_labels(spark):
+    assert one(spark, T.title_case(F.lit("genai"))) == "GenAI" and one(spark, T.title_case(F.lit("big_data-x"))) == "Big Data X" and one(spark, T.title_case(F.lit(None).cast("string"))) == ""
+    assert one(spark, T.category(F.lit("k/sre-notes.md"))) == "SRE" and one(spark, T.pill_label(F.lit("RBAC"))) == "RBAC" and one(spark, T.pill_label(F.lit("two-part tag"))) == "Two-Part Tag"
+    assert one(spark, T.valid_tags(F.array(*map(F.lit, ("a", "", "a/b", "2024-01-02x", "y" * 41))))) == ["a"]
+    assert one(spark, T.highlighted(F.lit("A <b> dog & cats"), F.array(F.lit("dog"), F.lit("cat")))) == "A &lt;b&gt; <mark>dog</mark> &amp; cats"
+    assert one(spark, T.result_path(F.lit("a/b.md · old"), F.lit("t"), F.lit("Atlas"))) == "Atlas · b.md"
+    assert one(spark, T.first_prose_line(F.lit("# T\n![x](y)\n<p>\nshort\n> A line of prose here"))) == "A line of prose here"
+    f = one(spark, T.frontmatter(F.lit("---\nname: 'x y'\ndescription: d\nuser-invocable: false\n---\nbody"), F.lit("a.agent.md")))
+    assert (f["name"], f["description"], f["user_invocable"]) == ("x y", "d", False) and one(spark, T.frontmatter(F.lit("none"), F.lit("a"))) is None
+    assert one(spark, F.to_json(T.recovered_json(F.lit('<think>{</think>```json\n{"a": 1}\n```')))) == '{"a":1}' and one(spark, F.to_json(T.recovered_json(F.lit('so {"a": 2} it is')))) == '{"a":2}'
+    assert one(spark, T.recovered_json(F.lit("no"))) is None and one(spark, T.guessed_language(F.lit("a.B.PY"))) == "python" and one(spark, T.extension_of(F.lit("c#"))) == ".cs"
+    assert [one(spark, T.elapsed_label(F.lit(x))) for x in (7, 120, 187)] == ["7s", "2 min", "3 min 7s"] and [one(spark, T.ago_label(F.lit(x))) for x in (7, 120, 7300)] == ["just now", "2 min ago", "2 hr ago"]
+    assert one(spark, T.to_fixed_text(F.lit(0.15), F.lit(1))) == "0.1" and one(spark, T.file_stem(F.lit("a/b.c.md"))) == "b.c"
+    long = "Intro word. " * 30
+    assert one(spark, T.browser_snippet(F.lit("# My Title — " + long + "needle here. And more."), F.lit("My Title"), F.lit(""), F.array(F.lit("needle")))).startswith("…")
+    assert one(spark, T.browser_snippet(F.lit("word " * 50), F.lit("x"), F.lit("A preview."), F.array(F.lit("zz")))) == "A preview."
+    assert one(spark, T.browser_snippet(F.lit("Sort is O(n log n). Heap is O(n). Done."), F.lit("x"), F.lit(None).cast("string"), F.array(F.lit("zz")))) == "Sort is O(n log n)."
+
+
+def test_setup_report(spark):
+    rows = [("a", "Cargo.toml", ""), ("a", "Makefile", ""), ("a", "src/main.rs", ""), ("a", "README.md", "# T\n\nIt does a thing well."), ("b", "Makefile", ""), ("c", "package.json", '{"description": " Said ", "scripts": {"test": "x"}}'), ("c", "package.json", None), ("d", "x.txt", None)]
+    got = {r["project"]: r for r in setup.report(spark.createDataFrame(rows, "project string, path string, text string")).collect()}
+    assert got["a"]["stacks"] == ["Rust | Cargo.toml | cargo build --release | cargo test | cargo clippy && cargo fmt --check"] and got["a"]["purpose"] == "It does a thing well." and got["a"]["entry_points"] == ["src/main.rs"]
+    assert got["b"]["stacks"] == ["Make | Makefile | make | make test"] and got["c"]["purpose"] == "Said" and got["c"]["stacks"] == ["Node.js | package.json | npm run test"]
+    assert len(got["d"]["gaps"]) == 7 and len(got["b"]["gaps"]) == 8 and len(got["a"]["questions"]) == 3 and len(got["d"]["questions"]) == 5
+
+
+def test_rollups(spark):
+    m = spark.createDataFrame([("Zed", ["chat"], False), ("alpha", ["chat", "x"], None), ("main", ["chat"], True), ("embed", ["x"], True), (None, None, None)], "n string, c array<string>, d boolean")
+    assert [r["n"] for r in rollups.model_catalogue(m, "n", "c", "d").collect()] == ["main", "alpha", "Zed"]
+    old = spark.createDataFrame([("1", None, "ODD", None, ["a"], ["b", ""], " s ")], "id string, title string, scope string, path string, tags array<string>, tokens array<string>, summary string")
+    r = rollups.adapted_corpus(old).first()
+    assert (r["title"], r["scope_key"], r["keywords"], r["search_text"]) == ("Untitled note", "knowledge", ["a", "b"], "Untitled note s a b")
+    items = spark.createDataFrame([("old", 1), ("live", 2), ("old", 3), ("old", 4), ("none", 9)], "s string, t int")
+    assert [r["t"] for r in rollups.ranked_sections(items, "s", ["live", "old"], [F.desc("t")], {"old": 2}).collect()] == [2, 4, 3]
+    assert one(spark, rollups.coalesced_settings(F.lit(None).cast("string"), F.lit(" "), F.lit("x"), F.lit("y"))) == "x"
+
+
+def edits_of(seed):
+    r, rows = random.Random(seed), []
+    for k in range(60):
+        i = r.randrange(5)
+        rows.append(r.choice([
+            (2, ["requests"], f'[{{"message":{{"text":"Ask {k}"}}}}]', i), (1, ["requests", str(i), "modelState"], f'{{"value":{r.randrange(3)}}}', None), (1, ["customTitle"], f'"T{k}"', None), (0, [], "{broken", None),
+            (1, ["requests", str(i), "response"], f'{{"invocationMessage":"Run {k}"}}', None), (2, ["requests", str(i), "response"], f'[{{"kind":"progressMessage","content":"Step {k}"}}]', None),
+        ]))
+    return rows
+
+
+def test_chat_states_agree_with_the_fold(spark):
+    rows, want = [], {}
+    for s in range(12):
+        state = {}
+        for k, (kind, path, v, offset) in enumerate(edits_of(s)[: 5 * s]):
+            rows.append((f"s{s}", k, kind, path, v, offset))
+            state = chats.folded(state, kind, path, v, offset)
+        if state:
+            want[f"s{s}"] = (state.get("last", -1), state.get("last", -1) >= 0 and state.get("done", -1) < state["last"], state.get("title") or state.get("prompt") or chats.NO_TITLE, state.get("call") or state.get("progress"), state["edits"])
+    df = spark.createDataFrame(rows + rows[:3], "session string, line long, kind int, k array<string>, v string, offset int").withColumn("at", F.timestamp_seconds(F.col("line") + 1_900_000_000))
+    got = {r["session"]: tuple(r[c] for c in ("last_request", "active", "title", "preview", "edits")) for r in chats.chat_states(df, F.timestamp_seconds(F.lit(1_900_000_100))).collect()}
+    assert got == want
+    assert not any(r["active"] for r in chats.chat_states(df, F.timestamp_seconds(F.lit(1_900_001_000))).collect())
+
+
+def test_chat_stream(spark, tmp_path):
+    rows = [("a", k, kind, path, v, offset) for k, (kind, path, v, offset) in enumerate(edits_of(3))]
+    df = spark.createDataFrame(rows, "session string, line long, kind int, k array<string>, v string, offset int").withColumn("at", F.timestamp_seconds(F.col("line") + 1_900_000_000)).coalesce(1)
+    want = chats.chat_states(df, F.timestamp_seconds(F.lit(1_900_000_060))).first()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        df.write.parquet(f"{tmp_path}/in/a")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        q = chats.stream_chat_states(stream).writeStream.format("memory").queryName("got_chats").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").start()
+        q.processAllAvailable()
+        for k in range(2):  # a later session moves the watermark past the quiet time
+            df.limit(1).select(F.lit("z").alias("session"), "line", "kind", "k", "v", "offset", F.timestamp_seconds(F.lit(1_900_010_000)).alias("at")).write.parquet(f"{tmp_path}/in/b{k}")
+            q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [r for r in spark.table("got_chats").where("session = 'a'").collect()]
+    for c in ("last_request", "title", "preview", "edits"):
+        assert got[0][c] == want[c]
+    assert got[0]["active"] == want["active"] and len(got) == 2 and not got[1]["active"]
 
 
 def test_diagnostics(spark):

@@ -8,12 +8,55 @@ from gleaner.sources import files, notes, web
 
 def test_walk(spark, tmp_path):
     root = tmp_path / "proj"
-    for name, body in {"a.md": b"# A", "_b.md": b"x", "sub/c.md": b"y", "sub/d.bin": b"q\x00q", "node_modules/e.md": b"z", "big.txt": b"x" * (files.MAX_BYTES + 1)}.items():
+    bodies = {
+        "a.md": b"# A", "_b.md": b"x", "sub/c.md": b"y", "sub/d.bin": b"q\x00q", "node_modules/e.md": b"z", "big.txt": b"x" * (files.MAX_BYTES + 1), ".github/f.yml": b"f", "mine/g.md": b"g",
+        ".gitignore": b"*.log\n!keep.log\n/top.txt\ngen/\n", "x.log": b"1", "sub/keep.log": b"2", "top.txt": b"3", "sub/top.txt": b"4", "gen/h.md": b"5", "sub/.gitignore": b"only.md\n", "sub/only.md": b"6", "only.md": b"7",
+    }
+    for name, body in bodies.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(body)
-    assert {r["rel"] for r in files.walk(spark, str(root)).collect()} == {"a.md", "sub/c.md"}
-    assert {r["rel"] for r in files.markdown_files(spark, str(root)).collect()} == {"a.md"}
-    assert {r["rel"] for r in files.markdown_files(spark, str(root), recursive=True).collect()} == {"a.md", "sub/c.md"}
+    got = {r["rel"] for r in files.walk(spark, str(root), pruned=("mine",)).collect()}
+    assert got == {"a.md", "_b.md", "sub/c.md", ".github/f.yml", ".gitignore", "sub/keep.log", "sub/top.txt", "sub/.gitignore", "only.md"}
+    assert {r["rel"] for r in files.markdown_files(spark, str(root)).collect()} == {"a.md", "only.md"}
+    assert {r["rel"] for r in files.markdown_files(spark, str(root), recursive=True).collect()} == {"a.md", "_b.md", "sub/c.md", "only.md", "mine/g.md"}
+    (tmp_path / "none").mkdir()
+    assert files.walk(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_snapshots_and_packs(spark, tmp_path):
+    for name, body in {"manifest.json": '{"snapshotManifest": "s/m.json"}', "s/m.json": '{"files": {"principles": "s/p.json", "gone": "s/q.json"}}', "s/p.json": '{"principles": [{"id": "P1", "statement": "x"}, {"id": "P2"}]}', "s/bad.json": "{"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    packs = files.snapshot_files(spark, str(tmp_path))
+    assert [r["name"] for r in packs.collect()] == ["principles"]
+    got = [tuple(r)[:4] for r in files.pack_entries(packs, "path", "payload", {"principles": ("Principle", "id"), "practices": ("Practice", "id")}).orderBy("pos").collect()]
+    assert got == [("s/p.json", "Principle", 0, "P1"), ("s/p.json", "Principle", 1, "P2")]
+    assert [r["rel"] for r in files.packet_reader(spark, str(tmp_path)).collect()] == ["manifest.json", "s/m.json", "s/p.json"]
+
+
+def test_cached_fetch():
+    def fetch(path, tag):
+        calls.append(tag)
+        if broken:
+            raise OSError
+        return (None, "t1") if tag == "t1" else ("body", "t1")
+
+    calls, cache, broken = [], {}, False
+    assert files.cached_fetch("p", fetch, cache, 0) == files.cached_fetch("p", fetch, cache, 599) == files.cached_fetch("p", fetch, cache, 700) == "body" and calls == [None, "t1"]
+    broken = True
+    assert files.cached_fetch("p", fetch, cache, 5000) == "body"
+    with pytest.raises(OSError):
+        files.cached_fetch("q", fetch, cache, 0)
+
+
+def test_note_edits_and_index(spark):
+    df = spark.createDataFrame([("a.md", "# A\n\n## X\n\nold\n\n## Y\n\nkept graph"), ("b.md", "other words")], "filename string, text string")
+    got = {r["filename"]: r["text"] for r in notes.edited(df, "a.md", "X", "new resolver").collect()}
+    assert "new resolver" in got["a.md"] and "old" not in got["a.md"] and "kept" in got["a.md"]
+    after = notes.edited(df, "b.md", None, "appended nameserver")
+    assert notes.rebuilt(after).vectors.where("term = 'nameserver'").count() == 1
+    with pytest.raises(ValueError):
+        notes.edited(df, "zz.md", None, "x")
 
 
 def test_first_hit_and_overlay(spark):
