@@ -486,8 +486,10 @@ class HistoryStore:
         self.loads, self.hot = m["loads"], m["hot"]
 
     def table(self, name: str, schema, loads: list[str] | None = None) -> DataFrame | None:
-        """A table of the given loads, or of all."""
+        """A table of the given loads, or of all that have it; a load of an empty first batch has no filters."""
         loads = self.loads if loads is None else loads
+        if "/" in name:
+            loads = [x for x in loads if file_names(self.spark, f"{self.path}/{x}/{name}")]
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}/{name}" for x in loads]) if loads else None
 
     def ordered(self, texts: DataFrame):
@@ -549,8 +551,9 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
         part = F.floor(F.pmod(F.shiftrightunsigned("fp", 8), F.lit(store.parts * BUCKETS)) / BUCKETS).cast("int")
         hot = apart.select("fp").distinct().select(part.alias("part"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("sealed"), F.lit(None).cast("binary").alias("data"), F.col("fp").alias("hot"))
     filters = hot
-    if store.loads:
-        done, last = store.table("screened/kind=2", FILTERS).where("sealed"), store.table("screened/kind=2", FILTERS, store.loads[-1:]).where("not sealed")
+    last = store.table("screened/kind=2", FILTERS, store.loads[-1:])
+    if last is not None:
+        done, last = store.table("screened/kind=2", FILTERS).where("sealed"), last.where("not sealed")
         filters = done.unionByName(last).select("part", "seq", "n", "sealed", "data", F.lit(0).cast("long").alias("hot")).unionByName(hot)
     screened = prints.where("bucket >= 0").groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_screen(store.parts, store.slice_rows), SCREENED)
     screened = kept(screened, "screened", by=["kind"], going=F.when(F.col("kind") == 0, F.col("n")).otherwise(0))

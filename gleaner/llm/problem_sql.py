@@ -2,6 +2,23 @@
 
 USABLE = "({0} is not null and lower(trim({0})) not in ('', 'unknown', 'n/a', 'tbd', '-'))"
 
+#: Acceptance round by round: a packet is out once an earlier one that is in links to it, and in once all earlier ones are out.
+P2_FOUND = """
+with recursive d as (select packet_id id, any_value(batch_no) b, any_value(statement) s from packets group by 1),
+w as (select id, b, list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')) ws from d where s is not null),
+e as (select id, b, len(ws) n, unnest(ws) x from w where len(ws) > 0),
+c as (select p.id i, q.id j, any_value(p.n) m, any_value(q.n) n, count(*) c from e p join e q on p.x = q.x and (p.b < q.b or (p.b = q.b and p.id < q.id)) group by 1, 2),
+l as materialized (select i, j from c where c >= 0.7 * (m + n - c) - 1e-9),
+r as (
+  select 0 k, []::bigint[] gone, (select list(distinct i) from l where i not in (select j from l)) taken
+  union all
+  select k + 1, n.gone, list_distinct(list_concat(r.taken, (select coalesce(list(j), []) from (select l.j from l group by l.j having bool_and(list_contains(n.gone, l.i))))))
+  from r, lateral (select coalesce(list(distinct l.j), []) gone from l where list_contains(r.taken, l.i)) n
+  where k = 0 or len(n.gone) > len(r.gone)
+), f as (select unnest(gone) id from (select gone from r order by k desc limit 1))
+select i as accepted_id, j as packet_id from l where j in (select id from f) and i not in (select id from f)
+"""
+
 P3_FOUND = f"""
 with r as (
   select upper(trim(principle_code)) code, record_id, authoritative_support a, live_revalidated l, null::int c, null::timestamp f, public_summary p, generated_at::timestamp t from principles
@@ -57,4 +74,4 @@ x as (
 select note_id, term, tf, df, cf::bigint as cf, round((log2(1 + lam) - tfn * log2(lam / (1 + lam))) / (tfn + 1), 6) as score from x
 """
 
-SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_scores": P5_SCORES}
+SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_scores": P5_SCORES}

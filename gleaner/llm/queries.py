@@ -137,6 +137,35 @@ h as (select doc_id, n, array_to_string(w[p:p + n - 1], ' ') s from (select doc_
 select distinct doc_id, item_id from h join g using (n, s)
 """
 
+P6_CLEANED = """
+with i as (select item_id, any_value(regexp_extract_all(lower(passage), '[a-z0-9]+')) w from eval_items where passage is not null group by 1),
+k as (select item_id, w, least(20, len(w)) n from i where len(w) > 0),
+g as (select distinct n, array_to_string(w[p:p + n - 1], ' ') s from (select item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) p from k)),
+d as (select doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') w, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') ts from documents where text is not null),
+h as (select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') s from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) p from d, (select distinct n from k) where len(w) >= n)),
+c as (select distinct doc_id, p, p + n - 1 q from h join g using (n, s)),
+t0 as (select doc_id, unnest(ts) t, generate_subscripts(ts, 1) pos from d where doc_id in (select doc_id from c)),
+t as (select *, count(*) filter (where regexp_matches(t, '^[A-Za-z0-9]')) over (partition by doc_id order by pos) k, regexp_matches(t, '^[A-Za-z0-9]') word from t0),
+o as (select t.doc_id, pos, any_value(t.t) t, bool_or(c.p is not null) gone from t left join c on c.doc_id = t.doc_id and t.k >= c.p and (t.k < c.q or (t.k = c.q and t.word)) group by 1, 2),
+m as (select doc_id, coalesce(string_agg(t, '' order by pos) filter (where not gone), '') kept, coalesce(sum(length(t)) filter (where gone), 0)::int removed from o group by 1)
+select d.doc_id, case when d.text is null then null else coalesce(m.removed, 0) end::int as removed_chars, coalesce(m.removed > 0.5 * length(d.text), false) as dropped,
+  case when coalesce(m.removed > 0.5 * length(d.text), false) then null else md5(coalesce(m.kept, d.text)) end as text_md5
+from documents d left join m on m.doc_id = d.doc_id
+"""
+
+P8_PARTS = """
+with w as (select doc_id, i, md5(substring(text, i, 400)) h from (select doc_id, text, unnest(generate_series(1, length(text) - 399)) i from documents where length(text) >= 400)),
+g as (select h, min(doc_id) lo, max(doc_id) hi from w group by h having min(doc_id) < max(doc_id)),
+k as (select doc_id, i - 1 a, lo < doc_id late from w join g using (h)),
+z as (select doc_id, 'all' kind, a from k union all select doc_id, 'late', a from k where late),
+b as (select *, case when a <= lag(a) over (partition by doc_id, kind order by a) + 400 then 0 else 1 end fresh from z),
+c as (select *, sum(fresh) over (partition by doc_id, kind order by a) grp from b),
+r as (select doc_id, kind, grp, min(a) a, max(a) + 400 b from c group by 1, 2, 3),
+s as (select doc_id, sum(b - a) filter (where kind = 'all') shared, sum(b - a) filter (where kind = 'late') gone, string_agg('{"start":' || a || ',"end":' || b || '}', ',' order by a) filter (where kind = 'late') js from r group by 1)
+select d.doc_id, coalesce(length(d.text), 0)::int as n_chars, coalesce(shared, 0)::int as shared_chars, (coalesce(length(d.text), 0) - coalesce(gone, 0))::int as kept_chars, '[' || coalesce(js, '') || ']' as removed
+from documents d left join s on s.doc_id = d.doc_id
+"""
+
 P8_FOUND = """
 with w as (select distinct doc_id, md5(substring(text, i, 400)) h from (select doc_id, text, unnest(generate_series(1, length(text) - 399)) i from documents where length(text) >= 400)),
 g as (select h from w group by h having count(*) > 1),
@@ -145,4 +174,4 @@ select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h =
 """
 
 QUERIES = {**problems.QUERIES} | {f.__name__: f for f in (p1_found, p1_clean, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_budget_mixture, p7_budget_shares, p8_found, p8_parts)}
-SQL = {**problem_sql.SQL, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+SQL = {**problem_sql.SQL, "p6_found": P6_FOUND, "p6_cleaned": P6_CLEANED, "p8_found": P8_FOUND, "p8_parts": P8_PARTS}

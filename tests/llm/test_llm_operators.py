@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -57,6 +59,33 @@ def test_very_long_text_is_scanned_whole():
     assert markup.parse(text).counts == {"heading": 1, "list_item": 5000, "code_block": 0, "formula": 5000}
 
 
+@pytest.mark.parametrize("piece", ["\\[ x ", "_a ", "``a ", "[a ", "$a ", "<b ", "**a ", "a ```", "\\begin{equation} ", "[[a|", "''", "<h1>", "\\textbf{", "~~a ", "{{a ", "&a", "\\( x "])
+def test_work_grows_with_the_length(piece):
+    def took(n):
+        start = time.process_time()
+        markup.parse(piece * n)
+        return time.process_time() - start
+
+    took(100)
+    small, large = min(took(4000) for _ in range(3)), min(took(16_000) for _ in range(2))
+    # four times the text takes four times as long, give or take; sixteen times would be quadratic
+    assert large < 9 * small + 0.05
+
+
+def test_line_forms():
+    assert kinds("== A ==\n\n" + "= b" + " " * 50 + "x") == {"heading": 1}
+    assert kinds("# A ##\n\nsnake_case and _emphasised words_ here") == {"heading": 1, "other": 1}
+    assert markup.parse("# A\n\n_one_ and __two_x__ and three_four_").clean == "# A\n\none and two_x and three_four_"
+
+
+def test_structure_is_no_template(spark):
+    rows = [(i, "h", f"Own words {i} here\n\n<h2>Inner heading of all pages</h2>\n\n$$a \\leq b + c + d + e + f$$\n\n<nav><a href='#top'>up to the top</a></nav>\n\n```\n<nav>code of every page</nav>\n```") for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    cuts = {r["id"]: [tuple(c) for c in r["cuts"]] for r in templates.template_cuts(df, "id", "host", "text").collect()}
+    left = {templates.cut(rows[i][2], c) for i, c in cuts.items()}
+    assert len(cuts) == 8 and all("up to the top" not in t and "Inner heading" in t and "code of every page" in t and "leq" in t and "Own words" in t for t in left)
+
+
 def test_templates(spark):
     foot = "<div><p>Shared footer of the whole site</p></div>"
     rows = [(i, "h", f"<p>Page {i} has its own words here</p>\n\n{foot}") for i in range(12)] + [(50, "other", foot), (51, None, None), (0, "h", f"<p>Page 0 has its own words here</p>\n\n{foot}")]
@@ -110,6 +139,14 @@ def test_leaks_empty_and_cleaned(spark):
     assert leakage.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "passage").count() == 0
 
 
+def test_cut_spans_of_letters_that_grow(spark):
+    passage = " ".join(f"q{k}" for k in range(20))
+    text = "İİ before İ. " + passage + " after İ" + " x" * 60
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = leakage.leaks(docs, "doc_id", "text", spark.createDataFrame([(7, passage)], "item_id long, passage string"), "item_id", "passage")
+    assert leakage.cleaned(docs, "doc_id", "text", found).first()["text"] == text.replace(passage, "")
+
+
 PLAN = "source_name string, target_share double, max_repeats int"
 
 
@@ -216,3 +253,17 @@ def test_clashing_columns_and_long_texts(spark):
     placed, _ = mixing.mixture(df.withColumn("source", F.lit("s")).withColumn("runs", F.lit(1)).withColumn("want", F.lit(2)), "doc_id", spark.createDataFrame([("s", 1.0, 1)], PLAN))
     assert placed.count() == 6
     assert templates.template_cuts(df, "doc_id", "host", "text").count() == 0
+
+
+def test_sharing_documents_without_broadcasts(spark, monkeypatch):
+    r = random.Random(12)
+    base = ["".join(r.choices("abcde ", k=700)) for _ in range(4)]
+    rows = [(i, r.choice(base)[:600] + str(i) * 5 + r.choice(base)[100:600]) for i in range(14)] + [(20, base[0] * 2), (21, base[0] * 2), (21, base[0] * 2), (30, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(tuple(x) for x in shared_spans.sharing_documents(df, "doc_id", "text").collect())
+    monkeypatch.setattr(shared_spans, "BROADCAST_IDS", 0)
+    monkeypatch.setattr("gleaner.operators.skew.BROADCAST_KEYS", 0)
+    got = Counter(tuple(x) for x in shared_spans.sharing_documents(df, "doc_id", "text").collect())
+    texts = dict(rows)
+    real = {(a, b) for a, b in combinations(sorted(k for k, t in texts.items() if t), 2) if any(texts[a][i : i + 400] in texts[b] for i in range(len(texts[a]) - 399))}
+    assert got == want and set(got) == real and max(got.values()) == 1
