@@ -17,7 +17,7 @@ _MANY = "p_size * (case when p_partkey % 35 < 5 then 16 else 1 end)"
 PATH = """concat(case p_partkey % 5 when 0 then 'src/f' when 1 then 'pkg/g' when 2 then 'web/h' when 3 then 'py/test_' else 'java/C' end, p_partkey,
   case p_partkey % 5 when 0 then '.rs' when 1 then '.go' when 2 then '.js' when 3 then '.py' else '.java' end)"""
 TEXT = f"""replace(case p_partkey % 5
-  when 0 then concat('// ', p_name, '~pub fn build_', p_partkey, '(x: u32) -> u32 {{~    if x > 9 && x < 99 {{ return x; }}~', repeat(concat('    build_', p_partkey + 5, '(x);~'), {_MANY}), '    build_', p_partkey - 5, '(1)~}}~~fn helper_', p_partkey, '() {{~    for i in 0..9 {{ println!("{{}}", i); }}~}}~')
+  when 0 then concat('// ', p_name, '~pub fn build_', p_partkey, '(x: u32) -> u32 {{~    if x > 9 && x < 99 {{ return x; }}~', repeat(concat('    build_', p_partkey + 5, '(x);~'), {_MANY}), '    build_', p_partkey - 5, '(1)~}}~~fn inner_', p_partkey, '() {{~    for i in 0..9 {{ println!("{{}}", i); }}~}}~')
   when 1 then concat('package main~~func Run', p_partkey, '(e error) {{~    _ = err~', repeat(concat('    if a || b {{ Run', p_partkey + 5, '(e) }}~'), {_MANY}), '}}~~// doc~func (s *T) help', p_partkey, '() {{~}}~')
   when 2 then concat('export function load', p_partkey, '(a) {{~  try {{ a(); }} catch (e) {{}}~', repeat(concat('  load', p_partkey + 5, '(a);~'), {_MANY}), '}}~const more', p_partkey, ' = (a) => {{~  return a;~}};~')
   when 3 then concat('def work_', p_partkey, '(x):~    try:~        return work_', p_partkey + 5, '(x)~    except ValueError:~        pass~', repeat('    x += 1~', {_MANY}), '~# doc~def _hidden_', p_partkey, '(x):~    return x~')
@@ -160,11 +160,11 @@ _ISSUES = _FUN + "," + _ISL + "," + _SWA + r""",
 bare as (select path, count(*) n, string_agg(name, ', ' order by line_no) names from fn where public and not documented group by 1),
 size as (select path, max(line_no) n, case when regexp_matches(lower(path), '/test|test/|_test\.go$|\.test\.[tj]s$|\.spec\.ts$|_test\.py$') then 900 else 700 end most from l group by 1),
 issues as (
- select 'medium' as severity, 'cs-principle' as category, path as file, line_no::int as line, 'Function `' || name || '` spans ' || span || ' lines with ' || decisions || ' decision points; likely violating single responsibility.' as message, 'Extract focused helpers so each unit has one clear responsibility.' as suggestion
+ select 'medium' as severity, 'cs-principle' as category, path as file, line_no::int as line, 'Function `' || name || '` spans ' || span || ' lines with ' || decisions || ' decision points; likely violating single responsibility.' as message, 'Extract focused functions so each unit has one clear responsibility.' as suggestion
    from fn where span >= 320 or (span >= 200 and decisions >= 20)
  union all select 'medium', 'documentation-gap', path, 1, n || ' public function(s) lack a doc comment: ' || case when length(names) > 160 then names[1:160] || '…' else names end, 'Add a concise contract comment for each exported/public function.' from bare
  union all select 'low', 'maintainability', path, 1, 'File is ' || n || ' lines (> ' || most || '); hard to navigate.', 'Split into cohesive modules with single responsibilities.' from size where n > most
- union all select 'medium', 'large-block-without-comment', path, start, 'Large code block (' || length || ' lines) has no guiding comments.', 'Split into smaller helpers and annotate non-obvious intent.' from isl
+ union all select 'medium', 'large-block-without-comment', path, start, 'Large code block (' || length || ' lines) has no guiding comments.', 'Split into smaller functions and annotate non-obvious intent.' from isl
  union all select 'high', 'cs-principle', path, line_no, 'Empty catch block swallows errors silently.', 'Handle, log, or rethrow the error — never swallow it.' from swa where rule = 'empty-catch'
  union all select 'medium', 'cs-principle', path, line_no, 'Error assigned to `_` is ignored.', 'Check and handle the error instead of discarding it.' from swa where rule = 'ignored-error'
  union all select 'high', 'cs-principle', path, line_no, '`except: pass` silently swallows exceptions.', 'Handle or log the exception; narrow the except type.' from swa where rule = 'except-pass')"""

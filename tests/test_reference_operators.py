@@ -198,7 +198,7 @@ def test_signals(spark):
 
 
 MINI = [
-    ("src/core.rs", "pub fn engine() {}\npub struct Motor;\n"), ("src/main.rs", "fn main() { engine(); helper_sh(); }\n"), ("src/other.rs", "fn other() {\n  engine();\n}\n"),
+    ("src/core.rs", "pub fn engine() {}\npub struct Motor;\n"), ("src/main.rs", "fn main() { engine(); inner_sh(); }\n"), ("src/other.rs", "fn other() {\n  engine();\n}\n"),
     ("run.sh", "start_it() {\n  echo\n}\n"), ("README.md", "# Mini\n\n## Use\n"),
 ]
 
@@ -261,7 +261,7 @@ def test_text_labels(spark):
     assert one(spark, T.category(F.lit("k/sre-notes.md"))) == "SRE" and one(spark, T.pill_label(F.lit("RBAC"))) == "RBAC" and one(spark, T.pill_label(F.lit("two-part tag"))) == "Two-Part Tag"
     assert one(spark, T.valid_tags(F.array(*map(F.lit, ("a", "", "a/b", "2024-01-02x", "y" * 41))))) == ["a"]
     assert one(spark, T.highlighted(F.lit("A <b> dog & cats"), F.array(F.lit("dog"), F.lit("cat")))) == "A &lt;b&gt; <mark>dog</mark> &amp; cats"
-    assert one(spark, T.result_path(F.lit("a/b.md · old"), F.lit("t"), F.lit("Atlas"))) == "Atlas · b.md"
+    assert one(spark, T.result_path(F.lit("a/b.md · old"), F.lit("t"), F.lit("Scope"))) == "Scope · b.md"
     assert one(spark, T.first_prose_line(F.lit("# T\n![x](y)\n<p>\nshort\n> A line of prose here"))) == "A line of prose here"
     f = one(spark, T.frontmatter(F.lit("---\nname: 'x y'\ndescription: d\nuser-invocable: false\n---\nbody"), F.lit("a.agent.md")))
     assert (f["name"], f["description"], f["user_invocable"]) == ("x y", "d", False) and one(spark, T.frontmatter(F.lit("none"), F.lit("a"))) is None
