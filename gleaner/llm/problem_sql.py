@@ -39,6 +39,45 @@ select code as principle_code, field_name, record_id from e
 qualify row_number() over (partition by code, field_name order by rk, tt desc nulls last, record_id) = 1
 """
 
+_CLAIMS = f"""
+with recursive r as (
+  select upper(trim(principle_code)) code, record_id rec, 'principles/' || lower(snapshot_id) src, generated_at::timestamp t, authoritative_support a, live_revalidated l, null::int c, null::timestamp f, public_summary p from principles
+  union all select upper(trim(principle_code)), packet_id, 'packets/' || lower(community_repo), freshness_checked_at::timestamp, authoritative_support, live_revalidated, contradiction_count, freshness_checked_at::timestamp, public_summary from packets
+), e as (
+  select code || '|authoritative_support' item, src, lower(trim(a)) v, t, rec from r where {USABLE.format("a")}
+  union all select code || '|live_revalidated', src, l::varchar, t, rec from r where l is not null
+  union all select code || '|contradiction_count', src, c::varchar, t, rec from r where c >= 0
+  union all select code || '|freshness_checked_at', src, f::varchar, t, rec from r where f >= timestamp '2000-01-01'
+  union all select code || '|public_summary', src, lower(trim(p)), t, rec from r where {USABLE.format("p")}
+), o as materialized (select item, src s, v from e where item is not null and src is not null qualify row_number() over (partition by item, src order by t desc nulls last, rec, v) = 1),
+prs as materialized (select x.item, x.s i, y.s j, x.v v, x.v = y.v same from o x join o y on x.item = y.item and x.s < y.s),
+acc0 as materialized (select distinct s, 0.8::double acc from o)"""
+
+
+def _fused(rounds: int = 4) -> str:
+    """Accuracies, dependences and posteriors, round by round."""
+
+    def dependence(k: int, t: str, f: str, d: str, source: str) -> str:
+        return f""", cnt{k} as (select i, j, count(*) filter (where {t}) t, count(*) filter (where {f}) f, count(*) filter (where {d}) d from {source} group by 1, 2),
+        dep{k} as materialized (select i, j, 1 / (1 + 9 * exp(least(50, greatest(-50, t * ln(m * m / (m * 0.8 + m * m * 0.2)) + f * ln(((1 - m) * (1 - m) / 10) / ((1 - m) * 0.8 + (1 - m) * (1 - m) / 10 * 0.2)) + d * ln(1 / 0.2))))) dep
+          from (select c.*, least(0.95, greatest(0.05, (x.acc + y.acc) / 2)) m from cnt{k} c join acc{k} x on x.s = i join acc{k} y on y.s = j))"""
+
+    def posterior(k: int) -> str:
+        return f""", los{k} as (select item, case when x.acc < y.acc then p.i else p.j end s, sum(ln(1 - 0.8 * dep)) lost from prs p join dep{k} d on d.i = p.i and d.j = p.j join acc{k} x on x.s = p.i join acc{k} y on y.s = p.j where same group by 1, 2),
+        sco{k} as (select o.item, o.v, sum(exp(coalesce(lost, 0)) * ln(10 * least(0.99, greatest(0.01, acc)) / (1 - least(0.99, greatest(0.01, acc))))) score, count(*) n from o join acc{k} a on a.s = o.s left join los{k} l on l.item = o.item and l.s = o.s group by 1, 2),
+        top{k} as (select *, greatest(0, max(score) over (partition by item)) top, count(*) over (partition by item) k from sco{k}),
+        pos{k} as materialized (select item, v, exp(score - top) / (sum(exp(score - top)) over (partition by item) + greatest(11 - k, 0) * exp(-top)) p, n from top{k}),
+        bst{k} as materialized (select * from pos{k} qualify row_number() over (partition by item order by round(p, 9) desc, v) = 1)"""
+
+    out = [_CLAIMS, dependence(0, "same", "false", "not same", "prs")]
+    for k in range(rounds):
+        out.append(posterior(k))
+        out.append(f", acc{k + 1} as materialized (select o.s, least(0.95, greatest(0.05, (sum(p) + 0.8) / (count(*) + 1))) acc from o join pos{k} q on q.item = o.item and q.v = o.v group by 1)")
+        out.append(dependence(k + 1, "same and v = bv", "same and v <> bv", "not same", f"(select p.*, b.v bv from prs p join bst{k} b on b.item = p.item)"))
+    out.append(posterior(rounds))
+    return "".join(out) + f" select string_split(item, '|')[1] as principle_code, string_split(item, '|')[2] as field_name, v as value, round(p, 4) as posterior, n::int as n_sources from bst{rounds}"
+
+
 P4_FOUND = """
 with files as (select packet_id, payload from packet_files where json_valid(payload)),
 a as (
@@ -74,4 +113,4 @@ x as (
 select note_id, term, tf, df, cf::bigint as cf, round((log2(1 + lam) - tfn * log2(lam / (1 + lam))) / (tfn + 1), 6) as score from x
 """
 
-SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_scores": P5_SCORES}
+SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_fused": _fused(), "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_scores": P5_SCORES}
