@@ -624,7 +624,8 @@ def verified(pairs: DataFrame, n_pairs: int, left: DataFrame, right: DataFrame,
     x = left.select(F.col("node").alias("a"), "past", F.col("ord").alias("ao"), F.col("sk").alias("a_sk"), F.col("ws").alias("aw")).join(F.broadcast(pairs) if few else pairs, ["a", "past"])
     y = right.select(F.col("node").alias("b"), F.col("ord").alias("bo"), F.col("sk").alias("b_sk"), F.col("ws").alias("bw"))
     shared = F.size(F.array_intersect("aw", "bw"))
-    met = x.join(y, "b").where(shared >= F.lit(threshold) * (F.size("aw") + F.size("bw") - shared) - 1e-9)
+    # shared >= threshold * (all words of both - shared), with the costly term once
+    met = x.join(y, "b").where(shared * F.lit(1 + threshold) >= F.lit(threshold) * (F.size("aw") + F.size("bw")) - 1e-9)
     return met.select("a", "b", "past", "ao", "bo", "a_sk", "b_sk", (F.col("ao") < F.col("bo")).alias("first")).dropDuplicates(["a", "b", "past"])
 
 
