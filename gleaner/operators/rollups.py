@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import statement_hash
+from gleaner.runtime import stored
 
 
 def sanitised(raw: DataFrame, id_col: str, payload: str) -> DataFrame:
@@ -43,12 +44,20 @@ def change_summary(changes: DataFrame, group: str, name: str, shown: int = 3) ->
     return met.select(F.col("g").alias("grp"), "n", F.concat("names", F.when(F.col("n") > shown, F.concat(F.lit(" +"), F.col("n") - shown, F.lit(" more"))).otherwise("")).alias("summary"))
 
 
-def paired(events: DataFrame, key: str, at: str, event_id: str, begins: Column, ends: Column) -> DataFrame:
+def paired(events: DataFrame, key: str, at: str, event_id: str, begins: Column, ends: Column, slice_seconds: int = 86_400) -> DataFrame:
     """(key, begin_id, began, ended, seconds): every beginning with the end that follows it before anything else of the kind; open
-    ones have null ends. Other events don't matter, repeated ids count once."""
+    ones have null ends. Other events don't matter, repeated ids count once.
+
+    The events of a key are cut into slices of time; within a slice each event sees the next one, and only the first event
+    of each slice is brought together by key, so a key that holds a large part of all events is not one task's work.
+    """
     e = events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & (begins | ends)).dropDuplicates([event_id]).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(event_id).alias("id"), begins.alias("begin"))
-    w = Window.partitionBy("key").orderBy("at", "id")
-    x = e.withColumn("next", F.lead(F.struct("begin", "at")).over(w)).where("begin")
+    e = stored(e.withColumn("slice", F.floor(F.unix_timestamp("at") / slice_seconds)), "paired-events")
+    w = Window.partitionBy("key", "slice").orderBy("at", "id")
+    inside = e.withColumn("next", F.lead(F.struct("begin", "at")).over(w))
+    first = e.groupBy("key", "slice").agg(F.min(F.struct("at", "id", "begin")).alias("f"))
+    after = first.select("key", "slice", F.lead(F.struct("f.begin", "f.at")).over(Window.partitionBy("key").orderBy("slice")).alias("after"))
+    x = inside.where("begin").join(after, ["key", "slice"]).withColumn("next", F.coalesce("next", "after"))
     ended = F.when(~F.col("next.begin"), F.col("next.at"))
     return x.select("key", F.col("id").alias("begin_id"), F.col("at").alias("began"), ended.alias("ended"), F.floor((F.unix_micros(ended) - F.unix_micros("at")) / 1_000_000).alias("seconds"))
 
