@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.runtime import get_text, put_text
+
 NAME = re.compile(r"^[a-z][a-z0-9_-]{0,63}$")
 
 
@@ -27,6 +30,16 @@ class Registry:
         self.added[name] = sql
         return "updated" if known else "registered"
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the added queries to a new file; the names of files tell their order."""
+        put_text(spark, path, json.dumps({"added": self.added, "disabled": sorted(self.disabled)}))
+
+    def load(self, spark: SparkSession, path: str) -> None:
+        """Takes over the added queries of a saved file; built-in names are never taken."""
+        held = json.loads(get_text(spark, path))
+        self.added |= {n: sql for n, sql in held["added"].items() if NAME.match(n) and n not in self.builtin}
+        self.disabled |= set(held["disabled"])
+
     def unregister(self, name: str) -> bool:
         return self.added.pop(name, None) is not None
 

@@ -120,3 +120,27 @@ def test_registry(spark):
     with pytest.raises(ValueError):
         r.run(spark, "one", "")
     assert r.unregister("two") and not r.unregister("two") and [x[0] for x in r.list()] == ["one"]
+
+
+def test_registry_is_saved(spark, tmp_path):
+    a, b = Registry(builtin={"own": None}), Registry(builtin={"taken": None})
+    a.register("mine", "select 1 as x")
+    a.register("taken", "select 2 as x")
+    a.disabled.add("mine")
+    a.save(spark, f"{tmp_path}/r1.json")
+    b.load(spark, f"{tmp_path}/r1.json")
+    assert set(b.added) == {"mine"} and b.run(spark, "mine", "", force=True).first()["x"] == 1
+    with pytest.raises(ValueError):
+        b.run(spark, "mine", "")
+    with pytest.raises(ValueError):
+        a.save(spark, f"{tmp_path}/r1.json")
+
+
+def test_sets(spark):
+    from gleaner.operators import sets
+
+    df = spark.createDataFrame([("/a/./b/../c",), ("a//b/",), ("../x",), (None,)], "p string")
+    assert [r[0] for r in df.select(sets.canonical("p")).collect()] == ["/a/c", "a/b", "x", None]
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert {tuple(r) for r in sets.put(t, spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "k int, v string"), "k").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert sets.by_index(t, "v", "b").first()["k"] == 2
