@@ -69,7 +69,7 @@ HOT_SHARE = 0.1
 #: Open links, at most, that one task settles; more are settled in rounds.
 SETTLE_LINKS = 200_000
 #: After so many loads the driver's garbage is collected, and with it the shuffle files of past loads.
-CLEAN_LOADS = 4
+CLEAN_LOADS = 2
 #: Pairs that are tested at once; keys with as many pairs are tested in blocks.
 CHUNK = 2_000_000
 BLOCK = 16_384
@@ -608,7 +608,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
         remove(spark, f"{store.path}/{load}/{name}")
     # shuffle files of the load go with the driver's objects that stand for them
     del nodes, sets, hot, filters, screened, held, met, pairs, every, links, near, rejected, refused, refused_keys, hits, found
-    if len(store.loads) % CLEAN_LOADS == 1:
+    if len(store.loads) % CLEAN_LOADS == 0:
         spark.sparkContext._jvm.System.gc()
     return result
 
