@@ -73,6 +73,8 @@ CLEAN_LOADS = 2
 #: Pairs that are tested at once; keys with as many pairs are tested in blocks.
 CHUNK = 2_000_000
 BLOCK = 16_384
+#: Records of either side whose pairs are counted at once.
+TILE = (256, 512)
 
 _WORD = re.compile("[a-z0-9]+")
 #: One fingerprint of one text: the hash (its lowest bit is 1 in prefix keys), the text's node, its set's size and signature.
@@ -128,6 +130,44 @@ def _short(threshold: float) -> int:
     return max(SHORT, math.floor(DEPTH / threshold**2))
 
 
+def _prefixes(owner: np.ndarray, h: np.ndarray, n: np.ndarray, sizes: np.ndarray, threshold: float, order: WordOrder, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key) of all prefix keys of many sets: ``owner`` and ``h`` are the words of each set in order, ``n`` the texts
+    that have them, ``sizes`` the words of each set. See ``prefix_keys``."""
+    most = _short(threshold)
+    at = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    m = sizes[owner]
+    spare = m - np.ceil(m * threshold - 1e-9).astype(np.int64)
+    first = at <= spare
+    short, long = first & (m <= most), first & (m >= threshold * (LONG + 1) - 1e-6)
+    which, keys = [owner[short], owner[long]], [h[short] ^ np.uint64(0x5851F42D4C957F2D), h[long] ^ np.uint64(0x2545F4914F6CDD1D)]
+    last = np.flatnonzero(first & (m >= threshold * (most + 1) - 1e-6) & (m <= LONG))  # the last word taken
+    key, expected = np.ones(len(last), np.uint64), np.full(len(last), float(order.texts))
+    for depth in range(1, DEPTH + 1):
+        both, seen = (key ^ h[last]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth), expected * n[last] / order.texts
+        done = (seen <= rare) | (depth == DEPTH)
+        which.append(owner[last[done]])
+        keys.append(both[done])
+        last, both, seen = last[~done], both[~done], seen[~done]
+        following = np.minimum(spare[last] + depth, m[last] - 1) - at[last]
+        by = np.repeat(np.arange(len(last)), following)
+        last = last[by] + 1 + np.arange(len(by)) - (np.cumsum(following) - following)[by]
+        key, expected = (both ^ (both >> np.uint64(29)))[by], seen[by]
+    return np.concatenate(which), np.concatenate(keys)
+
+
+def _ranked(owner: np.ndarray, flat: np.ndarray, order: WordOrder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, texts that have it) of the distinct words of each owner, the rarest first."""
+    values, inverse = np.unique(flat, return_inverse=True)
+    n = np.array([order.counts.get(x, 0) for x in values.tolist()], dtype=np.int64)
+    by = np.argsort(n, kind="stable")  # ties by the hash
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    at = np.sort(owner * max(len(values), 1) + rank[inverse])
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+    owner, taken = at // max(len(values), 1), by[at % max(len(values), 1)]
+    return owner, values[taken], n[taken]
+
+
 def prefix_keys(ws: set[int], threshold: float, order: WordOrder, rare: int = RARE) -> list[int]:
     """Keys of which two sets over the threshold always have one in common.
 
@@ -136,55 +176,37 @@ def prefix_keys(ws: set[int], threshold: float, order: WordOrder, rare: int = RA
     shared word if it is rare, else the first and the second, and so on. Short sets, which may not share DEPTH words, meet
     one another by the first shared word alone; sets of a size in between have both.
     """
-    m, most = len(ws), _short(threshold)
-    spare = m - math.ceil(m * threshold - 1e-9)
-    ranked = sorted((order.counts.get(h, 0), h) for h in ws)[: spare + DEPTH]
-    keys: list[int] = []
-
-    def extend(key: int, start: int, expected: float, depth: int) -> None:
-        for i in range(start, spare + depth):
-            n, h = ranked[i]
-            both, seen = ((key ^ h) * 0x9E3779B97F4A7C15 + depth) & 0xFFFFFFFFFFFFFFFF, expected * n / order.texts
-            if depth == DEPTH or seen <= rare:
-                keys.append(both)
-            else:
-                extend(both ^ (both >> 29), i + 1, seen, depth + 1)
-
-    if m <= most:
-        keys += [h ^ 0x5851F42D4C957F2D for _, h in ranked[: spare + 1]]
-    if threshold * (most + 1) - 1e-6 <= m <= LONG:
-        extend(1, 0, order.texts, 1)
-    if m >= threshold * (LONG + 1) - 1e-6:
-        keys += [h ^ 0x2545F4914F6CDD1D for _, h in ranked[: spare + 1]]
-    return keys
+    flat = np.array(list(ws), dtype=np.uint64)
+    return _prefixes(*_ranked(np.zeros(len(flat), np.int64), flat, order), np.array([len(flat)]), threshold, order, rare)[1].tolist()
 
 
 def fingerprints(nodes: list[int], texts: list[str], threshold: float, order: WordOrder, rare: int = RARE, hashes: dict[str, int] | None = None) -> np.ndarray:
     """The PRINT records of texts: winnowed shingle hashes and prefix keys, each once per text."""
     hashes = _Hashes() if hashes is None else hashes
     seqs = [[hashes[w] for w in _WORD.findall(t.lower())] for t in texts]
-    sets = [set(s) for s in seqs]
-    sizes = np.array([len(s) for s in seqs], dtype=np.int64)
-    sig = np.array([signature(s) for s in sets], dtype=np.uint64)
     flat = np.array([h for s in seqs for h in s], dtype=np.uint64)
+    owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    of, words_of, n = _ranked(owner, flat, order)
+    sizes = np.bincount(of, minlength=len(seqs))
+    sig = np.minimum(sizes, LARGE_SET).astype(np.uint64) << np.uint64(SIGNATURE_BITS)
+    np.bitwise_or.at(sig, of, np.uint64(1) << words_of % np.uint64(SIGNATURE_BITS))
     which, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     span = SHINGLE + WINDOW - 1
     if len(flat) >= span:
-        owner = np.repeat(np.arange(len(seqs)), sizes)
-        n = len(flat) - SHINGLE + 1
-        sh = np.zeros(n, dtype=np.uint64)
+        k = len(flat) - SHINGLE + 1
+        sh = np.zeros(k, dtype=np.uint64)
         for i in range(SHINGLE):
-            sh = sh * np.uint64(0x100000001B3) + flat[i : i + n]
+            sh = sh * np.uint64(0x100000001B3) + flat[i : i + k]
         sh = _mix(sh)
-        low = sh[: n - WINDOW + 1].copy()
+        low = sh[: k - WINDOW + 1].copy()
         for i in range(1, WINDOW):
-            low = np.minimum(low, sh[i : n - WINDOW + 1 + i])
+            low = np.minimum(low, sh[i : k - WINDOW + 1 + i])
         whole = owner[: len(flat) - span + 1] == owner[span - 1 :]
         which.append(owner[: len(whole)][whole])
         found.append(low[whole] & ~np.uint64(1))
-    keys = [prefix_keys(s, threshold, order, rare) for s in sets]
-    which.append(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-    found.append(_mix(np.array([k for ks in keys for k in ks], dtype=np.uint64)) | np.uint64(1))
+    by, keys = _prefixes(of, words_of, n, sizes, threshold, order, rare)
+    which.append(by)
+    found.append(_mix(keys) | np.uint64(1))
     at, fp = np.concatenate(which), np.concatenate(found)
     out = np.empty(len(fp), PRINT)
     out["fp"], out["node"], out["sig"] = fp, np.asarray(nodes, dtype=np.int64)[at], sig[at]
@@ -193,6 +215,9 @@ def fingerprints(nodes: list[int], texts: list[str], threshold: float, order: Wo
 
 def _ordered(prints: np.ndarray) -> np.ndarray:
     """The records by hash and node, each pair of them once."""
+    fp, node = prints["fp"], prints["node"]
+    if np.all((fp[1:] > fp[:-1]) | ((fp[1:] == fp[:-1]) & (node[1:] > node[:-1]))):
+        return prints
     prints = prints[np.lexsort((prints["node"], prints["fp"]))]
     fresh = (prints["fp"][1:] != prints["fp"][:-1]) | (prints["node"][1:] != prints["node"][:-1])
     return prints[np.concatenate([[True], fresh])] if len(prints) else prints
@@ -206,31 +231,43 @@ def pack(prints: np.ndarray) -> bytes:
     return np.array([len(fp), len(prints)], "<u4").tobytes() + fp.tobytes() + prints["sig"].tobytes() + far.tobytes() + counts.astype("<u4").tobytes()
 
 
-def unpack(blob: bytes, wanted: np.ndarray | None = None) -> np.ndarray:
-    """The records of a pack; with ``wanted`` (sorted hashes) only those of hashes among them, and no others are made."""
+def unpack(blob: bytes) -> np.ndarray:
+    """The records of a pack."""
     keys, n = (int(x) for x in np.frombuffer(blob, "<u4", 2))
     fp, counts = np.frombuffer(blob, "<u8", keys, 8), np.frombuffer(blob, "<u4", keys, 8 + 8 * keys + 16 * n)
-    go = slice(None)
-    if wanted is not None:
-        hit = np.zeros(keys, bool)
-        if len(wanted):
-            hit = wanted[np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)] == fp
-        if not hit.any():
-            return np.empty(0, PRINT)
-        go = np.repeat(hit, counts)
-        fp, counts = fp[hit], counts[hit]
-    out = np.empty(int(counts.sum()), PRINT)
+    out = np.empty(n, PRINT)
     out["fp"] = np.repeat(fp, counts)
-    out["sig"] = np.frombuffer(blob, "<u8", n, 8 + 8 * keys)[go]
-    out["node"] = np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8 + 8 * keys + 8 * n).reshape(8, n).T).view("<i8").ravel())[go]
+    out["sig"] = np.frombuffer(blob, "<u8", n, 8 + 8 * keys)
+    out["node"] = np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8 + 8 * keys + 8 * n).reshape(8, n).T).view("<i8").ravel())
     return out
 
 
 def _load(blobs, wanted: np.ndarray | None = None) -> np.ndarray:
-    """The records of many packs, by hash."""
-    parts = [unpack(b, wanted) for b in blobs]
-    p = np.concatenate([np.empty(0, PRINT), *parts])
-    return p[np.argsort(p["fp"], kind="stable")]
+    """The records of many packs, by hash; with ``wanted`` (sorted hashes) only those of hashes among them.
+
+    All packs are taken apart together, since a part holds hundreds of small ones.
+    """
+    blobs = list(blobs)
+    if not blobs:
+        return np.empty(0, PRINT)
+    keys, n = np.array([np.frombuffer(b, "<u4", 2) for b in blobs], dtype=np.int64).T
+    sizes = list(zip(blobs, keys.tolist(), n.tolist()))
+    fp = np.concatenate([np.frombuffer(b, "<u8", k, 8) for b, k, _ in sizes])
+    counts = np.concatenate([np.frombuffer(b, "<u4", k, 8 + 8 * k + 16 * m) for b, k, m in sizes])
+    sig = np.concatenate([np.frombuffer(b, "<u8", m, 8 + 8 * k) for b, k, m in sizes])
+    far = np.concatenate([np.frombuffer(b, np.uint8, 8 * m, 8 + 8 * k + 8 * m).reshape(8, m) for b, k, m in sizes], axis=1)
+    node = np.cumsum(np.ascontiguousarray(far.T).view("<i8").ravel())
+    ends = np.cumsum(n)
+    node -= np.repeat(np.concatenate([[0], node[ends[:-1] - 1]]) * (ends > n), n)  # distances begin anew in every pack
+    at = np.repeat(np.arange(len(fp)), counts)
+    if wanted is not None:
+        hit = wanted[np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)] == fp if len(wanted) else np.zeros(len(fp), bool)
+        go = np.flatnonzero(hit[at])
+        at, sig, node = at[go], sig[go], node[go]
+    by = np.argsort(fp[at], kind="stable")
+    out = np.empty(len(by), PRINT)
+    out["fp"], out["node"], out["sig"] = fp[at[by]], node[by], sig[by]
+    return out
 
 
 def _bucket(fp: np.ndarray, parts: int) -> np.ndarray:
@@ -383,17 +420,29 @@ def _blocks(x: _Side, y: _Side, a: tuple[int, int], b: tuple[int, int], threshol
     # a set shares at least ceil(threshold * m) of its m words, and so all but m - ceil(threshold * m) of its bits
     least = lambda s, r: np.where(s.size[r] >= LARGE_SET, 0, np.maximum(0, s.ones[r] - s.size[r] + np.ceil(s.size[r] * threshold - 1e-9))).astype(np.uint8)
     xl, yl = least(x, slice(*a)), least(y, slice(*b))
-    for i in range(a[0], a[1], 128):
-        k = slice(i, min(i + 128, a[1]))
-        for j in range(i if same else b[0], b[1], 1024):
-            c = slice(j, min(j + 1024, b[1]))
-            both = np.bitwise_count(x.bits[k, None] & y.bits[None, c])
-            r, s = np.nonzero((both >= xl[k.start - a[0] : k.stop - a[0], None]) & (both >= yl[None, c.start - b[0] : c.stop - b[0]]))
-            shared, r, s = both[r, s].astype(np.int16), r + i, s + j
-            ok = _able(x, y, r, s, shared, threshold)
-            if same:
-                ok &= r < s
-            yield np.stack([x.node[r[ok]], y.node[s[ok]]], axis=1)
+    # tiles are small and their memory is used again, since allocation costs more than the counting; hits are tested together
+    shape, hits, n = (0, 0), [], 0
+    for i in range(a[0], a[1], TILE[0]):
+        k = slice(i, min(i + TILE[0], a[1]))
+        for j in range(i if same else b[0], b[1], TILE[1]):
+            c = slice(j, min(j + TILE[1], b[1]))
+            if shape != (k.stop - i, c.stop - j):
+                shape = (k.stop - i, c.stop - j)
+                shared, both, fits, fit = (np.empty(shape, kind) for kind in (np.uint64, np.uint8, bool, bool))
+            np.bitwise_and(x.bits[k, None], y.bits[None, c], out=shared)
+            np.bitwise_count(shared, out=both)
+            np.greater_equal(both, xl[i - a[0] : k.stop - a[0], None], out=fits)
+            np.greater_equal(both, yl[None, j - b[0] : c.stop - b[0]], out=fit)
+            at = np.flatnonzero(np.logical_and(fits, fit, out=fits))
+            hits.append((at // shape[1] + i, at % shape[1] + j, both.ravel()[at].astype(np.int16)))
+            n += len(at)
+            if n >= CHUNK or c.stop == b[1] and k.stop == a[1]:
+                r, s, bits = (np.concatenate(h) for h in zip(*hits))
+                ok = _able(x, y, r, s, bits, threshold)
+                if same:
+                    ok &= r < s
+                yield np.stack([x.node[r[ok]], y.node[s[ok]]], axis=1)
+                hits, n = [], 0
 
 
 MEETINGS = "a long, b long, past boolean, fp long, node long, sig long"
@@ -530,7 +579,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     temporary = lambda df, name, **count: kept(df, f"scratch/{name}", **count)
     orders = [f"o{i}" for i in range(len(order_cols))]
     rows = batch.where(~is_blank(text_col)).select(F.col(id_col).alias("id"), *[F.col(c).alias(o) for c, o in zip(order_cols, orders)], F.col(text_col).alias("text"))
-    sk = F.unhex(F.md5(F.array_join(F.array_sort(F.array_distinct(words("text"))), " ")))
+    sk = F.unhex(F.md5(F.array_join(F.sort_array(F.array_distinct(words("text"))), " ")))
     rows = rows.where(F.lower("text").rlike("[a-z0-9]")).select("id", F.struct(*orders, F.col("id").alias("oid")).alias("ord"), sk.alias("sk"), "text")
     # one node per word set; the earliest text stands for the set. Sets of several ids keep their key for the last step
     nodes = rows.groupBy("sk").agg(F.min(F.struct("ord", "text")).alias("m"), (F.min("id") < F.max("id")).alias("many"))

@@ -197,3 +197,34 @@ def test_bloom_has_no_false_negative():
     history_dedup.bloom_add(b, fp)
     assert history_dedup.bloom_test(b, fp).all()
     assert history_dedup.bloom_test(b, fp ^ np.uint64(0xABCDEF)).mean() < 0.05
+
+
+def test_packs_are_taken_apart_together():
+    r = np.random.default_rng(11)
+    packs = []
+    for n in (40, 0, 300, 1):
+        p = np.empty(n, history_dedup.PRINT)
+        p["fp"], p["node"], p["sig"] = r.integers(2**63, 2**63 + 25, n, dtype=np.uint64), r.integers(-(2**62), 2**62, n), r.integers(0, 2**63, n)
+        packs.append(history_dedup.pack(p))
+    every = np.concatenate([history_dedup.unpack(b) for b in packs])
+    assert sorted(history_dedup._load(packs).tolist()) == sorted(every.tolist())
+    wanted = np.unique(every["fp"])[::3]
+    got = history_dedup._load(packs, wanted)
+    assert sorted(got.tolist()) == sorted(every[np.isin(every["fp"], wanted)].tolist()) and (np.diff(got["fp"].astype(float)) >= 0).all()
+    assert len(history_dedup._load(packs, wanted[:0])) == len(history_dedup._load([])) == 0
+
+
+def test_hits_of_a_wide_key_are_tested_together(monkeypatch):
+    r, calls, able = np.random.default_rng(12), [], history_dedup._able
+    sets = [set(r.integers(0, 90, 20).tolist()) for _ in range(700)]
+    p = np.zeros(700, history_dedup.PRINT)
+    p["node"], p["sig"] = np.arange(700), [history_dedup.signature(s) for s in sets]
+    monkeypatch.setattr(history_dedup, "_able", lambda *a: calls.append(1) or able(*a))
+    x = history_dedup._Side(p)
+    for same, (a, b) in ((True, ((0, 700), (0, 700))), (False, ((0, 100), (50, 700)))):
+        calls.clear()
+        got = [tuple(row) for f in history_dedup._blocks(x, x, a, b, 0.3, same) for row in f.tolist()]
+        assert len(calls) == 1  # one for each of up to six tiles before
+        i, j = (k.ravel() for k in np.meshgrid(np.arange(*a), np.arange(*b), indexing="ij"))
+        ok = able(x, x, i, j, np.bitwise_count(x.bits[i] & x.bits[j]).astype(np.int16), 0.3) & ((i < j) | (not same))
+        assert sorted(got) == sorted(zip(i[ok].tolist(), j[ok].tolist())) and len(got) == len(set(got)) > 100
