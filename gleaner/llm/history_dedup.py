@@ -415,11 +415,20 @@ def _listed(x: _Side, y: _Side, at: np.ndarray, lo: np.ndarray, hi: np.ndarray,
         start = stop
 
 
+def _marked(flags: np.ndarray) -> np.ndarray:
+    """Where a boolean array of a multiple of eight entries, few of them true, is true; eight are looked at together."""
+    some = np.flatnonzero(flags.view(np.uint64))
+    at = np.flatnonzero(flags.reshape(-1, 8)[some])
+    return some[at >> 3] * 8 + (at & 7)
+
+
 def _blocks(x: _Side, y: _Side, a: tuple[int, int], b: tuple[int, int], threshold: float, same: bool) -> Iterator[np.ndarray]:
     """Pairs of records a of x and b of y that may match; with ``same`` x is y, a is b and each pair comes once."""
-    # a set shares at least ceil(threshold * m) of its m words, and so all but m - ceil(threshold * m) of its bits
-    least = lambda s, r: np.where(s.size[r] >= LARGE_SET, 0, np.maximum(0, s.ones[r] - s.size[r] + np.ceil(s.size[r] * threshold - 1e-9))).astype(np.uint8)
-    xl, yl = least(x, slice(*a)), least(y, slice(*b))
+    # a pair over the threshold has at most (xm + ym) * (1 - threshold) / (1 + threshold) words that one set has alone, and
+    # each bit that one signature has alone is such a word; each side's share of that is made a whole number upwards
+    lone = (1 - threshold) / (1 + threshold)
+    most = lambda s, r: np.where(s.size[r] >= LARGE_SET, SIGNATURE_BITS, np.minimum(np.ceil(s.size[r] * lone + 1e-9), SIGNATURE_BITS)).astype(np.uint8)
+    xl, yl = most(x, slice(*a)), most(y, slice(*b))
     # tiles are small and their memory is used again, since allocation costs more than the counting; hits are tested together
     shape, hits, n = (0, 0), [], 0
     for i in range(a[0], a[1], TILE[0]):
@@ -428,13 +437,16 @@ def _blocks(x: _Side, y: _Side, a: tuple[int, int], b: tuple[int, int], threshol
             c = slice(j, min(j + TILE[1], b[1]))
             if shape != (k.stop - i, c.stop - j):
                 shape = (k.stop - i, c.stop - j)
-                shared, both, fits, fit = (np.empty(shape, kind) for kind in (np.uint64, np.uint8, bool, bool))
-            np.bitwise_and(x.bits[k, None], y.bits[None, c], out=shared)
-            np.bitwise_count(shared, out=both)
-            np.greater_equal(both, xl[i - a[0] : k.stop - a[0], None], out=fits)
-            np.greater_equal(both, yl[None, j - b[0] : c.stop - b[0]], out=fit)
-            at = np.flatnonzero(np.logical_and(fits, fit, out=fits))
-            hits.append((at // shape[1] + i, at % shape[1] + j, both.ravel()[at].astype(np.int16)))
+                alone, apart, limit = (np.empty(shape, kind) for kind in (np.uint64, np.uint8, np.uint8))
+                flags = np.zeros(-(-alone.size // 8) * 8, bool)
+                fits = flags[: alone.size].reshape(shape)
+            np.bitwise_xor(x.bits[k, None], y.bits[None, c], out=alone)
+            np.bitwise_count(alone, out=apart)
+            np.add(xl[i - a[0] : k.stop - a[0], None], yl[None, j - b[0] : c.stop - b[0]], out=limit)
+            np.less_equal(apart, limit, out=fits)
+            at = _marked(flags)
+            r, q = at // shape[1] + i, at % shape[1] + j
+            hits.append((r, q, np.bitwise_count(x.bits[r] & y.bits[q]).astype(np.int16)))
             n += len(at)
             if n >= CHUNK or c.stop == b[1] and k.stop == a[1]:
                 r, s, bits = (np.concatenate(h) for h in zip(*hits))
@@ -471,7 +483,7 @@ def _meet(threshold: float, limit: int):
             own = (int(start[k]), int(start[k] + count[k]))
             near += _blocks(x, x, own, own, threshold, True)
             if hi[k] > lo[k]:
-                older += _blocks(y, x, (int(lo[k]), int(hi[k])), own, threshold, False)
+                older += (f[:, ::-1] for f in _blocks(x, y, own, (int(lo[k]), int(hi[k])), threshold, False))
         frames = []
         for past, found in ((False, [np.sort(f, axis=1) for f in near]), (True, older)):
             found = [f for f in found if len(f)]
@@ -581,6 +593,7 @@ def ingest(store: HistoryStore, batch: DataFrame, id_col: str, text_col: str, or
     rows = batch.where(~is_blank(text_col)).select(F.col(id_col).alias("id"), *[F.col(c).alias(o) for c, o in zip(order_cols, orders)], F.col(text_col).alias("text"))
     sk = F.unhex(F.md5(F.array_join(F.sort_array(F.array_distinct(words("text"))), " ")))
     rows = rows.where(F.lower("text").rlike("[a-z0-9]")).select("id", F.struct(*orders, F.col("id").alias("oid")).alias("ord"), sk.alias("sk"), "text")
+    rows = temporary(rows, "rows")  # read twice, and the keys of the sets cost more than writing them
     # one node per word set; the earliest text stands for the set. Sets of several ids keep their key for the last step
     nodes = rows.groupBy("sk").agg(F.min(F.struct("ord", "text")).alias("m"), (F.min("id") < F.max("id")).alias("many"))
     word_set = F.transform(F.array_distinct(words("m.text")), lambda w: F.xxhash64(w))
@@ -670,6 +683,7 @@ def verified(pairs: DataFrame, n_pairs: int, left: DataFrame, right: DataFrame,
     to the left sets, so that the history's sets are not moved; only those with a pair are.
     """
     few = n_pairs <= BROADCAST_KEYS
+    pairs = pairs.distinct()  # a pair meets once for each part that has a key of both
     x = left.select(F.col("node").alias("a"), "past", F.col("ord").alias("ao"), F.col("sk").alias("a_sk"), F.col("ws").alias("aw")).join(F.broadcast(pairs) if few else pairs, ["a", "past"])
     y = right.select(F.col("node").alias("b"), F.col("ord").alias("bo"), F.col("sk").alias("b_sk"), F.col("ws").alias("bw"))
     shared = F.size(F.array_intersect("aw", "bw"))

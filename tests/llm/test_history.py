@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import history_dedup
 from gleaner.operators import skew
@@ -228,3 +229,31 @@ def test_hits_of_a_wide_key_are_tested_together(monkeypatch):
         i, j = (k.ravel() for k in np.meshgrid(np.arange(*a), np.arange(*b), indexing="ij"))
         ok = able(x, x, i, j, np.bitwise_count(x.bits[i] & x.bits[j]).astype(np.int16), 0.3) & ((i < j) | (not same))
         assert sorted(got) == sorted(zip(i[ok].tolist(), j[ok].tolist())) and len(got) == len(set(got)) > 100
+
+
+def test_few_pairs_of_a_wide_key_are_tested_on_both_bounds(monkeypatch):
+    r, tested, able = np.random.default_rng(13), [], history_dedup._able
+    sets = [set(r.integers(0, 4000, r.integers(20, 34)).tolist()) for _ in range(600)]
+    sets += [set(list(s)[:-2]) for s in sets[:40]] + [set(range(300)), set(range(290)), set()]
+    p = np.zeros(len(sets), history_dedup.PRINT)
+    p["node"], p["sig"] = np.arange(len(sets)), [history_dedup.signature(s) for s in sets]
+    monkeypatch.setattr(history_dedup, "_able", lambda x, y, i, j, both, t: tested.append(len(i)) or able(x, y, i, j, both, t))
+    x, n = history_dedup._Side(p[:640]), 640
+    got = [tuple(row) for f in history_dedup._blocks(x, x, (0, n), (0, n), 0.7, True) for row in f.tolist()]
+    assert {(i, 600 + i) for i in range(40)} <= set(got) and len(got) == len(set(got))
+    assert sum(tested) < 0.01 * n * n
+    for t in (0.3, 0.7, 0.95):  # whatever the threshold, and with sets too large to be pruned, nothing that may match is lost
+        x, n = history_dedup._Side(p), len(p)
+        got = {tuple(row) for f in history_dedup._blocks(x, x, (0, n), (0, n), t, True) for row in f.tolist()}
+        i, j = (k.ravel() for k in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+        ok = able(x, x, i, j, np.bitwise_count(x.bits[i] & x.bits[j]).astype(np.int16), t) & (i < j)
+        assert got == set(zip(i[ok].tolist(), j[ok].tolist()))
+
+
+def test_a_pair_of_many_parts_is_verified_once(spark):
+    sets = spark.createDataFrame([(k, k, None, list(range(20 + k))) for k in range(3)], "node long, ord long, sk binary, ws array<long>")
+    pairs = spark.createDataFrame([(0, 1, False)] * 30 + [(0, 2, False)] * 20, "a long, b long, past boolean")
+    got = history_dedup.verified(pairs, 50, sets.withColumn("past", F.lit(False)), sets, 0.7)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(0, 1), (0, 2)]
+    joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[-1]
+    assert "Aggregate" in joined  # the pairs are made distinct below the joins, before word sets are moved
