@@ -75,10 +75,12 @@ def has_secret(line: Column) -> Column:
     return F.coalesce(line.rlike("(?i)(?:" + "|".join(p.removeprefix(lead) for p in PATTERNS) + ")"), F.lit(False))
 
 
-def text_lines(files: DataFrame, path: str, text: str) -> DataFrame:
-    """(path, line_no, line) of all texts; lines end with LF or CRLF, and a last empty line is none."""
+def text_lines(files: DataFrame, path: str, text: str, *carry: str) -> DataFrame:
+    """(path, carry..., line_no, line) of all texts; lines end with LF or CRLF, and a last empty line is none."""
     split = F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n")
-    return files.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(path).alias("path"), F.posexplode(split).alias("p", "line")).select("path", (F.col("p") + 1).alias("line_no"), "line")
+    # no filter: it would be pushed below, and a text that is an expression would be made twice
+    some = F.when(F.col(text) != "", split)
+    return files.select(F.col(path).alias("path"), *carry, F.posexplode(some).alias("p", "line")).select("path", *carry, (F.col("p") + 1).alias("line_no"), "line")
 
 
 def scan(files: DataFrame, path: str, text: str, most: int | None = None) -> DataFrame:

@@ -41,7 +41,8 @@ DECLARATIONS = {
 }
 #: Words before an opening parenthesis that call nothing.
 KEYWORDS = "if for while match switch return catch fn func function def class elif except with in and or not await async let mut new typeof super self".split()
-_CALL = rf"\b{_NAME}!?\s*\("
+#: Possessive: a name that no parenthesis follows is given up at once, since what is left of it is followed by its own letters.
+_CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*+)!?+\s*+\("
 MAP_FILES, MAP_NODES, MAP_EDGES, NODE_DOCS, NODE_NEIGHBOURS = 30, 24, 60, 80, 14
 
 
@@ -63,25 +64,59 @@ def is_test_path(path: Column) -> Column:
     return hit | b.endswith("test.java") | b.endswith("tests.java")
 
 
+def _rules(path: Column | str) -> Column:
+    """What a file's ending says of its symbols, or null: one pattern with a group for each kind, the kinds, and whether calls are read.
+
+    Rules are values of a map and not branches: code for every pattern of every language would be too long to be compiled.
+    """
+    names = CODE | LABELS | {k: k for k in DECLARATIONS}
+    one = lambda lang: F.struct(F.lit("^(?:" + "|".join(rx.removeprefix("^") for _, rx in DECLARATIONS[lang]) + ")").alias("rx"), F.array(*[F.lit(kind) for kind, _ in DECLARATIONS[lang]]).alias("kinds"), F.lit(lang in CODE.values()).alias("calls"))
+    known = F.create_map(*[x for ext, lang in names.items() if lang in DECLARATIONS for x in (F.lit(ext), one(lang))])
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
+
+
+def code_lines(files: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, rules, line_no, line) of the files whose symbols are read; rules are looked up once per file."""
+    known = files.select(F.col(path).cast("string").alias("path"), _rules(F.col(path)).alias("rules"), F.col(text).alias("text"))
+    return text_lines(known.select("path", "rules", F.when(F.col("rules").isNotNull(), F.col("text")).alias("text")), "path", "text", "rules")
+
+
+def _ruled(lines: DataFrame) -> DataFrame:
+    return lines if "rules" in lines.columns else lines.withColumn("rules", _rules(F.col("path")))
+
+
+def _found(group: Column) -> Column:
+    return F.call_function("regexp_extract", F.col("line"), F.col("rules.rx"), group)
+
+
+def _declares() -> Column:
+    return _found(F.lit(0)) != ""
+
+
+def _declared() -> Column:
+    """The declaration of a line that has one, as an array: of the pattern's alternatives, one matched."""
+    each = F.transform("rules.kinds", lambda kind, i: F.struct(_found(i + 1).alias("name"), kind.alias("kind")))
+    return F.filter(each, lambda x: x["name"] != "")
+
+
 def definitions(lines: DataFrame) -> DataFrame:
-    """(file, name, kind, line) of lines (path, line_no, line): one row per declaration; a name twice on one line counts once."""
-    lang = label("path")
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for key, patterns in reversed(DECLARATIONS.items()):
-        mine = F.lit(None).cast("struct<kind:string,name:string>")
-        for kind, rx in reversed(patterns):
-            name = F.regexp_extract("line", rx, 1)
-            mine = F.when(name != "", F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(mine)
-        found = F.when(lang == key, mine).otherwise(found)
-    return lines.withColumn("d", found).where("d is not null").select(F.col("path").alias("file"), "d.name", "d.kind", F.col("line_no").cast("int").alias("line"))
+    """(file, name, kind, line) of lines (path, line_no, line): one row per declaration; a name twice on one line counts once.
+
+    Lines of ``code_lines`` have their rules already.
+    """
+    some = _ruled(lines).where(_declares()).select("path", "line_no", F.explode(_declared()).alias("d"))
+    return some.select(F.col("path").alias("file"), "d.name", "d.kind", F.col("line_no").cast("int").alias("line"))
 
 
 def references(lines: DataFrame) -> DataFrame:
-    """(file, name): one row for each call, those on a line that declares the name aside. Only code files have references."""
-    words = F.array(*map(F.lit, KEYWORDS))
-    calls = lines.where(label("path").isin(*sorted(set(CODE.values())))).select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(_CALL), F.lit(1))).alias("name")).where(~F.array_contains(words, F.col("name")))
-    own = definitions(lines).select(F.col("file").alias("path"), F.col("line").cast("long").alias("line_no"), "name")
-    return calls.withColumn("line_no", F.col("line_no").cast("long")).join(own, ["path", "line_no", "name"], "left_anti").select(F.col("path").alias("file"), "name")
+    """(file, name): one row for each call, those on a line that declares the name aside. Only code files have references.
+
+    What a line declares is told from the line itself, so calls meet no table of definitions.
+    """
+    some = _ruled(lines).where(F.col("rules.calls") & F.contains("line", F.lit("(")))
+    some = some.select("path", "line", F.when(_declares(), F.col("rules")).alias("rules"))  # few lines carry them on
+    calls = some.select("path", "line", _declared()[0]["name"].alias("own")).select("path", "own", F.explode(F.regexp_extract_all("line", F.lit(_CALL), F.lit(1))).alias("name"))
+    return calls.where(~F.col("name").isin(*KEYWORDS) & ~F.col("name").eqNullSafe(F.col("own"))).select(F.col("path").alias("file"), "name")
 
 
 def headings(lines: DataFrame, most: int = 40) -> DataFrame:
@@ -105,10 +140,10 @@ def index_project(sources: DataFrame, path: str, text: str, iterations: int = 40
     """
     once = sources.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")).where("path is not null").dropDuplicates(["path"])
     once = stored(once, "project-files")
-    lines = text_lines(once, "path", "text")
-    defs = stored(definitions(lines), "project-defs")
+    lines, code = text_lines(once, "path", "text"), code_lines(once, "path", "text")
+    defs = stored(definitions(code), "project-defs")
     n = once.count()
-    edges = stored(graph.build_edges(defs.select("file", "name"), references(lines), n), "project-edges")
+    edges = stored(graph.build_edges(defs.select("file", "name"), references(code), n), "project-edges")
     ranks = graph.pagerank(once.select(F.col("path").alias("node")), edges.select("src", "dst", "scaled"), iterations=iterations)
     factor = F.when(is_test_path(F.col("file")), 0.3).otherwise(1.0)
     loc = lines.groupBy(F.col("path").alias("file")).agg(F.max("line_no").alias("loc"))

@@ -24,8 +24,9 @@ TEXT = f"""replace(case p_partkey % 5
   else concat('public class C', p_partkey, ' {{~  public int get', p_partkey, '(int a) {{~', repeat('    a = step(a);~', {_MANY}), '    // TODO check~    // return 1;~    System.out.println(a); return a;~  }}~}}~') end, '~', chr(10))"""
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.expr(PATH).alias("path"), F.expr(TEXT).alias("text"))
+def sources(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    return (parts.repartition(tasks) if tasks else parts).select(F.expr(PATH).alias("path"), F.expr(TEXT).alias("text"))
 
 
 def _lines(spark, sf_dir):
@@ -77,13 +78,18 @@ def _index(spark, sf_dir):
     return symbols.index_project(sources(spark, sf_dir), "path", "text")
 
 
+def _code(spark, sf_dir):
+    """The lines of the code files. A part is a few bytes and its file many lines, so the parts are dealt out to all cores before."""
+    return symbols.code_lines(sources(spark, sf_dir, 4 * spark.sparkContext.defaultParallelism), "path", "text")
+
+
 def g_definitions(spark, sf_dir):
     return symbols.definitions(symbols.text_lines(sources(spark, sf_dir), "path", "text"))
 
 
 def g_references(spark, sf_dir):
     """How often every file calls every name."""
-    r = symbols.references(symbols.text_lines(sources(spark, sf_dir), "path", "text"))
+    r = symbols.references(_code(spark, sf_dir))
     return r.groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
