@@ -84,7 +84,7 @@ def _code(spark, sf_dir):
 
 
 def g_definitions(spark, sf_dir):
-    return symbols.definitions(symbols.text_lines(sources(spark, sf_dir), "path", "text"))
+    return symbols.definitions(_code(spark, sf_dir))
 
 
 def g_references(spark, sf_dir):

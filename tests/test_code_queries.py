@@ -37,3 +37,9 @@ def test_references_meet_no_table_of_definitions(spark, tmp_path):
 def test_the_parts_of_references_are_dealt_out(spark, tmp_path):
     lines = code_queries._code(spark, _parts(spark, tmp_path))
     assert symbols.references(lines).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_the_parts_of_definitions_are_dealt_out(spark, tmp_path):
+    q = code_queries.g_definitions(spark, _parts(spark, tmp_path))
+    assert q.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert q.where("kind = 'function' and name like 'build%'").count() == 40
